@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from shardlens.functions.outcomes import no_error
-from shardlens.operators.lookup import BROADCAST_BYTES, measured_bytes
 from shardlens.schemas import MATCHES
 from shardlens.sources.records import lines_of
 
@@ -49,20 +48,18 @@ def classify(
     shards: DataFrame,
     classifier: Classifier,
     shard_key: str = "data_id",
-    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Callbacks (job_id, error, matches) of all `jobs` whose shard is present.
 
     `jobs` has job_id, query_text, model and `shard_key`; `shards` has
     `shard_key`, doc_id, text and any columns the classifier wants to see.
     Whole texts meet their jobs before they are cut into records, so a text is
-    shuffled once at most, and not at all while the jobs fit a broadcast.
+    shuffled once at most, and not at all if the stored jobs are small enough
+    for Spark's own broadcast.
     A job with any failed part is an error; a job without a match has an empty
     list, never longer than the lines of its one shard.
     """
     wanted = jobs.select("job_id", "query_text", "model", shard_key)
-    if measured_bytes(wanted) <= broadcast_bytes:
-        wanted = F.broadcast(wanted)
     texts = shards.join(wanted, shard_key)
     kept = [c for c in texts.columns if c not in ("text", "uri", "pos")]
     records = texts.select(*kept, F.posexplode(lines_of("text")).alias("pos", "text")).withColumn(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shardlens.operators.lookup import lookup_join
 from shardlens.schemas import TABLE_RULES, UNIQUE_KEYS
@@ -18,12 +18,8 @@ def with_defaults(df: DataFrame, table: str) -> DataFrame:
     return df.withColumns(absent) if absent else df
 
 
-def check_constraints(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
-    """Split into (ok, rejected) by NOT NULL, width and status rules, in one pass.
-
-    Rejected rows carry `reasons`, in column order.
-    """
-    filled = with_defaults(df, table)
+def broken_rules(table: str) -> Column:
+    """The broken NOT NULL, width and status rules of a row, in column order."""
     broken = []
     for rule in TABLE_RULES[table]:
         value = F.col(rule.column)
@@ -33,7 +29,12 @@ def check_constraints(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
             broken.append(F.when(F.char_length(value) > rule.width, f"{rule.column}: too wide"))
         if rule.allowed is not None:
             broken.append(F.when(~value.isin(*rule.allowed), f"{rule.column}: not allowed"))
-    checked = filled.withColumn("reasons", F.array_compact(F.array(*broken)))
+    return F.array_compact(F.array(*broken))
+
+
+def check_constraints(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
+    """Split into (ok, rejected). Rejected rows carry `reasons`."""
+    checked = with_defaults(df, table).withColumn("reasons", broken_rules(table))
     ok = checked.where(F.size("reasons") == 0).drop("reasons")
     return ok, checked.where(F.size("reasons") > 0)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shardlens.functions.keys import is_valid_key, key_fields, load_prefix, object_key
+from shardlens.operators.constraints import broken_rules, check_constraints
 from shardlens.operators.keyed import first_per_key, insert_ignore, rows_to_insert, upsert
 from shardlens.operators.lookup import lookup_join
 from shardlens.schemas import RECORD_LANGUAGE
@@ -75,6 +76,17 @@ def catalog_rows(listing: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def load_rejects(listing: DataFrame) -> DataFrame:
+    """Objects a load cannot take, with `reasons`: bad keys, and rows that break a table rule."""
+    few = F.when(~is_valid_key("key"), F.array(F.lit("key: fewer than 4 parts")))
+    return (
+        listing.select("*", *key_fields("key"))
+        .withColumn("reasons", F.coalesce(few, broken_rules("datasets")))
+        .where(F.size("reasons") > 0)
+        .select(*listing.columns, "reasons")
+    )
+
+
 def record_rows(records: DataFrame, as_of: Column) -> DataFrame:
     """Catalogue rows of shards described by a caller: language `en` if not given."""
     given = set(records.columns)
@@ -126,7 +138,8 @@ def load_dataset(
         after = last_key(catalog).withColumnRenamed("last_key", "start_after")
         wanted = wanted.join(after, ["name", "data_type"], "left")
     listed = list_loads(listing, wanted).select(*listing.columns)
-    return add_to_catalog(catalog, catalog_rows(listed, as_of))
+    rows, _ = check_constraints(catalog_rows(listed, as_of), "datasets")
+    return add_to_catalog(catalog, rows)
 
 
 def dataset_stats(catalog: DataFrame, as_of: Column) -> DataFrame:
@@ -143,21 +156,18 @@ def update_stats(stats: DataFrame, catalog: DataFrame, as_of: Column) -> DataFra
 
 def ingest_report(listing: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row: objects listed, keys parsed, keys in error, shards a load would add."""
-    checked = listing.select("key", is_valid_key("key").alias("ok"), *key_fields("key"))
-    per_shard = checked.groupBy(F.when(F.col("ok"), F.col("md5")).alias("md5")).agg(
-        F.count("*").alias("listed"), F.count_if("ok").alias("processed")
+    parsed = F.col("parsed")
+    checked = listing.select(is_valid_key("key").alias("parsed"), *key_fields("key")).select(
+        "parsed", F.when(parsed, F.col("md5")).alias("md5"),
+        (parsed & (F.size(broken_rules("datasets")) == 0)).alias("ok"),
+    )
+    per_shard = checked.groupBy("md5").agg(
+        F.count("*").alias("listed"), F.count_if("parsed").alias("processed"), F.max("ok").alias("ok")
     )
     known = catalog.select("md5", F.lit(True).alias("known"))
     return per_shard.join(known, "md5", "left").agg(
         F.coalesce(F.sum("listed"), F.lit(0)).alias("listed"),
         F.coalesce(F.sum("processed"), F.lit(0)).alias("processed"),
         F.coalesce(F.sum(F.col("listed") - F.col("processed")), F.lit(0)).alias("errors"),
-        F.count_if((F.col("processed") > 0) & F.col("known").isNull()).alias("inserted"),
+        F.count_if(F.col("ok") & F.col("known").isNull()).alias("inserted"),
     )
-
-
-__all__ = [
-    "add_to_catalog", "catalog_rows", "dataset_stats", "ingest_report", "last_key",
-    "last_key_overall", "list_loads", "list_prefix", "load_dataset", "new_catalog",
-    "parse_keys", "record_rows", "rows_to_insert", "split_valid", "update_stats",
-]

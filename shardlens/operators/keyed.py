@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shardlens.operators.lookup import lookup_join
+from shardlens.durable import store
+from shardlens.operators.lookup import known_keys, lookup_join
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -15,8 +16,12 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> Data
 
 
 def rows_to_insert(target: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Rows of `new` that an insert-ignore would add: first per key, key not in `target`."""
-    return first_per_key(new, keys, order).join(target.select(*keys), keys, "left_anti")
+    """Rows of `new` that an insert-ignore would add: first per key, key not in `target`.
+
+    A small `new` leaves a large `target` unshuffled.
+    """
+    first = store(first_per_key(new, keys, order), "first")
+    return first.join(known_keys(first.select(*keys), target), keys, "left_anti")
 
 
 def insert_ignore(target: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -23,6 +23,18 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(row.cast("bigint")).alias("bytes")).first()["bytes"] or 0
 
 
+def known_keys(keys: DataFrame, table: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Those rows of `keys` that occur in `table` (which has the same columns and more).
+
+    A few keys are broadcast to the table, which then is scanned but not
+    shuffled. Evaluates `keys` twice, so hand in a stored frame.
+    """
+    candidates = table.select(*keys.columns)
+    if measured_bytes(keys) <= broadcast_bytes:
+        return candidates.join(F.broadcast(keys), keys.columns, "left_semi").distinct()
+    return keys.join(candidates, keys.columns, "left_semi")
+
+
 def lookup_join(
     rows: DataFrame,
     control: DataFrame,

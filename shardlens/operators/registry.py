@@ -14,10 +14,11 @@ QUERY_COLUMNS = [
 
 
 def register_queries(requests: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """Turn requests (query_id, dataset, language, query_text, model, user) into pending queries.
+    """Turn requests (query_id, dataset, language, query_text, model, user) into queries.
 
-    Returns (queries, rejected).
+    They are pending unless `requests` has a status. Returns (queries, rejected).
     """
+    status = F.col("status") if "status" in requests.columns else F.lit(PENDING)
     rows = requests.select(
         F.col("query_id").cast("bigint").alias("id"),
         "dataset",
@@ -25,7 +26,7 @@ def register_queries(requests: DataFrame, as_of: Column) -> tuple[DataFrame, Dat
         "query_text",
         "model",
         F.col("user").alias("owner"),
-        F.lit(PENDING).alias("status"),
+        status.alias("status"),
         as_of.alias("created_at"),
     )
     return check_constraints(rows, "queries")

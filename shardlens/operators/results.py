@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from shardlens.durable import store
 from shardlens.functions.outcomes import OUTCOME_FIELDS, is_visible, no_error, no_matches, outcome
 from shardlens.functions.wire import to_wire
 from shardlens.operators.constraints import check_page
-from shardlens.operators.lookup import lookup_join
+from shardlens.operators.lookup import known_keys, lookup_join
 from shardlens.operators.numbering import number_rows
 from shardlens.schemas import PAGE_SIZE
 
@@ -47,13 +48,15 @@ def apply_outcomes(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def merge_callbacks(jobs: DataFrame, callbacks: DataFrame) -> DataFrame:
     """Jobs after all `callbacks` (job_id, error, matches, received_at); the last one counts."""
-    return apply_outcomes(jobs, last_outcomes(callbacks))
+    # Stored, the outcomes show their true size: if few, Spark leaves the jobs unshuffled.
+    return apply_outcomes(jobs, store(last_outcomes(callbacks), "outcomes"))
 
 
 def unknown_callbacks(callbacks: DataFrame, jobs: DataFrame) -> DataFrame:
     """Callbacks that name no job."""
     # Ids are reduced before they meet the jobs: one id may hold most callbacks.
-    unknown = callbacks.select("job_id").distinct().join(jobs.select("job_id"), "job_id", "left_anti")
+    ids = store(callbacks.select("job_id").distinct(), "ids")
+    unknown = store(ids.join(known_keys(ids, jobs), "job_id", "left_anti"), "unknown")
     return lookup_join(callbacks, unknown, ["job_id"], ["received_at", "matches"], "left_semi")
 
 

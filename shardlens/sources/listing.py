@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shardlens.schemas import LISTING
@@ -12,12 +14,12 @@ def scan_listing(spark: SparkSession, root: str) -> DataFrame:
 
     The driver holds the file index, so use `read_inventory` for very large buckets.
     """
-    root = root.rstrip("/") + "/"
+    root = re.sub("^file:/*", "/", root).rstrip("/") + "/"
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
         .select("path", "length")
     )
-    below = F.locate(F.lit(root), F.col("path")) + F.lit(len(root))
+    below = F.instr("path", root) + F.lit(len(root))
     return files.select(
         F.substring(F.col("path"), below, F.length("path")).alias("key"),
         F.col("length").cast("bigint").alias("size"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from shardlens.durable import store
+from shardlens.operators.lookup import known_keys
 from shardlens.operators.results import apply_outcomes, last_outcomes
 from shardlens.sources.callbacks import check_messages, stream_callbacks
 
@@ -30,10 +32,12 @@ def callback_stream(
     messages, _ = check_messages(stream_callbacks(spark, path))
 
     def save(changed: DataFrame, batch_id: int) -> None:
+        # Stored, because the batch is read three times and its state update must run once.
+        batch = store(changed, "changed")
         # Read anew in each batch: jobs may have been added since the last one.
-        jobs = changed.sparkSession.read.parquet(jobs_path)
-        known = jobs.select("job_id", F.lit(1).alias("known"))
-        flagged = changed.join(known, "job_id", "left").withColumn(
+        jobs = batch.sparkSession.read.parquet(jobs_path)
+        known = known_keys(batch.select("job_id"), jobs).withColumn("known", F.lit(1))
+        flagged = batch.join(known, "job_id", "left").withColumn(
             "known", F.coalesce("known", F.lit(0))
         )
         flagged.write.mode("overwrite").partitionBy("known").parquet(f"{out}/batch_id={batch_id}")

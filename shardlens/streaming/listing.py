@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from shardlens.operators.constraints import check_constraints
 from shardlens.operators.ingest import CATALOG_COLUMNS, catalog_rows, rows_to_insert
 from shardlens.schemas import LISTING
 
@@ -37,7 +38,9 @@ def listing_stream(
         before = read_streamed_catalog(listed.sparkSession, catalog_path).where(
             F.col("batch_id") < batch_id
         )
-        rows = catalog_rows(listed, F.current_timestamp() if as_of is None else as_of)
+        rows, _ = check_constraints(
+            catalog_rows(listed, F.current_timestamp() if as_of is None else as_of), "datasets"
+        )
         added = rows_to_insert(before, rows, ["md5"], [F.col("key")])
         added.select(*CATALOG_COLUMNS).write.mode("overwrite").parquet(
             f"{catalog_path}/batch_id={batch_id}"

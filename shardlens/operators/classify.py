@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -22,27 +23,43 @@ _SCORED = "job_id string, pos int, uri string, text string, failure string"
 def _scorer(classifier: Classifier) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Score each job's part of an Arrow batch.
 
-    Yields the matching rows, and for every part one row without uri: the mark
-    that the job was seen, with the failure if the classifier raised.
+    The lines of a job come in a row, so a part is a slice. Yields the matching
+    lines, and for every part one row without uri: the mark that the job was
+    seen, with the failure if the classifier raised.
     """
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for job_id, part in batch.groupby("job_id", sort=False):
-                part = part.reset_index(drop=True)
-                mark = {"job_id": job_id, "pos": None, "uri": None, "text": None, "failure": None}
+            jobs = batch["job_id"]
+            starts = np.flatnonzero((jobs != jobs.shift()).to_numpy())
+            hits = np.zeros(len(batch), dtype=bool)
+            failures: list[str | None] = []
+            for start, end in zip(starts, [*starts[1:], len(batch)]):
+                part = batch.iloc[start:end].reset_index(drop=True)
                 try:
-                    hit = classifier(part["query_text"].iat[0], part["model"].iat[0], part)
-                    hits = part[pd.Series(hit, dtype="boolean").fillna(False).to_numpy(dtype=bool)]
+                    answer = classifier(part["query_text"].iat[0], part["model"].iat[0], part)
+                    hits[start:end] = _truth_values(answer, end - start)
+                    failures.append(None)
                 except Exception as problem:  # the job fails, not the task
-                    hits = part.iloc[:0]
-                    mark["failure"] = f"{type(problem).__name__}: {problem}"
-                found = hits[["job_id", "pos", "uri", "text"]].assign(failure=None)
-                yield pd.concat([found.astype(object), pd.DataFrame([mark], dtype=object)])
+                    failures.append(f"{type(problem).__name__}: {problem}")
+            yield batch.loc[hits, ["job_id", "pos", "uri", "text"]].assign(failure=None)
+            yield pd.DataFrame({
+                "job_id": jobs.iloc[starts], "pos": None, "uri": None, "text": None, "failure": failures,
+            })
 
     return score
 
 
+def _truth_values(answer: object, rows: int) -> np.ndarray:
+    """One truth value per row; a missing one is false."""
+    values = pd.Series(answer)
+    if len(values) != rows:
+        raise ValueError(f"{len(values)} answers for {rows} records")
+    if values.dtype != bool:
+        values = values.astype("boolean").fillna(False)
+    return values.to_numpy(dtype=bool)
+
+
 def classify(
     jobs: DataFrame,
     shards: DataFrame,

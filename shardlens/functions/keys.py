@@ -9,23 +9,24 @@ from shardlens.schemas import KEY_SEPARATOR, KEY_SUFFIX
 KEY_FIELDS = ["name", "data_type", "language", "md5"]
 
 
-def key_parts(key: Column | str) -> Column:
-    """All parts of a key; empty parts count."""
-    return F.split(key, KEY_SEPARATOR, -1)
+def key_part(key: Column | str, place: int) -> Column:
+    """Part `place` (from 1) of a key that has that many parts; empty parts count."""
+    return F.substring_index(F.substring_index(key, KEY_SEPARATOR, place), KEY_SEPARATOR, -1)
 
 
 def is_valid_key(key: Column | str) -> Column:
     """A key needs at least four parts. Further parts are ignored."""
-    return F.coalesce(F.size(key_parts(key)) >= len(KEY_FIELDS), F.lit(False))
+    whole = F.col(key) if isinstance(key, str) else key
+    fewer = len(KEY_FIELDS) - 1
+    return F.coalesce(F.substring_index(whole, KEY_SEPARATOR, fewer) != whole, F.lit(False))
 
 
 def key_fields(key: Column | str) -> list[Column]:
-    """name, data_type, language and md5 of a key; NULL where a part is missing.
+    """name, data_type, language and md5 of a valid key.
 
     The suffix is taken out wherever it occurs in the fourth part.
     """
-    parts = key_parts(key)
-    name, data_type, language, last = (F.try_element_at(parts, F.lit(i)) for i in range(1, 5))
+    name, data_type, language, last = (key_part(key, i) for i in range(1, 5))
     md5 = F.replace(last, F.lit(KEY_SUFFIX), F.lit(""))
     return [
         name.alias("name"),

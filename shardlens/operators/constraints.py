@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shardlens.operators.lookup import lookup_join
@@ -18,25 +20,36 @@ def with_defaults(df: DataFrame, table: str) -> DataFrame:
     return df.withColumns(absent) if absent else df
 
 
-def broken_rules(table: str) -> Column:
-    """The broken NOT NULL, width and status rules of a row, in column order."""
-    broken = []
+def _violations(table: str) -> list[tuple[Column, str]]:
+    """(broken, reason) for every NOT NULL, width and status rule, in column order."""
+    found = []
     for rule in TABLE_RULES[table]:
         value = F.col(rule.column)
         if rule.required:
-            broken.append(F.when(value.isNull(), f"{rule.column}: missing"))
+            found.append((value.isNull(), f"{rule.column}: missing"))
         if rule.width is not None:
-            broken.append(F.when(F.char_length(value) > rule.width, f"{rule.column}: too wide"))
+            found.append((F.char_length(value) > rule.width, f"{rule.column}: too wide"))
         if rule.allowed is not None:
-            broken.append(F.when(~value.isin(*rule.allowed), f"{rule.column}: not allowed"))
-    return F.array_compact(F.array(*broken))
+            found.append((~value.isin(*rule.allowed), f"{rule.column}: not allowed"))
+    return found
+
+
+def keeps_rules(table: str) -> Column:
+    """Whether a row breaks no rule. An unknown answer, as for a NULL status, breaks none."""
+    broken = reduce(lambda x, y: x | y, [condition for condition, _ in _violations(table)])
+    return ~F.coalesce(broken, F.lit(False))
+
+
+def broken_rules(table: str) -> Column:
+    """The reasons why a row cannot be taken."""
+    return F.array_compact(F.array(*[F.when(c, reason) for c, reason in _violations(table)]))
 
 
 def check_constraints(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     """Split into (ok, rejected). Rejected rows carry `reasons`."""
-    checked = with_defaults(df, table).withColumn("reasons", broken_rules(table))
-    ok = checked.where(F.size("reasons") == 0).drop("reasons")
-    return ok, checked.where(F.size("reasons") > 0)
+    filled = with_defaults(df, table)
+    rejected = filled.where(~keeps_rules(table)).withColumn("reasons", broken_rules(table))
+    return filled.where(keeps_rules(table)), rejected
 
 
 def unique_violations(df: DataFrame, keys: list[str] | str) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shardlens.functions.keys import is_valid_key, key_fields, load_prefix, object_key
-from shardlens.operators.constraints import broken_rules, check_constraints
+from shardlens.functions.keys import is_valid_key, key_fields, key_part, load_prefix, object_key
+from shardlens.operators.constraints import broken_rules, check_constraints, keeps_rules
 from shardlens.operators.keyed import first_per_key, insert_ignore, rows_to_insert, upsert
 from shardlens.operators.lookup import lookup_join
 from shardlens.schemas import RECORD_LANGUAGE
@@ -46,9 +46,9 @@ def list_loads(listing: DataFrame, loads: DataFrame) -> DataFrame:
         F.col("name").alias("load_name"),
         F.col("data_type").alias("load_type"),
         (F.col("start_after") if "start_after" in loads.columns else F.lit("")).alias("_after"),
-        F.split_part("name", F.lit("/"), F.lit(1)).alias("_head"),
+        key_part("name", 1).alias("_head"),
     )
-    headed = listing.withColumn("_head", F.split_part("key", F.lit("/"), F.lit(1)))
+    headed = listing.withColumn("_head", key_part("key", 1))
     return (
         lookup_join(headed, wanted, ["_head"], ["key"])
         .where(
@@ -159,7 +159,7 @@ def ingest_report(listing: DataFrame, catalog: DataFrame) -> DataFrame:
     parsed = F.col("parsed")
     checked = listing.select(is_valid_key("key").alias("parsed"), *key_fields("key")).select(
         "parsed", F.when(parsed, F.col("md5")).alias("md5"),
-        (parsed & (F.size(broken_rules("datasets")) == 0)).alias("ok"),
+        (parsed & keeps_rules("datasets")).alias("ok"),
     )
     per_shard = checked.groupBy("md5").agg(
         F.count("*").alias("listed"), F.count_if("parsed").alias("processed"), F.max("ok").alias("ok")

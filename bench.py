@@ -16,7 +16,7 @@ from shardlens.durable import store
 from shardlens.fixtures import Inputs, as_of
 from shardlens.operators import constraints, ingest, publish, registry, results, status
 from shardlens.operators.classify import classify
-from shardlens.plans.registered import by_label
+from shardlens.plans.registered import label_classifier
 from shardlens.sources import records
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -88,7 +88,7 @@ def main() -> None:
         "progress": lambda: status.progress(t["queries"], t["jobs"]),
         "orphan_jobs": lambda: constraints.orphan_jobs(t["open_jobs"], t["queries"]),
         "scan_records": lambda: records.scan_records(t["documents"]),
-        "classify": lambda: classify(class_jobs, t["labelled_shards"], by_label, shard_key="doc_id"),
+        "classify": lambda: classify(class_jobs, t["labelled_shards"], label_classifier(), shard_key="doc_id"),
     }
     seconds = {}
     for name, query in queries.items():

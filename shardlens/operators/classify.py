@@ -26,8 +26,19 @@ def _scorer(classifier: Classifier) -> Callable[[Iterator[pd.DataFrame]], Iterat
     The lines of a job come in a row, so a part is a slice. Yields the matching
     lines, and for every part one row without uri: the mark that the job was
     seen, with the failure if the classifier raised.
+
+    All helpers are nested, so that they travel to the workers by value and
+    the package need not be installed there.
     """
 
+    def truth_values(answer: object, rows: int) -> np.ndarray:
+        values = pd.Series(answer)
+        if len(values) != rows:
+            raise ValueError(f"{len(values)} answers for {rows} records")
+        if values.dtype != bool:
+            values = values.astype("boolean").fillna(False)
+        return values.to_numpy(dtype=bool)
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             jobs = batch["job_id"]
@@ -38,7 +49,7 @@ def _scorer(classifier: Classifier) -> Callable[[Iterator[pd.DataFrame]], Iterat
                 part = batch.iloc[start:end].reset_index(drop=True)
                 try:
                     answer = classifier(part["query_text"].iat[0], part["model"].iat[0], part)
-                    hits[start:end] = _truth_values(answer, end - start)
+                    hits[start:end] = truth_values(answer, end - start)
                     failures.append(None)
                 except Exception as problem:  # the job fails, not the task
                     failures.append(f"{type(problem).__name__}: {problem}")
@@ -50,16 +61,6 @@ def _scorer(classifier: Classifier) -> Callable[[Iterator[pd.DataFrame]], Iterat
     return score
 
 
-def _truth_values(answer: object, rows: int) -> np.ndarray:
-    """One truth value per row; a missing one is false."""
-    values = pd.Series(answer)
-    if len(values) != rows:
-        raise ValueError(f"{len(values)} answers for {rows} records")
-    if values.dtype != bool:
-        values = values.astype("boolean").fillna(False)
-    return values.to_numpy(dtype=bool)
-
-
 def classify(
     jobs: DataFrame,
     shards: DataFrame,

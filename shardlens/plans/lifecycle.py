@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shardlens.durable import store
+from shardlens.operators.constraints import check_page
 from shardlens.operators import ingest, publish, registry, results
 from shardlens.schemas import BATCH_SIZE, PAGE_SIZE
 from shardlens.sources.tables import read_table, write_table
@@ -61,3 +62,18 @@ def settle_jobs(
     merged = read_table(spark, f"{out}/query_results")
     write_table(results.build_pages(merged, page_size), f"{out}/pages", "pages")
     return merged, read_table(spark, f"{out}/pages")
+
+
+def owner_page(
+    queries: DataFrame, jobs: DataFrame, pages: DataFrame, owner: str, query_id: int, page: int = 1,
+    page_size: int = PAGE_SIZE,
+) -> tuple[DataFrame, DataFrame]:
+    """One stored page and its summary, both empty if `owner` may not read the query."""
+    check_page(page)
+    mine = queries.where(F.col("id") == query_id)
+    own_jobs = jobs.where(F.col("query_id") == query_id)
+    allowed = registry.eligible_queries(mine, own_jobs, owner).select(F.col("id").alias("query_id"))
+    at_page = (F.col("query_id") == query_id) & (F.col("page") == page)
+    summary = results.page_summary(own_jobs, page_size).where(at_page)
+    rows = pages.where(at_page).join(allowed, "query_id", "left_semi").orderBy("pos")
+    return rows, summary.join(allowed, "query_id", "left_semi")

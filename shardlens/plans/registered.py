@@ -13,7 +13,7 @@ from shardlens.fixtures import Inputs, as_of
 from shardlens.functions.keys import object_key
 from shardlens.functions.outcomes import outcome
 from shardlens.operators import constraints, ingest, keyed, publish, registry, results, status
-from shardlens.operators.classify import classify
+from shardlens.operators.classify import Classifier, classify
 from shardlens.sources import records
 from shardlens.sources import tables
 
@@ -403,11 +403,15 @@ def explode_matches(inputs: Inputs) -> DataFrame:
     return results.explode_matches(inputs.jobs())
 
 
-def by_label(query_text: str, model: str, part: pd.DataFrame) -> pd.Series:
-    """Stand-in classifier: good documents match on their non-blank lines, toxic ones fail."""
-    if (part["toxic"] == 1).any():
-        raise ValueError("toxic")
-    return (part["quality"] == 1) & (part["text"].str.strip(" ") != "")
+def label_classifier() -> Classifier:
+    """Stand-in: good documents match on their non-blank lines, toxic ones fail."""
+
+    def by_label(query_text: str, model: str, part: pd.DataFrame) -> pd.Series:
+        if (part["toxic"] == 1).any():
+            raise ValueError("toxic")
+        return (part["quality"] == 1) & (part["text"].str.strip(" ") != "")
+
+    return by_label
 
 
 @registered
@@ -416,7 +420,7 @@ def classify_labels(inputs: Inputs) -> DataFrame:
         inputs.winners().withColumnRenamed("md5", "data_id"), "data_id"
     )
     jobs = registry.attach_context(named, inputs.queries())
-    found = classify(jobs, inputs.labelled_shards(), by_label, shard_key="doc_id")
+    found = classify(jobs, inputs.labelled_shards(), label_classifier(), shard_key="doc_id")
     return found.select(
         "job_id",
         F.size("matches").alias("n_matches"),

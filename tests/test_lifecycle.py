@@ -45,6 +45,12 @@ def test_load_publish_settle(spark, tmp_path):
     ).first()
     finished = merged.where("status <> 'pending'").count()
     assert tuple(counted) == (sent.contexts.count(), created, finished)
+
+    query = queries.where("status = 'published'").join(pages.withColumnRenamed("query_id", "id"), "id", "left_semi").first()
+    rows, summary = lifecycle.owner_page(queries, merged, pages, query.owner, query.id, 1, 5)
+    assert 0 < rows.count() <= 5 and summary.first().total == merged.where(F.col("query_id") == query.id).count()
+    for rows in lifecycle.owner_page(queries, merged, pages, "somebody", query.id, 1, 5):
+        assert rows.count() == 0
     unknown = spark.read.parquet(f"{tmp_path}/settle/unknown_callbacks")
     assert unknown.join(merged, "job_id", "left_semi").count() == 0
 

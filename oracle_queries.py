@@ -280,6 +280,28 @@ BODIES = {
                         lambda m: trim(m.text, ' ') <> '')
                 ELSE [] END AS hits
               FROM fan f JOIN docs d USING (doc_id) JOIN labels l USING (doc_id))""",
+    "decode_callbacks": f"""SELECT job_id, coalesce({_text_of('matches')}, md5('')) AS matches_md5, error_code
+        FROM callbacks""",
+    "request_messages": """SELECT query_id, batch_no, '{"data":[' || string_agg(
+        '{"dataUrl":"' || key || '","batchSize":0,"bytesize":' || byte_size
+        || ',"decompressedByteSize":0,"checksumMd5":"' || md5 || '","classifierId":' || query_id || '}',
+        ',' ORDER BY pos) || ']}' AS body FROM contexts GROUP BY query_id, batch_no""",
+    "page_messages": """SELECT query_id, page,
+        '{"results":[' || coalesce(shown, '') || '],"total":' || total || ',"page":' || page
+        || ',"pageSize":5,"has_more":' || CASE WHEN total > page * 5 THEN 'true' ELSE 'false' END || '}' AS body
+        FROM (SELECT query_id, total, unnest(range(1, (total + 4) // 5 + 1)) AS page
+              FROM (SELECT query_id, count(*) AS total FROM jobs GROUP BY query_id))
+        LEFT JOIN (SELECT query_id, nth // 5 + 1 AS page, string_agg('{"results":[' || array_to_string(
+                       list_transform(matches, lambda m: '{"uri":"' || m.uri || '","text":' || to_json(m.text) || '}'),
+                       ',') || ']}', ',' ORDER BY nth) AS shown
+                   FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY data_id) - 1 AS nth FROM visible)
+                   GROUP BY query_id, nth // 5 + 1) USING (query_id, page)""",
+    # Streams
+    "callback_stream": f"""SELECT query_id, job_id, md5 AS data_id,
+        CASE WHEN c.received_at IS NULL THEN 'pending' WHEN error_code IS NOT NULL THEN 'error'
+             ELSE 'processed' END AS status, {_OUTCOME}, error_code
+        FROM fan LEFT JOIN last_call c USING (job_id)""",
+    "listing_stream": "SELECT DISTINCT md5 FROM parsed",
 }
 
 ORACLE = {name: INPUTS + body for name, body in BODIES.items()}

@@ -212,6 +212,16 @@ class Inputs:
         )
         return answers.select("job_id", "error", "matches", "received_at").unionByName(repeats)
 
+    def callback_lines(self) -> DataFrame:
+        """The callbacks as the messages they arrive in, column `value`."""
+        message = F.struct(
+            F.col("job_id").alias("jobId"),
+            F.col("error").alias("errorResult"),
+            F.col("matches").alias("batchClassifyResult"),
+            F.col("received_at").cast("string").alias("receivedAt"),
+        )
+        return self.callbacks().select(F.to_json(message).alias("value"))
+
     def acks(self, contexts: DataFrame) -> DataFrame:
         """Ids for the batches of `contexts`; every third batch of a query gets one too few."""
         ids = F.transform(

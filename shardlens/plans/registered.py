@@ -12,10 +12,12 @@ from shardlens.durable import durable_folder, store
 from shardlens.fixtures import Inputs, as_of
 from shardlens.functions.keys import object_key
 from shardlens.functions.outcomes import outcome
+from shardlens.functions.wire import to_wire
 from shardlens.operators import constraints, ingest, keyed, publish, registry, results, status
 from shardlens.operators.classify import Classifier, classify
-from shardlens.sources import records
-from shardlens.sources import tables
+from shardlens.sources import records, tables
+from shardlens.sources.callbacks import check_messages, decode_callbacks as decode
+from shardlens.streaming import callbacks as streaming, listing as listing_streaming
 
 # Small sizes, so that queries have several batches and pages on small data.
 BATCH = 7
@@ -55,9 +57,13 @@ def resume_points(inputs: Inputs) -> DataFrame:
 # Scans
 
 
+def new_folder(inputs: Inputs, label: str) -> str:
+    return f"{durable_folder(inputs.spark)}/runs/{label}-{uuid.uuid4().hex}"
+
+
 def stored_catalog(inputs: Inputs) -> str:
     """Write the catalogue as its own table and return the path."""
-    path = f"{durable_folder(inputs.spark)}/catalogs/{uuid.uuid4().hex}"
+    path = new_folder(inputs, "catalog")
     tables.write_table(inputs.catalog(), path, "datasets")
     return path
 
@@ -427,3 +433,49 @@ def classify_labels(inputs: Inputs) -> DataFrame:
         matches_text(),
         F.col("error.message").alias("error_message"),
     )
+
+
+@registered
+def decode_callbacks(inputs: Inputs) -> DataFrame:
+    ok, _ = check_messages(decode(inputs.callback_lines()))
+    return ok.select("job_id", matches_text(), F.col("error.code").alias("error_code"))
+
+
+@registered
+def request_messages(inputs: Inputs) -> DataFrame:
+    requests = publish.batch_requests(contexts(inputs))
+    return to_wire(requests, ["data"]).select("query_id", "batch_no", "body")
+
+
+@registered
+def page_messages(inputs: Inputs) -> DataFrame:
+    jobs = store(inputs.jobs(), "jobs")
+    return results.page_messages(results.build_pages(jobs, PAGE), results.page_summary(jobs, PAGE))
+
+
+# Streams, run until all files are taken
+
+
+@registered
+def callback_stream(inputs: Inputs) -> DataFrame:
+    """Jobs after the callbacks came in as a stream of files."""
+    folder = new_folder(inputs, "callbacks")
+    inputs.callback_lines().repartition(4).write.text(f"{folder}/calls")
+    inputs.open_jobs().write.parquet(f"{folder}/jobs")
+    streaming.callback_stream(
+        inputs.spark, f"{folder}/calls", f"{folder}/jobs", f"{folder}/out", f"{folder}/checkpoint",
+        files_per_batch=2,
+    ).awaitTermination()
+    merged = streaming.jobs_with_stream(inputs.spark.read.parquet(f"{folder}/jobs"), f"{folder}/out")
+    return with_plain_outcome(merged, "query_id", "job_id", "data_id").drop("finished_at")
+
+
+@registered
+def listing_stream(inputs: Inputs) -> DataFrame:
+    """Shards of the catalogue after the listing came in as a stream of files."""
+    folder = new_folder(inputs, "listing")
+    inputs.mixed_listing().repartition(4).write.parquet(f"{folder}/inventory")
+    listing_streaming.listing_stream(
+        inputs.spark, f"{folder}/inventory", f"{folder}/catalog", f"{folder}/checkpoint", files_per_batch=2
+    ).awaitTermination()
+    return listing_streaming.read_streamed_catalog(inputs.spark, f"{folder}/catalog").select("md5")

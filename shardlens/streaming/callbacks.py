@@ -11,6 +11,7 @@ from shardlens.operators.results import apply_outcomes, last_outcomes
 from shardlens.sources.callbacks import check_messages, stream_callbacks
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 STORED_OUTCOMES = (
     "job_id string, outcome struct<matches:array<struct<uri:string,text:string>>,"
     "error:struct<code:int,message:string>,status:string,finished_at:timestamp>,"
@@ -19,7 +20,8 @@ STORED_OUTCOMES = (
 
 
 def callback_stream(
-    spark: SparkSession, path: str, jobs_path: str, out: str, checkpoint: str
+    spark: SparkSession, path: str, jobs_path: str, out: str, checkpoint: str,
+    files_per_batch: int = 1000,
 ) -> StreamingQuery:
     """Reduce arriving callbacks to one outcome per job and store what changed.
 
@@ -28,8 +30,7 @@ def callback_stream(
     folder of its own number: a replayed batch overwrites itself. Callbacks of
     unknown jobs are stored apart, under `known=0`.
     """
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    messages, _ = check_messages(stream_callbacks(spark, path))
+    messages, _ = check_messages(stream_callbacks(spark, path, files_per_batch))
 
     def save(changed: DataFrame, batch_id: int) -> None:
         # Stored, because the batch is read three times and its state update must run once.
@@ -42,14 +43,19 @@ def callback_stream(
         )
         flagged.write.mode("overwrite").partitionBy("known").parquet(f"{out}/batch_id={batch_id}")
 
-    return (
-        last_outcomes(messages)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(save)
-        .start()
-    )
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)  # a started query keeps the settings it began with
+    try:
+        return (
+            last_outcomes(messages)
+            .writeStream.outputMode("update")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .foreachBatch(save)
+            .start()
+        )
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
 
 
 def rejected_stream(spark: SparkSession, path: str, out: str, checkpoint: str) -> StreamingQuery:

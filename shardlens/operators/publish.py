@@ -46,7 +46,7 @@ def batch_number(queries: DataFrame, catalog: DataFrame, batch_size: int = BATCH
 def with_batches(jobs: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:
     """Add batch_no and pos to rows numbered by `seq`."""
     return jobs.withColumns({
-        "batch_no": F.floor(F.col("seq") / batch_size).cast("bigint"),
+        "batch_no": F.expr(f"seq div {int(batch_size)}"),
         "pos": (F.col("seq") % batch_size).cast("int"),
     })
 

@@ -76,7 +76,7 @@ def build_pages(jobs: DataFrame, page_size: int = PAGE_SIZE, order: str = "data_
     """
     numbered = number_rows(visible_results(jobs), ["query_id"], [order], name="_nth")
     return numbered.withColumns({
-        "page": (F.floor(F.col("_nth") / page_size) + 1).cast("bigint"),
+        "page": F.expr(f"_nth div {int(page_size)} + 1"),
         "pos": (F.col("_nth") % page_size).cast("int"),
     }).drop("_nth")
 
@@ -99,7 +99,8 @@ def page_summary(jobs: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     totals = jobs.groupBy("query_id").agg(
         F.count("*").alias("total"), F.count_if(is_visible()).alias("visible_total")
     )
-    pages = F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col("total") / page_size).cast("bigint"))
+    last = F.expr(f"(total - 1) div {int(page_size)} + 1")
+    pages = F.sequence(F.lit(1).cast("bigint"), last)
     return totals.withColumn("page", F.explode(pages)).select(
         "query_id", "total", "visible_total", "page",
         F.lit(page_size).alias("page_size"),

@@ -12,15 +12,17 @@ def _or_zero(*names: str) -> dict:
     return {n: F.coalesce(F.col(n), F.lit(0).cast("bigint")) for n in names}
 
 
-def shard_count(queries: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(query_id, dataset_size): shards in each query's dataset and language."""
+def _with_dataset_size(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     sizes = catalog.groupBy(F.col("name").alias("dataset"), "language").agg(
         F.count("*").alias("dataset_size")
     )
-    counted = queries.join(sizes, ["dataset", "language"], "left")
-    return counted.select(F.col("id").alias("query_id"), "dataset_size").withColumns(
-        _or_zero("dataset_size")
-    )
+    return queries.join(sizes, ["dataset", "language"], "left").withColumns(_or_zero("dataset_size"))
+
+
+def shard_count(queries: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(query_id, dataset_size): shards in each query's dataset and language."""
+    sized = _with_dataset_size(queries.select("id", "dataset", "language"), catalog)
+    return sized.select(F.col("id").alias("query_id"), "dataset_size")
 
 
 def job_facts(jobs: DataFrame) -> DataFrame:
@@ -51,11 +53,11 @@ def query_status(queries: DataFrame, catalog: DataFrame, jobs: DataFrame) -> Dat
         F.count("*").alias("query_results_count"),
         F.count_if(F.col("status") != PENDING).alias("processed_records"),
     )
+    known = queries.select(F.col("id").alias("query_id"), "dataset", "created_at", "language")
     return (
-        queries.select(F.col("id").alias("query_id"), "dataset", "created_at", "language")
-        .join(shard_count(queries, catalog), "query_id", "left")
+        _with_dataset_size(known, catalog)
         .join(counts, "query_id", "left")
-        .withColumns(_or_zero("dataset_size", "query_results_count", "processed_records"))
+        .withColumns(_or_zero("query_results_count", "processed_records"))
         .select(
             "query_id", "dataset", "processed_records", "created_at", "language",
             "dataset_size", "query_results_count",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shardlens.durable import store
 from shardlens.operators.constraints import check_page
-from shardlens.operators import ingest, publish, registry, results
+from shardlens.operators import ingest, keyed, publish, registry, results
 from shardlens.schemas import BATCH_SIZE, PAGE_SIZE
 from shardlens.sources.tables import read_table, write_table
 
@@ -43,11 +43,23 @@ def publish_queries(
 
 
 def accept_acks(
-    queries: DataFrame, contexts: DataFrame, acks: DataFrame, as_of: Column, out: str
+    queries: DataFrame, jobs: DataFrame | None, contexts: DataFrame, acks: DataFrame,
+    as_of: Column, out: str,
 ) -> tuple[DataFrame, DataFrame]:
-    """Turn acks into pending jobs and mark their queries. Writes new snapshots below `out`."""
+    """Add the acknowledged jobs to `jobs` and mark their queries published.
+
+    A job id that exists already is not added again. Writes new snapshots below `out`.
+    """
     spark = queries.sparkSession
-    write_table(publish.attach_job_ids(contexts, acks, as_of), f"{out}/query_results", "query_results")
+    added = publish.attach_job_ids(contexts, acks, as_of)
+    order = [F.col("query_id"), F.col("data_id")]
+    if jobs is None:
+        added = keyed.first_per_key(added, ["job_id"], order)
+    else:
+        added = jobs.unionByName(
+            keyed.rows_to_insert(jobs, added, ["job_id"], order), allowMissingColumns=True
+        )
+    write_table(added, f"{out}/query_results", "query_results")
     write_table(registry.mark_published(queries, acks), f"{out}/queries", "queries")
     return read_table(spark, f"{out}/queries"), read_table(spark, f"{out}/query_results")
 

@@ -30,8 +30,10 @@ def test_load_publish_settle(spark, tmp_path):
     queries = inputs.queries()
     sent = lifecycle.publish_queries(queries, catalog, f"{tmp_path}/publish", batch_size=7)
     acks = inputs.acks(sent.contexts)
-    queries, jobs = lifecycle.accept_acks(queries, sent.contexts, acks, as_of(), f"{tmp_path}/acks")
+    queries, jobs = lifecycle.accept_acks(queries, None, sent.contexts, acks, as_of(), f"{tmp_path}/acks")
     created = jobs.count()
+    repeated = lifecycle.accept_acks(queries, jobs, sent.contexts, acks, as_of(), f"{tmp_path}/again")[1]
+    assert sorted(map(str, repeated.collect())) == sorted(map(str, jobs.collect()))
     assert 0 < created < sent.contexts.count()
     assert sent.without_shards.count() == 42
 

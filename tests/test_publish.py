@@ -4,6 +4,7 @@ import json
 from collections import Counter
 
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from shardlens.fixtures import Inputs, as_of
@@ -69,8 +70,19 @@ def test_a_salted_control_table_cannot_keep_its_own_rows(spark):
         lookup.lookup_join(spark.range(1), spark.range(1), ["id"], ["id"], "full")
 
 
-def test_numbers_are_exact_in_a_group_spread_over_partitions(spark, skewed):
+@pytest.fixture()
+def many_partitions(spark):
+    """Small sorts would be put together into one partition otherwise."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_numbers_are_exact_in_a_group_spread_over_partitions(spark, skewed, many_partitions):
     numbered = number_rows(skewed.select("name", "md5"), ["name"], ["md5"])
+    assert len([f for f in numbered.inputFiles() if "numbered" in f]) >= 6
     wrong = numbered.withColumn(
         "true_seq", F.expr("row_number() OVER (PARTITION BY name ORDER BY md5) - 1")
     ).where("seq <> true_seq")
@@ -97,6 +109,21 @@ def test_batches_hold_every_shard_once_and_only_the_last_is_short(spark, skewed)
         assert [m for _, _, m in mine] == sorted(m for _, _, m in mine)
 
 
+@given(
+    rows=st.lists(st.tuples(st.sampled_from(["a", "b", "c", None]), st.integers(0, 10**6)), min_size=1, max_size=60, unique=True),
+    size=st.integers(1, 9),
+)
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_batches_partition_any_groups(spark, many_partitions, rows, size):
+    numbered = number_rows(spark.createDataFrame(rows, "g string, v long"), ["g"], ["v"])
+    got = {}
+    for r in publish.with_batches(numbered, size).collect():
+        got.setdefault(r.g, []).append((r.batch_no, r.pos, r.v))
+    for g in {g for g, _ in rows}:
+        values = sorted(v for other, v in rows if other == g)
+        assert sorted(got[g]) == [(i // size, i % size, v) for i, v in enumerate(values)]
+
+
 def test_whole_corpus_in_batches_of_a_thousand(spark):
     corpus = Inputs(spark, str(TESTDATA / "sf0.1")).catalog().withColumns(
         {"name": F.lit("all"), "language": F.lit("any")}

@@ -4,6 +4,7 @@ import json
 from datetime import datetime
 
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from shardlens.functions.wire import to_wire
@@ -66,6 +67,28 @@ def test_last_callback_wins_whole(spark):
     assert (got["c"].status, len(got["c"].matches), got["c"].error) == ("processed", 1, None)
 
 
+KINDS = {"match": (None, HIT), "empty": (None, []), "error": (BAD, []), "both": (BAD, HIT)}
+
+
+@given(arrivals=st.lists(
+    st.tuples(st.sampled_from("abc"), st.integers(1, 28), st.sampled_from(sorted(KINDS))),
+    min_size=1, max_size=15, unique_by=lambda c: c[:2],
+))
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_merge_in_parts_equals_one_by_one(spark, arrivals):
+    rows = [(job, *KINDS[kind], at(day)) for job, day, kind in arrivals]
+    whole = results.merge_callbacks(jobs(spark, "a", "b", "c"), calls(spark, *rows))
+    expected = {j: "pending" for j in "abc"}
+    for job, day, kind in sorted(arrivals, key=lambda c: c[1]):
+        expected[job] = "error" if kind in ("error", "both") else "processed"
+    assert {r.job_id: r.status for r in whole.collect()} == expected
+    in_time = sorted(rows, key=lambda r: r[3])
+    merged = jobs(spark, "a", "b", "c")
+    for part in (in_time[: len(rows) // 2], in_time[len(rows) // 2:]):
+        merged = results.merge_callbacks(merged, calls(spark, *part))
+    assert sorted(map(str, merged.collect())) == sorted(map(str, whole.collect()))
+
+
 def test_same_time_is_settled_by_content_in_any_order(spark):
     rows = [("a", None, [("u", str(i))], at(1)) for i in range(20)]
     first, second = settled(spark, *rows), settled(spark, *reversed(rows))

@@ -165,6 +165,10 @@ BODIES = {
         CASE WHEN length(language) > 10 THEN 'language: too wide' END,
         CASE WHEN length(model) > 255 THEN 'model: too wide' END) AS reasons
         FROM requests WHERE length(language) > 10 OR length(model) > 255""",
+    "decode_requests": "SELECT dataset, language, query_text, model, owner AS user FROM requests",
+    "assign_ids": """SELECT dataset, language, query_text, model, owner AS user,
+        (SELECT max(id) FROM queries)
+        + row_number() OVER (ORDER BY dataset, language, query_text, model, owner) AS query_id FROM requests""",
     # Joins
     "queries_with_jobs": """SELECT id, dataset, language FROM queries
         WHERE id IN (SELECT query_id FROM fan)""",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shardlens.operators.constraints import check_constraints
 from shardlens.operators.lookup import lookup_join
+from shardlens.operators.numbering import number_rows
 from shardlens.schemas import PENDING, PUBLISHED
 
 QUERY_COLUMNS = [
@@ -13,6 +14,13 @@ QUERY_COLUMNS = [
 ]
 
 
+def assign_ids(requests: DataFrame, queries: DataFrame) -> DataFrame:
+    """Give requests the ids after the highest one in use, in the order of their fields."""
+    highest = queries.agg(F.max("id").alias("id")).first()["id"] or 0
+    numbered = number_rows(requests, [], requests.columns, name="query_id")
+    return numbered.withColumn("query_id", F.col("query_id") + F.lit(highest + 1))
+
+
 def register_queries(requests: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """Turn requests (query_id, dataset, language, query_text, model, user) into queries.
 

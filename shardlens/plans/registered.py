@@ -15,7 +15,7 @@ from shardlens.functions.outcomes import outcome
 from shardlens.functions.wire import to_wire
 from shardlens.operators import constraints, ingest, keyed, publish, registry, results, status
 from shardlens.operators.classify import Classifier, classify
-from shardlens.sources import records, tables
+from shardlens.sources import records, requests as request_source, tables
 from shardlens.sources.callbacks import check_messages, decode_callbacks as decode
 from shardlens.streaming import callbacks as streaming, listing as listing_streaming
 
@@ -195,6 +195,11 @@ def job_outcome(inputs: Inputs) -> DataFrame:
     return with_plain_outcome(settled, "job_id", "received_at")
 
 
+def request_lines(inputs: Inputs) -> DataFrame:
+    fields = ["dataset", "language", "query_text", "model", "user"]
+    return to_wire(inputs.requests(), fields, "value").select("value")
+
+
 @registered
 def register_queries(inputs: Inputs) -> DataFrame:
     return registry.register_queries(inputs.requests(), as_of())[0]
@@ -206,6 +211,16 @@ def register_rejects(inputs: Inputs) -> DataFrame:
     return rejected.select("id", F.array_join("reasons", "; ").alias("reasons"))
 
 
+@registered
+def decode_requests(inputs: Inputs) -> DataFrame:
+    return request_source.decode_requests(request_lines(inputs))[0]
+
+
+@registered
+def assign_ids(inputs: Inputs) -> DataFrame:
+    return registry.assign_ids(request_source.decode_requests(request_lines(inputs))[0], inputs.queries())
+
+
 # Joins
 
 

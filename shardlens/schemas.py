@@ -47,6 +47,24 @@ CALLBACK_WIRE = T.StructType([
     T.StructField("_corrupt_record", T.StringType()),
 ])
 
+REQUEST_WIRE = T.StructType([
+    T.StructField("dataset", T.StringType()),
+    T.StructField("language", T.StringType()),
+    T.StructField("queryText", T.StringType()),
+    T.StructField("query_text", T.StringType()),
+    T.StructField("model", T.StringType()),
+    T.StructField("user", T.StringType()),
+    T.StructField("_corrupt_record", T.StringType()),
+])
+
+# An answer to one batch, with the keys its request was written under.
+ACK_WIRE = T.StructType([
+    T.StructField("query_id", T.LongType()),
+    T.StructField("batch_no", T.LongType()),
+    T.StructField("ids", T.ArrayType(T.StringType())),
+    T.StructField("_corrupt_record", T.StringType()),
+])
+
 
 @dataclass(frozen=True)
 class Rule:

@@ -12,6 +12,7 @@ from shardlens.operators import lookup, publish, registry
 from shardlens.operators.constraints import check_constraints, check_page, orphan_jobs, unique_violations
 from shardlens.operators.keyed import delete_queries
 from shardlens.operators.numbering import number_rows
+from shardlens.sources.requests import decode_acks, decode_requests
 from tests.conftest import TESTDATA
 
 SHARD = "name string, language string, data_type string, md5 string, byte_size long, decompressed_byte_size long"
@@ -176,6 +177,41 @@ def test_registration_renames_the_owner_and_rejects_bad_rows(spark):
     }
 
 
+def test_requests_as_messages_get_ids_of_their_own(spark):
+    def line(**fields):
+        return (json.dumps(fields),)
+
+    body = {"dataset": "a", "language": "en", "model": "m", "user": "me"}
+    lines = spark.createDataFrame(
+        [line(**body, queryText="one"), line(**body, query_text="two"), line(**body), ("[]x",),
+         line(**{**body, "user": None}, queryText="q"), line(**body, queryText="one")],
+        "value string",
+    )
+    ok, rejected = decode_requests(lines)
+    assert sorted(r.reasons[0] for r in rejected.collect()) == [
+        "not a message of this kind", "query_text is missing", "user is missing",
+    ]
+    numbered = registry.assign_ids(ok, queries(spark, (7, "a", "en", None)))
+    registered, _ = registry.register_queries(numbered, as_of())
+    assert sorted((r.id, r.query_text) for r in registered.collect()) == [(8, "one"), (9, "one"), (10, "two")]
+    first = registry.assign_ids(ok, queries(spark, (7, "a", "en", None)).where("false"))
+    assert sorted(r.query_id for r in first.collect()) == [1, 2, 3]
+
+
+def test_acks_as_messages(spark):
+    lines = spark.createDataFrame(
+        [('{"query_id":1,"batch_no":0,"ids":["a","b"]}',), ('{"query_id":1,"batch_no":1,"ids":[]}',),
+         ('{"query_id":1,"batch_no":2}',), ('{"ids":["c"]}',), ("?",)],
+        "value string",
+    )
+    ok, rejected = decode_acks(lines)
+    assert [tuple(r) for r in ok.collect()] == [(1, 0, ["a", "b"])]
+    assert sorted(r.reasons for r in rejected.collect()) == [
+        ["ids is missing"], ["ids is missing"], ["not a message of this kind"],
+        ["query_id is missing", "batch_no is missing"],
+    ]
+
+
 def test_statuses_null_passes_and_unknown_words_do_not(spark):
     rows = queries(spark, *[(i, "a", "en", s) for i, s in enumerate(
         ["pending", "publishing", "published", "processed", None, "done"])])

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from shardlens.functions.outcomes import no_error
+from shardlens.operators.lookup import lookup_join
 from shardlens.schemas import MATCHES
 from shardlens.sources.records import lines_of
 
@@ -17,6 +18,8 @@ from shardlens.sources.records import lines_of
 Classifier = Callable[[str, str, pd.DataFrame], "pd.Series"]
 
 FAILED_CODE = 500
+BIG_BYTES = 256 << 20
+PART_LINES = 10_000
 _SCORED = "job_id string, pos int, uri string, text string, failure string"
 
 
@@ -61,28 +64,58 @@ def _scorer(classifier: Classifier) -> Callable[[Iterator[pd.DataFrame]], Iterat
     return score
 
 
+def big_shards(sizes: DataFrame, shard_key: str, size: str = "byte_size", limit: int = BIG_BYTES) -> DataFrame:
+    """Keys of the shards that are better spread over several tasks, from a catalogue or a listing."""
+    return sizes.where(F.col(size) > limit).select(shard_key).distinct()
+
+
+def _usual_records(shards: DataFrame, jobs: DataFrame, shard_key: str) -> DataFrame:
+    """Whole texts meet their jobs and are cut into lines after that."""
+    texts = shards.join(jobs, shard_key)
+    kept = [c for c in texts.columns if c != "text"]
+    return texts.select(*kept, F.posexplode(lines_of("text")).alias("pos", "text"))
+
+
+def _spread_records(shards: DataFrame, jobs: DataFrame, shard_key: str) -> DataFrame:
+    """Texts are cut into parts of some thousand lines, and each part meets the jobs by itself."""
+    kept = [c for c in shards.columns if c != "text"]
+    lines = shards.select(*kept, F.posexplode(lines_of("text")).alias("pos", "text"))
+    parts = (
+        lines.withColumn("_part", F.expr(f"pos div {PART_LINES}"))
+        .groupBy(*kept, "_part")
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("_lines"))
+    )
+    met = lookup_join(parts, jobs, [shard_key], ["_part"])
+    return met.select(*[c for c in met.columns if c not in ("_part", "_lines")], F.inline("_lines"))
+
+
 def classify(
     jobs: DataFrame,
     shards: DataFrame,
     classifier: Classifier,
     shard_key: str = "data_id",
+    big: DataFrame | None = None,
 ) -> DataFrame:
     """Callbacks (job_id, error, matches) of all `jobs` whose shard is present.
 
-    `jobs` has job_id, query_text, model and `shard_key`; `shards` has
-    `shard_key`, doc_id, text and any columns the classifier wants to see.
-    Whole texts meet their jobs before they are cut into records, so a text is
-    shuffled once at most, and not at all if the stored jobs are small enough
-    for Spark's own broadcast.
+    `jobs` has job_id, query_text, model and `shard_key`; `shards` has one row
+    per `shard_key`, with doc_id, text and any columns the classifier wants to
+    see. A text is shuffled once at most, and not at all if the stored jobs are
+    small enough for Spark's own broadcast. Shards named in `big` (column
+    `shard_key`) have their records and jobs spread over tasks instead.
     A job with any failed part is an error; a job without a match has an empty
     list, never longer than the lines of its one shard.
     """
     wanted = jobs.select("job_id", "query_text", "model", shard_key)
-    texts = shards.join(wanted, shard_key)
-    kept = [c for c in texts.columns if c not in ("text", "uri", "pos")]
-    records = texts.select(*kept, F.posexplode(lines_of("text")).alias("pos", "text")).withColumn(
-        "uri", F.concat_ws("#", F.col("doc_id").cast("string"), "pos")
-    )
+    if big is None:
+        records = _usual_records(shards, wanted, shard_key)
+    else:
+        usual, large = (
+            [lookup_join(df, big, [shard_key], [spread], how) for df, spread in ((shards, "doc_id"), (wanted, "job_id"))]
+            for how in ("left_anti", "left_semi")
+        )
+        records = _usual_records(*usual, shard_key).unionByName(_spread_records(*large, shard_key))
+    records = records.withColumn("uri", F.concat_ws("#", F.col("doc_id").cast("string"), "pos"))
     scored = records.mapInPandas(_scorer(classifier), _SCORED)
     found = F.when(F.col("uri").isNotNull(), F.struct("pos", F.struct("uri", "text").alias("match")))
     per_job = scored.groupBy("job_id").agg(
@@ -95,6 +128,3 @@ def classify(
         F.when(failed, error).otherwise(no_error()).alias("error"),
         F.when(failed, F.array().cast(MATCHES)).otherwise(F.col("_found.match")).alias("matches"),
     )
-
-
-

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shardlens.functions.keys import is_valid_key, key_fields, key_part, load_prefix, object_key
 from shardlens.operators.constraints import broken_rules, check_constraints, keeps_rules
-from shardlens.operators.keyed import first_per_key, insert_ignore, rows_to_insert, upsert
+from shardlens.operators.keyed import first_per_key, insert_ignore, upsert
 from shardlens.operators.lookup import lookup_join
 from shardlens.schemas import RECORD_LANGUAGE
 

@@ -15,15 +15,20 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> Data
     return rows.groupBy(*keys).agg(best).select(*keys, "_row.*").select(*rows.columns)
 
 
-def rows_to_insert(target: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Rows of `new` that an insert-ignore would add: first per key, key not in `target`.
+def absent_rows(target: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of `first` (one per key) whose key `target` lacks.
 
-    A small `new` leaves a large `target` unshuffled.
+    A small `first` leaves a large `target` unshuffled. `first` is read more
+    than once, so hand in a stored or persisted frame.
     """
-    first = store(first_per_key(new, keys, order), "first")
     return first.join(known_keys(first.select(*keys), target), keys, "left_anti")
 
 
+def rows_to_insert(target: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Rows of `new` that an insert-ignore would add: first per key, key not in `target`."""
+    return absent_rows(target, store(first_per_key(new, keys, order), "first"), keys)
+
+
 def insert_ignore(target: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """`target` plus the first new row of every key it lacks. `target` rows always win."""
     added = rows_to_insert(target, new, keys, order)

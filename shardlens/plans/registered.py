@@ -14,14 +14,15 @@ from shardlens.functions.keys import object_key
 from shardlens.functions.outcomes import outcome
 from shardlens.functions.wire import to_wire
 from shardlens.operators import constraints, ingest, keyed, publish, registry, results, status
-from shardlens.operators.classify import Classifier, classify
+from shardlens.operators.classify import Classifier, big_shards, classify
 from shardlens.sources import records, requests as request_source, tables
 from shardlens.sources.callbacks import check_messages, decode_callbacks as decode
 from shardlens.streaming import callbacks as streaming, listing as listing_streaming
 
-# Small sizes, so that queries have several batches and pages on small data.
+# Small sizes, so that small data has several batches and pages a query, and some big shards.
 BATCH = 7
 PAGE = 5
+BIG = 5000
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -441,7 +442,8 @@ def classify_labels(inputs: Inputs) -> DataFrame:
         inputs.winners().withColumnRenamed("md5", "data_id"), "data_id"
     )
     jobs = registry.attach_context(named, inputs.queries())
-    found = classify(jobs, inputs.labelled_shards(), label_classifier(), shard_key="doc_id")
+    big = big_shards(inputs.documents(), "doc_id", "size", BIG)
+    found = classify(jobs, inputs.labelled_shards(), label_classifier(), "doc_id", big)
     return found.select(
         "job_id",
         F.size("matches").alias("n_matches"),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shardlens.durable import store
 from shardlens.operators.lookup import known_keys
 from shardlens.operators.results import apply_outcomes, last_outcomes
 from shardlens.sources.callbacks import check_messages, stream_callbacks
@@ -33,8 +32,7 @@ def callback_stream(
     messages, _ = check_messages(stream_callbacks(spark, path, files_per_batch))
 
     def save(changed: DataFrame, batch_id: int) -> None:
-        # Stored, because the batch is read three times and its state update must run once.
-        batch = store(changed, "changed")
+        batch = changed.persist()  # read three times
         # Read anew in each batch: jobs may have been added since the last one.
         jobs = batch.sparkSession.read.parquet(jobs_path)
         known = known_keys(batch.select("job_id"), jobs).withColumn("known", F.lit(1))
@@ -42,6 +40,7 @@ def callback_stream(
             "known", F.coalesce("known", F.lit(0))
         )
         flagged.write.mode("overwrite").partitionBy("known").parquet(f"{out}/batch_id={batch_id}")
+        batch.unpersist()
 
     before = spark.conf.get(STATE_STORE, None)
     spark.conf.set(STATE_STORE, ROCKSDB)  # a started query keeps the settings it began with

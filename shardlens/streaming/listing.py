@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shardlens.operators.constraints import check_constraints
-from shardlens.operators.ingest import CATALOG_COLUMNS, catalog_rows, rows_to_insert
+from shardlens.operators.ingest import CATALOG_COLUMNS, catalog_rows
+from shardlens.operators.keyed import absent_rows, first_per_key
 from shardlens.schemas import LISTING
 
 STORED_CATALOG = (
@@ -41,10 +42,12 @@ def listing_stream(
         rows, _ = check_constraints(
             catalog_rows(listed, F.current_timestamp() if as_of is None else as_of), "datasets"
         )
-        added = rows_to_insert(before, rows, ["md5"], [F.col("key")])
+        first = first_per_key(rows, ["md5"], [F.col("key")]).persist()
+        added = absent_rows(before, first, ["md5"])
         added.select(*CATALOG_COLUMNS).write.mode("overwrite").parquet(
             f"{catalog_path}/batch_id={batch_id}"
         )
+        first.unpersist()
 
     return (
         spark.readStream.schema(LISTING).option("maxFilesPerTrigger", files_per_batch)

@@ -71,6 +71,24 @@ def test_a_failing_answer_is_an_error_of_the_job_only(spark):
     assert got["j2"].error is None and got["j2"].matches == []
 
 
+def test_big_shards_give_the_same_answers(spark, batch_rows, monkeypatch):
+    from shardlens.operators import classify as module
+
+    monkeypatch.setattr(module, "PART_LINES", 4)
+    texts = {
+        "s1": "\n".join(["cat"] * 11 + ["dog"] + ["cat"] * 8), "s2": "cat", "s3": "cat\n" * 30 + "poison\n" + "cat\n" * 30,
+        "s4": "\n" * 9, "s5": "dog\n" * 7,
+    }
+    shards = spark.createDataFrame([(s, i, t) for i, (s, t) in enumerate(texts.items())], SHARD)
+    jobs = spark.createDataFrame([(f"{s}-{q}", q, "m", s) for s in texts for q in ("cat", "dog")], JOB)
+    sizes = shards.select("data_id", F.octet_length("text").alias("byte_size"))
+    big = module.big_shards(sizes, "data_id", limit=8)
+    assert {r.data_id for r in big.collect()} == {"s1", "s3", "s4", "s5"}
+    plain = sorted(map(str, classify(jobs, shards, contains_query).collect()))
+    assert sorted(map(str, classify(jobs, shards, contains_query, big=big).collect())) == plain
+    assert len(plain) == 10
+
+
 def test_one_shard_with_most_records(spark):
     shards = spark.createDataFrame([("big", 0, "\n".join(["cat"] * 200_000))] + [(f"s{i}", i, "cat\ndog") for i in range(1, 50)], SHARD)
     jobs = shards.select(F.concat(F.lit("j"), "data_id").alias("job_id"), F.lit("cat").alias("query_text"), F.lit("m").alias("model"), "data_id")

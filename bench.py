@@ -56,17 +56,18 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     inputs = Copied(spark, FOLDER)
 
-    # Inputs as stored tables, texts in several files as on a cluster; not timed.
+    # Inputs as stored tables, not timed. Large ones get several files, as on a cluster.
     names = ["documents", "mixed_listing", "known_catalog", "loads", "catalog", "queries",
              "open_jobs", "callbacks", "jobs", "old_stats", "labelled_shards", "winners"]
-    t = {}
-    for name in names:
-        table = getattr(inputs, name)()
-        t[name] = store(table.repartition(int(CPUS)) if "text" in table.columns else table, name)
-    contexts = store(publish.batch_number(t["queries"], t["catalog"], BATCH), "contexts")
-    acks = store(inputs.acks(contexts), "acks")
+    def spread(table: DataFrame, label: str) -> DataFrame:
+        large = COPIES > 1 or "text" in table.columns
+        return store(table.repartition(int(CPUS)) if large else table, label)
+
+    t = {name: spread(getattr(inputs, name)(), name) for name in names}
+    contexts = spread(publish.batch_number(t["queries"], t["catalog"], BATCH), "contexts")
+    acks = spread(inputs.acks(contexts), "acks")
     named = t["open_jobs"].join(t["winners"].withColumnRenamed("md5", "data_id"), "data_id")
-    class_jobs = store(registry.attach_context(named, t["queries"]), "class_jobs")
+    class_jobs = spread(registry.attach_context(named, t["queries"]), "class_jobs")
 
     queries = {
         "ingest": lambda: ingest.load_dataset(t["mixed_listing"], t["known_catalog"], t["loads"], as_of()),

@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from oracle_queries import ORACLE
+from shardlens.plans.registered import QUERIES
 from tests.conftest import TESTDATA
 
 SCALE = TESTDATA / "sf0.01"
@@ -31,10 +33,14 @@ def ordered(rows):
 
 
 def test_every_query_has_its_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+def test_entry_names_every_query():
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows_as_sql(spark, duck, name):
     ours = queries()[name](spark, str(SCALE))
     columns = sorted(ours.columns)

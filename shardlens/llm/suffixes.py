@@ -31,8 +31,8 @@ LENGTH = 200
 PERIOD = 133
 COVER = (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
 # Bytes of text in one block, and bytes of text whose suffixes go into one bucket.
-BLOCK_BYTES = 2 << 20
-BUCKET_BYTES = 48 << 20
+BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 12 << 20
 # Positions named at a time; texts of any length are taken in such parts.
 PART = 1 << 18
 COVER_NAME_BYTES = 5

@@ -82,4 +82,47 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-ORACLE: dict[str, str] = {}
+# The other queries rest on tokenizers, trained models, hash-based marks or windows over bytes,
+# and are tested against plain Python instead.
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": f"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+            FROM documents),
+        keyed AS (SELECT *, {_LOWER.format(f"trim(line, {_BLANKS})")} AS key FROM lines),
+        first AS (
+            SELECT key, min(doc_id) AS doc_id FROM keyed WHERE length(key) >= 10
+            GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+        judged AS (
+            SELECT k.doc_id, k.pos, k.line, f.key IS NOT NULL AND f.doc_id <> k.doc_id AS dropped
+            FROM keyed k LEFT JOIN first f USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id""",
+    "op8_minhash": f"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents),
+        runs AS (
+            SELECT doc_id, array_to_string(w[i:i + 3], ' ') AS shingle
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+        sets AS (SELECT DISTINCT doc_id, shingle FROM runs),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        pairs AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+            FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        links AS (
+            SELECT x, y FROM pairs JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y
+            WHERE 100 * common >= 80 * (s.n + t.n - common)),
+        edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+        reach AS (
+            SELECT doc_id AS x, doc_id AS y FROM documents
+            UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM documents LEFT JOIN sizes USING (doc_id)
+        JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)""",
+}

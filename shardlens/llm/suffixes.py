@@ -10,7 +10,8 @@ repeated string. Those are sorted in turn, by names of their first
 
 Both times suffixes are dealt into buckets by name and one bucket is sorted
 at a time, so a task holds one bucket's names and never the texts. Names have
-64 bits beside the bucket's number (cover names fewer: they only choose
+56 bits beside the bucket's number, and buckets grow with the data, so that a false
+repeat is expected once in 10^11 candidates (cover names have 32: they only choose
 candidates). Documents stand in blocks by a digest of their text; equal texts meet
 there and are handled once. A bucket answers each block with places of repeats.
 """
@@ -35,8 +36,8 @@ BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
 # Positions named at a time; texts of any length are taken in such parts.
 PART = 1 << 18
-COVER_NAME_BYTES = 5
-NAME_BYTES = 8
+COVER_NAME_BYTES = 4
+NAME_BYTES = 7
 DIGEST_BYTES = 16
 
 BLOCKS = "block int, digest binary, text binary, n bigint"

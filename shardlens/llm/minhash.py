@@ -14,12 +14,12 @@ compared one by one. So components are those of all links that share a bucket.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shardlens.durable import store
 from shardlens.llm.common import arrow_schema, back_to_doc_id, columns_of, row_id, texts, to_batch
@@ -179,13 +179,12 @@ def components(edges: DataFrame) -> DataFrame:
     return pointed.unionByName(edges.select(F.col("b").alias("_id"), F.col("b").alias("component")).distinct())
 
 
-def _compatible(percent: int):
+def _compatible(percent: int) -> Column:
     return (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n"))
 
 
-def _pairs_with_hub(buckets: DataFrame, percent: int, smallest: bool) -> DataFrame:
+def _pairs_with_hub(buckets: DataFrame, percent: int, pick: Callable) -> DataFrame:
     """Distinct (a, b) of each row and its bucket's hub, if they lie in different components and may be similar."""
-    pick = F.min if smallest else F.max
     hubs = buckets.groupBy("key").agg(
         pick(F.struct("_id", "n", "component")).alias("_hub"), F.min("component").alias("_low"), F.max("component").alias("_high")
     ).where("_low <> _high").select("key", F.col("_hub._id").alias("_b"), F.col("_hub.n").alias("_n"), F.col("_hub.component").alias("_c"))
@@ -195,13 +194,28 @@ def _pairs_with_hub(buckets: DataFrame, percent: int, smallest: bool) -> DataFra
     )
 
 
-def _labelled(buckets: DataFrame, edges: DataFrame) -> DataFrame:
-    labels = components(edges)
-    return buckets.drop("component").join(labels, "_id", "left").withColumn(
-        "component", F.coalesce("component", "_id")
+def _pairs_with_smallest(buckets: DataFrame, percent: int) -> DataFrame:
+    return _pairs_with_hub(buckets, percent, F.min)
+
+
+def _pairs_with_largest(buckets: DataFrame, percent: int) -> DataFrame:
+    return _pairs_with_hub(buckets, percent, F.max)
+
+
+def _pairs_between_components(buckets: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of all rows of a bucket that lie in different components and may be similar."""
+    other = buckets.select("key", F.col("_id").alias("_b"), F.col("n").alias("_n"), F.col("component").alias("_c"))
+    return (
+        buckets.join(other, "key").where("component < _c").where(_compatible(percent))
+        .select(F.greatest("_id", "_b").alias("a"), F.least("_id", "_b").alias("b")).distinct()
     )
 
 
+def _star(labels: DataFrame) -> DataFrame:
+    """Labels as links of every id with its component's smallest."""
+    return labels.where("_id <> component").select(F.col("_id").alias("a"), F.col("component").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -223,40 +237,43 @@ def near_duplicates(
     buckets = store(
         every.join(shared.select("key"), "key", "left_semi").withColumn("component", F.col("_id")), "buckets"
     )
-    edges = None
+    labels = docs.sparkSession.createDataFrame([], "_id bigint, component bigint")
     tested = None
-    for smallest in (True, False, None):
-        if smallest is None:
-            other = buckets.select("key", F.col("_id").alias("_b"), F.col("n").alias("_n"), F.col("component").alias("_c"))
-            pairs = (
-                buckets.join(other, "key").where("component < _c").where(_compatible(percent))
-                .select(F.greatest("_id", "_b").alias("a"), F.least("_id", "_b").alias("b")).distinct()
-            )
-        else:
-            pairs = _pairs_with_hub(buckets, percent, smallest)
+    for pairs_of in (_pairs_with_smallest, _pairs_with_largest, _pairs_between_components):
+        pairs = pairs_of(buckets, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = store(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = store(confirmed(pairs, docs, shingle, percent), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        if smallest is not None:
-            labelled = _labelled(buckets, edges)
-            open_ = labelled.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high")
-            buckets = store(labelled.join(open_.select("key"), "key", "left_semi"), "buckets")
+        if not found.isEmpty():
+            labels = store(components(found.unionByName(_star(labels))), "labels")
+        if pairs_of is not _pairs_between_components:
+            buckets = store(_open_buckets(buckets, labels), "buckets")
             if buckets.isEmpty():
                 break
-    return _members(signatures, classes, edges)
+    return _members(signatures, classes, labels)
 
 
-def _members(signatures: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every row with its component; rows of one class and rows of one doc_id belong together."""
-    same = signatures.select("_id", "digest").join(classes, "digest").where("_id <> _class").select(
-        F.col("_id").alias("a"), F.col("_class").alias("b")
+def _open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with their components, of the buckets that still have several."""
+    labelled = buckets.drop("component").join(labels, "_id", "left").withColumn(
+        "component", F.coalesce("component", "_id")
     )
-    # A row that stands in one class only needs no round of its own: it takes its class's label.
-    several = same.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n > 1")
-    labels = store(components(edges.unionByName(same.join(several.select("a"), "a", "left_semi"))), "labels")
+    several = labelled.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+    return labelled.join(several.where("_low <> _high").select("key"), "key", "left_semi")
+
+
+def _members(signatures: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every row with its component; rows of one class and rows of one doc_id belong together."""
+    # Only rows that share a doc_id can join classes; others take their class's label.
+    same = signatures.groupBy("_id").agg(
+        F.min("digest").alias("_low"), F.max("digest").alias("_high")
+    ).where("_low <> _high").select("_id")
+    if not same.isEmpty():
+        joined = signatures.where("n_shingles > 0").join(same, "_id", "left_semi").join(classes, "digest")
+        more = joined.select(F.col("_id").alias("a"), F.col("_class").alias("b"))
+        labels = store(components(more.unionByName(_star(labels))), "labels")
     row = signatures.join(classes, "digest", "left").select(
         "_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_class")).otherwise(F.col("_id")).alias("_class")
     )

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shardlens.durable import store
 from shardlens.fixtures import Inputs, as_of
 from shardlens.operators import constraints, ingest, publish, registry, results, status
-from shardlens.operators.classify import classify
+from shardlens.operators.classify import big_shards, classify
 from shardlens.plans.registered import label_classifier
 from shardlens.sources import records
 
@@ -70,9 +70,9 @@ def main() -> None:
     class_jobs = spread(registry.attach_context(named, t["queries"]), "class_jobs")
 
     queries = {
-        "ingest": lambda: ingest.load_dataset(t["mixed_listing"], t["known_catalog"], t["loads"], as_of()),
+        "ingest": lambda: ingest.load_dataset(t["mixed_listing"], t["known_catalog"], t["loads"], as_of())[0],
         "incremental_load": lambda: ingest.load_dataset(
-            t["mixed_listing"], t["known_catalog"], t["loads"], as_of(), resume=True),
+            t["mixed_listing"], t["known_catalog"], t["loads"], as_of(), resume=True)[0],
         "ingest_report": lambda: ingest.ingest_report(t["mixed_listing"], t["known_catalog"]),
         "stats_upsert": lambda: ingest.update_stats(t["old_stats"], t["catalog"], as_of()),
         "fan_out": lambda: publish.fan_out(t["queries"], t["catalog"]),
@@ -89,6 +89,11 @@ def main() -> None:
         "progress": lambda: status.progress(t["queries"], t["jobs"]),
         "orphan_jobs": lambda: constraints.orphan_jobs(t["open_jobs"], t["queries"]),
         "scan_records": lambda: records.scan_records(t["documents"]),
+        "classify_big": lambda: classify(
+            class_jobs, t["labelled_shards"], label_classifier(), "doc_id",
+            big_shards(inputs.documents(), "doc_id", "size", 5000)),
+        "page_messages": lambda: results.page_messages(
+            results.build_pages(t["jobs"], PAGE), results.page_summary(t["jobs"], PAGE)),
         "classify": lambda: classify(class_jobs, t["labelled_shards"], label_classifier(), shard_key="doc_id"),
     }
     seconds = {}

@@ -190,6 +190,7 @@ class Inputs:
             F.coalesce("o.matches", no_matches()).alias("matches"),
             F.coalesce("o.error", no_error()).alias("error"),
             F.col("o.finished_at").alias("finished_at"),
+            F.coalesce("o.has_payload", F.lit(False)).alias("has_payload"),
             "created_at",
         )
 
@@ -214,13 +215,17 @@ class Inputs:
 
     def callback_lines(self) -> DataFrame:
         """The callbacks as the messages they arrive in, column `value`."""
+        return self.callback_messages().select("value")
+
+    def callback_messages(self) -> DataFrame:
+        """The messages with the time of each callback."""
         message = F.struct(
             F.col("job_id").alias("jobId"),
             F.col("error").alias("errorResult"),
             F.col("matches").alias("batchClassifyResult"),
             F.col("received_at").cast("string").alias("receivedAt"),
         )
-        return self.callbacks().select(F.to_json(message).alias("value"))
+        return self.callbacks().select(F.to_json(message).alias("value"), "received_at")
 
     def acks(self, contexts: DataFrame) -> DataFrame:
         """Ids for the batches of `contexts`; every third batch of a query gets one too few."""
@@ -273,5 +278,9 @@ class Inputs:
         )
 
     def labelled_shards(self) -> DataFrame:
-        """Texts of labelled documents with their labels, for a classifier that goes by label."""
-        return self.documents().select("doc_id", "text").join(self.table("labels"), "doc_id")
+        """Texts of all documents with their labels, if any, for a classifier that goes by label.
+
+        Every thirteenth has no text.
+        """
+        text = F.when(F.col("doc_id") % 13 != 0, F.col("text")).alias("text")
+        return self.documents().select("doc_id", text).join(self.table("labels"), "doc_id", "left")

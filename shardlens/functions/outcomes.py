@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shardlens.schemas import ERROR, FAILURE, MATCHES, PROCESSED
 
-OUTCOME_FIELDS = ["matches", "error", "status", "finished_at"]
+OUTCOME_FIELDS = ["matches", "error", "status", "finished_at", "has_payload"]
 
 
 def no_matches() -> Column:
@@ -26,7 +26,8 @@ def outcome(finished_at: Column, matches: str = "matches", error: str = "error")
     """What a callback leaves on its job, as one struct.
 
     The payload is the matches, else the error. Any error makes the status
-    `error`, also beside matches.
+    `error`, also beside matches. `has_payload` says whether there is one, so
+    that counts need not read it.
     """
     found = has_matches(matches)
     return F.struct(
@@ -34,11 +35,14 @@ def outcome(finished_at: Column, matches: str = "matches", error: str = "error")
         F.when(~found, F.col(error)).alias("error"),
         F.when(F.col(error).isNotNull(), ERROR).otherwise(PROCESSED).alias("status"),
         finished_at.alias("finished_at"),
+        (found | F.col(error).isNotNull()).alias("has_payload"),
     )
 
 
-def is_visible() -> Column:
-    """Jobs shown on result pages: processed, with a payload."""
-    return (F.col("status") == PROCESSED) & (
-        F.col("matches").isNotNull() | F.col("error").isNotNull()
-    )
+def is_visible(jobs: DataFrame) -> Column:
+    """Jobs shown on result pages: processed, with a payload. Snapshots without the flag are asked for the payload."""
+    if "has_payload" in jobs.columns:
+        payload = F.col("has_payload")
+    else:
+        payload = F.col("matches").isNotNull() | F.col("error").isNotNull()
+    return (F.col("status") == PROCESSED) & payload

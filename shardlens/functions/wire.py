@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Names of columns in messages. `has_more` keeps its name.
+# Names of columns in messages. `has_more` and `bytesize` keep their names.
 WIRE_NAMES = {
     "query_id": "queryId",
     "query_text": "queryText",
     "created_at": "createdAt",
     "page_size": "pageSize",
-    "job_id": "jobId",
-    "error_result": "errorResult",
-    "batch_classify_result": "batchClassifyResult",
     "data_url": "dataUrl",
     "batch_size": "batchSize",
     "decompressed_byte_size": "decompressedByteSize",
@@ -21,8 +18,9 @@ WIRE_NAMES = {
 }
 
 
-def wire_struct(columns: list[str]) -> Column:
-    return F.struct(*[F.col(c).alias(WIRE_NAMES.get(c, c)) for c in columns])
+def wire_struct(columns: list[str], **values: Column) -> Column:
+    """A struct with the names of messages; `values` stand in for columns of their names."""
+    return F.struct(*[values.get(c, F.col(c)).alias(WIRE_NAMES.get(c, c)) for c in columns])
 
 
 def to_wire(df: DataFrame, columns: list[str] | None = None, name: str = "body") -> DataFrame:

@@ -8,27 +8,32 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from shardlens.durable import store
 from shardlens.functions.outcomes import no_error
-from shardlens.operators.lookup import lookup_join
+from shardlens.operators.lookup import SALTS, lookup_join
 from shardlens.schemas import MATCHES
 from shardlens.sources.records import lines_of
 
 # Takes the query text, the model and a frame with `uri`, `text` and any extra
-# columns of the shards; returns one truth value per row.
+# columns of the shards; returns one truth value per row. The frame holds a part
+# of one shard, so an answer must not depend on other records.
 Classifier = Callable[[str, str, pd.DataFrame], "pd.Series"]
 
 FAILED_CODE = 500
+ABSENT_CODE = 404
+ABSENT = "shard not found"
 BIG_BYTES = 256 << 20
+# Lines of one part of a shard, and jobs that a part meets at once.
 PART_LINES = 10_000
+LIST_JOBS = 64
 _SCORED = "job_id string, pos int, uri string, text string, failure string"
 
 
 def _scorer(classifier: Classifier) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Score each job's part of an Arrow batch.
+    """Score each part of a shard for each job of its list.
 
-    The lines of a job come in a row, so a part is a slice. Yields the matching
-    lines, and for every part one row without uri: the mark that the job was
-    seen, with the failure if the classifier raised.
+    Yields the matching lines, and for every part and job one row without uri: the
+    mark that the job was seen, with the failure if the classifier raised.
 
     All helpers are nested, so that they travel to the workers by value and
     the package need not be installed there.
@@ -44,49 +49,74 @@ def _scorer(classifier: Classifier) -> Callable[[Iterator[pd.DataFrame]], Iterat
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            jobs = batch["job_id"]
-            starts = np.flatnonzero((jobs != jobs.shift()).to_numpy())
-            hits = np.zeros(len(batch), dtype=bool)
-            failures: list[str | None] = []
-            for start, end in zip(starts, [*starts[1:], len(batch)]):
-                part = batch.iloc[start:end].reset_index(drop=True)
-                try:
-                    answer = classifier(part["query_text"].iat[0], part["model"].iat[0], part)
-                    hits[start:end] = truth_values(answer, end - start)
-                    failures.append(None)
-                except Exception as problem:  # the job fails, not the task
-                    failures.append(f"{type(problem).__name__}: {problem}")
-            yield batch.loc[hits, ["job_id", "pos", "uri", "text"]].assign(failure=None)
-            yield pd.DataFrame({
-                "job_id": jobs.iloc[starts], "pos": None, "uri": None, "text": None, "failure": failures,
-            })
+            extra = [c for c in batch.columns if c not in ("_first", "_lines", "_jobs")]
+            for row in batch.to_dict("records"):
+                lines = list(row["_lines"])
+                pos = np.arange(row["_first"], row["_first"] + len(lines))
+                uris = [f"{row['doc_id']}#{i}" for i in pos]
+                part = pd.DataFrame({**{c: [row[c]] * len(lines) for c in extra}, "pos": pos, "uri": uris, "text": lines})
+                for job in row["_jobs"]:
+                    failure, hits = None, np.zeros(len(lines), dtype=bool)
+                    try:
+                        answer = classifier(job["query_text"], job["model"], part.copy())
+                        hits = truth_values(answer, len(lines))
+                    except Exception as problem:  # the job fails, not the task
+                        failure = f"{type(problem).__name__}: {problem}"
+                    yield pd.DataFrame({
+                        "job_id": job["job_id"], "pos": [None, *pos[hits]], "uri": [None, *part["uri"][hits]],
+                        "text": [None, *part["text"][hits]], "failure": [failure] + [None] * int(hits.sum()),
+                    })
 
     return score
 
 
 def big_shards(sizes: DataFrame, shard_key: str, size: str = "byte_size", limit: int = BIG_BYTES) -> DataFrame:
-    """Keys of the shards that are better spread over several tasks, from a catalogue or a listing."""
+    """Keys of the shards that are better spread over several tasks, from a catalogue or a listing.
+
+    With many jobs on one shard, hand in size times jobs as `size`.
+    """
     return sizes.where(F.col(size) > limit).select(shard_key).distinct()
 
 
-def _usual_records(shards: DataFrame, jobs: DataFrame, shard_key: str) -> DataFrame:
-    """Whole texts meet their jobs and are cut into lines after that."""
-    texts = shards.join(jobs, shard_key)
-    kept = [c for c in texts.columns if c != "text"]
-    return texts.select(*kept, F.posexplode(lines_of("text")).alias("pos", "text"))
+def _parts(shards: DataFrame) -> DataFrame:
+    """Texts in parts of some thousand lines, each with the number of its first line. No text, no part."""
+    kept = [c for c in shards.columns if c != "text"]
+    cut = shards.where(F.col("text").isNotNull()).withColumn("_all", lines_of("text"))
+    firsts = F.sequence(F.lit(0), F.size("_all") - 1, F.lit(PART_LINES))
+    return cut.withColumn("_first", F.explode(firsts)).select(
+        *kept, "_first", F.slice("_all", F.col("_first") + 1, PART_LINES).alias("_lines")
+    )
+
 
+def _job_lists(jobs: DataFrame, shard_key: str) -> DataFrame:
+    """The jobs of each shard in lists of bounded length."""
+    counts = jobs.groupBy(shard_key).agg(F.ceil(F.count("*") / LIST_JOBS).alias("_lists"))
+    placed = jobs.join(counts, shard_key).withColumn("_list", F.pmod(F.xxhash64("job_id"), "_lists"))
+    return placed.groupBy(shard_key, "_list").agg(
+        F.collect_list(F.struct("job_id", "query_text", "model")).alias("_jobs")
+    ).drop("_list")
 
-def _spread_records(shards: DataFrame, jobs: DataFrame, shard_key: str) -> DataFrame:
-    """Texts are cut into parts of some thousand lines, and each part meets the jobs by itself."""
-    kept = [c for c in shards.columns if c != "text"]
-    lines = shards.select(*kept, F.posexplode(lines_of("text")).alias("pos", "text"))
-    parts = (
-        lines.withColumn("_part", F.expr(f"pos div {PART_LINES}"))
-        .groupBy(*kept, "_part")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("_lines"))
+
+def _meet(parts: DataFrame, lists: DataFrame, shard_key: str, big: DataFrame | None) -> DataFrame:
+    """Each part with each list of its shard's jobs. Parts of big shards are spread over salts, and their lists repeated."""
+    if big is None:
+        return parts.join(lists, shard_key).drop(shard_key)
+    marks = store(big.select(shard_key, F.lit(True).alias("_big")), "big")
+    salt = F.when(F.col("_big"), F.pmod(F.xxhash64("_first"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("_big"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = lookup_join(parts, marks, [shard_key], ["_first"], "left").withColumn("_salt", salt)
+    right = lookup_join(lists, marks, [shard_key], ["_jobs"], "left").withColumn("_salt", F.explode(salts))
+    met = left.join(right.select(shard_key, "_salt", "_jobs"), [shard_key, "_salt"])
+    return met.drop(shard_key, "_salt", "_big")
+
+
+def _every_job(jobs: DataFrame, scored: DataFrame) -> DataFrame:
+    """The scored rows, and one unseen row for every job, which alone is left if its shard is absent."""
+    absent = jobs.select(
+        "job_id", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("uri"),
+        F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("failure"), F.lit(0).alias("seen"),
     )
-    met = lookup_join(parts, jobs, [shard_key], ["_part"])
-    return met.select(*[c for c in met.columns if c not in ("_part", "_lines")], F.inline("_lines"))
+    return scored.withColumn("seen", F.lit(1)).unionByName(absent)
 
 
 def classify(
@@ -96,33 +126,34 @@ def classify(
     shard_key: str = "data_id",
     big: DataFrame | None = None,
 ) -> DataFrame:
-    """Callbacks (job_id, error, matches) of all `jobs` whose shard is present.
+    """Callbacks (job_id, error, matches) of all `jobs`, one for each.
 
     `jobs` has job_id, query_text, model and `shard_key`; `shards` has one row
     per `shard_key`, with doc_id, text and any columns the classifier wants to
-    see. A text is shuffled once at most, and not at all if the stored jobs are
-    small enough for Spark's own broadcast. Shards named in `big` (column
-    `shard_key`) have their records and jobs spread over tasks instead.
-    A job with any failed part is an error; a job without a match has an empty
-    list, never longer than the lines of its one shard.
+    see. A part of a text goes to Python once for each list of jobs, not for
+    each job. Shards named in `big` (column `shard_key`) have their parts and
+    jobs spread over tasks. A job with any failed part is an error, and so is
+    one whose shard is absent or has no text; a job without a match has an
+    empty list, never longer than the lines of its one shard.
     """
     wanted = jobs.select("job_id", "query_text", "model", shard_key)
-    if big is None:
-        records = _usual_records(shards, wanted, shard_key)
-    else:
-        usual, large = (
-            [lookup_join(df, big, [shard_key], [spread], how) for df, spread in ((shards, "doc_id"), (wanted, "job_id"))]
-            for how in ("left_anti", "left_semi")
-        )
-        records = _usual_records(*usual, shard_key).unionByName(_spread_records(*large, shard_key))
-    records = records.withColumn("uri", F.concat_ws("#", F.col("doc_id").cast("string"), "pos"))
-    scored = records.mapInPandas(_scorer(classifier), _SCORED)
+    keyed = shards if shard_key != "doc_id" else shards.withColumn("_key", F.col("doc_id"))
+    key = shard_key if shard_key != "doc_id" else "_key"
+    met = _meet(
+        _parts(keyed), _job_lists(wanted.withColumnRenamed(shard_key, key), key), key,
+        None if big is None else big.select(F.col(shard_key).alias(key)),
+    )
+    scored = met.mapInPandas(_scorer(classifier), _SCORED)
     found = F.when(F.col("uri").isNotNull(), F.struct("pos", F.struct("uri", "text").alias("match")))
-    per_job = scored.groupBy("job_id").agg(
-        F.max("failure").alias("_failure"), F.sort_array(F.collect_list(found)).alias("_found")
+    per_job = _every_job(wanted, scored).groupBy("job_id").agg(
+        F.when(F.max("seen") == 0, ABSENT).otherwise(F.max("failure")).alias("_failure"),
+        F.sort_array(F.collect_list(found)).alias("_found"),
     )
     failed = F.col("_failure").isNotNull()
-    error = F.struct(F.lit(FAILED_CODE).alias("code"), F.col("_failure").alias("message"))
+    error = F.struct(
+        F.when(F.col("_failure") == ABSENT, ABSENT_CODE).otherwise(FAILED_CODE).alias("code"),
+        F.col("_failure").alias("message"),
+    )
     return per_job.select(
         "job_id",
         F.when(failed, error).otherwise(no_error()).alias("error"),

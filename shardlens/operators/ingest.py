@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shardlens.durable import store
 from shardlens.functions.keys import is_valid_key, key_fields, key_part, load_prefix, object_key
 from shardlens.operators.constraints import broken_rules, check_constraints, keeps_rules
 from shardlens.operators.keyed import first_per_key, insert_ignore, upsert
@@ -131,15 +132,19 @@ def last_key_overall(catalog: DataFrame) -> DataFrame:
 
 def load_dataset(
     listing: DataFrame, catalog: DataFrame, loads: DataFrame, as_of: Column, resume: bool = False
-) -> DataFrame:
-    """Catalogue after listing all `loads` (name, data_type), from the last key on if `resume`."""
+) -> tuple[DataFrame, DataFrame]:
+    """Load all `loads` (name, data_type), from the last key on if `resume`.
+
+    Gives the catalogue after it, and the listed objects that could not be taken, with `reasons`.
+    """
     wanted = loads.select("name", "data_type")
     if resume:
         after = last_key(catalog).withColumnRenamed("last_key", "start_after")
         wanted = wanted.join(after, ["name", "data_type"], "left")
-    listed = list_loads(listing, wanted).select(*listing.columns)
+    # Stored: it is measured before it is used, and may rest on an aggregate of the whole catalogue.
+    listed = list_loads(listing, store(wanted, "loads")).select(*listing.columns)
     rows, _ = check_constraints(catalog_rows(listed, as_of), "datasets")
-    return add_to_catalog(catalog, rows)
+    return add_to_catalog(catalog, rows), load_rejects(listed)
 
 
 def dataset_stats(catalog: DataFrame, as_of: Column) -> DataFrame:
@@ -151,7 +156,7 @@ def dataset_stats(catalog: DataFrame, as_of: Column) -> DataFrame:
 
 def update_stats(stats: DataFrame, catalog: DataFrame, as_of: Column) -> DataFrame:
     """Renew the statistics of all present groups; vanished groups keep their row."""
-    return upsert(stats, dataset_stats(catalog, as_of), STATS_KEYS)
+    return upsert(stats, store(dataset_stats(catalog, as_of), "stats"), STATS_KEYS)
 
 
 def ingest_report(listing: DataFrame, catalog: DataFrame) -> DataFrame:

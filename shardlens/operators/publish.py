@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shardlens.functions.keys import object_key
+from shardlens.functions.wire import wire_struct
 from shardlens.operators.lookup import BROADCAST_BYTES, lookup_join
 from shardlens.operators.numbering import number_rows
 from shardlens.schemas import BATCH_SIZE, PENDING
 
+CONTEXT = ["data_url", "batch_size", "bytesize", "decompressed_byte_size", "checksum_md5", "classifier_id"]
+
 
 def fan_out(
     queries: DataFrame, catalog: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
@@ -55,13 +58,9 @@ def job_contexts(jobs: DataFrame) -> DataFrame:
     """Add the `context` the classifier gets for each job."""
     return jobs.withColumn(
         "context",
-        F.struct(
-            object_key().alias("dataUrl"),
-            F.lit(0).alias("batchSize"),
-            F.col("byte_size").alias("bytesize"),
-            F.col("decompressed_byte_size").alias("decompressedByteSize"),
-            F.col("md5").alias("checksumMd5"),
-            F.col("query_id").alias("classifierId"),
+        wire_struct(
+            CONTEXT, data_url=object_key(), batch_size=F.lit(0), bytesize=F.col("byte_size"),
+            checksum_md5=F.col("md5"), classifier_id=F.col("query_id"),
         ),
     )
 

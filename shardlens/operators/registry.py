@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shardlens.functions.wire import to_wire
 from shardlens.operators.constraints import check_constraints
 from shardlens.operators.lookup import lookup_join
 from shardlens.operators.numbering import number_rows
@@ -83,3 +84,24 @@ def eligible_queries(queries: DataFrame, jobs: DataFrame, owner: str | None = No
     if owner is not None:
         ready = ready.where(F.col("owner") == owner)
     return queries_with_jobs(ready, jobs)
+
+
+# Messages about queries, one row each; a list of an owner's queries is their rows joined by the reader.
+
+
+def detail_messages(queries: DataFrame) -> DataFrame:
+    """(query_id, owner, body): the details of every query for its owner."""
+    fields = ["query_id", "dataset", "query_text", "model", "language", "created_at"]
+    return to_wire(owned_queries(queries), fields).select("query_id", "owner", "body")
+
+
+def context_messages(queries: DataFrame) -> DataFrame:
+    """(query_id, body): text and model of every query for the classifier."""
+    named = queries.withColumnRenamed("id", "query_id")
+    return to_wire(named, ["query_text", "model"]).select("query_id", "body")
+
+
+def registration_messages(queries: DataFrame) -> DataFrame:
+    """(query_id, body): the answer to every registration."""
+    named = queries.select(F.col("id").alias("query_id"))
+    return to_wire(named, ["query_id"])

@@ -29,7 +29,10 @@ def last_outcomes(callbacks: DataFrame) -> DataFrame:
 
 def with_outcome_columns(jobs: DataFrame, time_type) -> DataFrame:
     """Add the outcome columns pending jobs do not have yet."""
-    absent = {"matches": no_matches(), "error": no_error(), "finished_at": F.lit(None).cast(time_type)}
+    absent = {
+        "matches": no_matches(), "error": no_error(), "finished_at": F.lit(None).cast(time_type),
+        "has_payload": F.lit(False),
+    }
     new = {name: value for name, value in absent.items() if name not in jobs.columns}
     return jobs.withColumns(new) if new else jobs
 
@@ -53,15 +56,17 @@ def merge_callbacks(jobs: DataFrame, callbacks: DataFrame) -> DataFrame:
 
 
 def unknown_callbacks(callbacks: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Callbacks that name no job."""
+    """Callbacks that name no job, also those without any id."""
     # Ids are reduced before they meet the jobs: one id may hold most callbacks.
-    ids = store(callbacks.select("job_id").distinct(), "ids")
+    named = callbacks.where(F.col("job_id").isNotNull())
+    ids = store(named.select("job_id").distinct(), "ids")
     unknown = store(ids.join(known_keys(ids, jobs), "job_id", "left_anti"), "unknown")
-    return lookup_join(callbacks, unknown, ["job_id"], ["received_at", "matches"], "left_semi")
+    found = lookup_join(named, unknown, ["job_id"], ["received_at", "matches"], "left_semi")
+    return found.unionByName(callbacks.where(F.col("job_id").isNull()))
 
 
 def visible_results(jobs: DataFrame) -> DataFrame:
-    return jobs.where(is_visible())
+    return jobs.where(is_visible(jobs))
 
 
 def result_total(jobs: DataFrame) -> DataFrame:
@@ -72,13 +77,19 @@ def result_total(jobs: DataFrame) -> DataFrame:
 def build_pages(jobs: DataFrame, page_size: int = PAGE_SIZE, order: str = "data_id") -> DataFrame:
     """Visible jobs with their `page` (from 1) and `pos` on it, for all queries at once.
 
-    A page is then read by a filter, however deep it lies.
+    A page is then read by a filter, however deep it lies. Only ids are numbered;
+    payloads meet their place once. Pages follow `order` (unique in a query), so
+    jobs of a later publish may stand on earlier pages; pages are built anew then.
     """
-    numbered = number_rows(visible_results(jobs), ["query_id"], [order], name="_nth")
-    return numbered.withColumns({
-        "page": F.expr(f"_nth div {int(page_size)} + 1"),
-        "pos": (F.col("_nth") % page_size).cast("int"),
-    }).drop("_nth")
+    visible = visible_results(jobs)
+    places = number_rows(
+        visible.select("query_id", order, "job_id"), ["query_id"], [order, "job_id"], name="_nth"
+    ).select(
+        "job_id",
+        F.expr(f"_nth div {int(page_size)} + 1").alias("page"),
+        (F.col("_nth") % page_size).cast("int").alias("pos"),
+    )
+    return visible.join(places, "job_id").select(*visible.columns, "page", "pos")
 
 
 def results_page(
@@ -97,7 +108,7 @@ def page_summary(jobs: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     `visible_total` counts the jobs that are really shown.
     """
     totals = jobs.groupBy("query_id").agg(
-        F.count("*").alias("total"), F.count_if(is_visible()).alias("visible_total")
+        F.count("*").alias("total"), F.count_if(is_visible(jobs)).alias("visible_total")
     )
     last = F.expr(f"(total - 1) div {int(page_size)} + 1")
     pages = F.sequence(F.lit(1).cast("bigint"), last)
@@ -114,15 +125,21 @@ def explode_matches(jobs: DataFrame) -> DataFrame:
 
 
 def page_messages(pages: DataFrame, summary: DataFrame) -> DataFrame:
-    """(query_id, page, body): the JSON message of every page.
+    """(query_id, page, pos, body): the messages of every page, a row for each job.
 
-    A group is one page, so a message never holds more jobs than the page size.
+    Row -1 of a page is its head (total, page, pageSize, has_more), the others
+    hold the results of one job, so no row grows with a page. `page_message` puts one page together.
     """
-    shown = F.sort_array(F.collect_list(F.struct("pos", F.struct(F.col("matches").alias("results")).alias("job"))))
-    lists = pages.groupBy("query_id", "page").agg(shown.alias("_shown"))
-    empty = F.array().cast("array<struct<results:array<struct<uri:string,text:string>>>>")
-    filled = summary.join(lists, ["query_id", "page"], "left").withColumn(
-        "results", F.coalesce(F.col("_shown.job"), empty)
-    )
-    columns = ["results", "total", "page", "page_size", "has_more"]
-    return to_wire(filled, columns).select("query_id", "page", "body")
+    heads = to_wire(summary, ["total", "page", "page_size", "has_more"]).select("query_id", "page", F.lit(-1).alias("pos"), "body")
+    jobs = to_wire(pages.withColumnRenamed("matches", "results"), ["results"])
+    return heads.unionByName(jobs.select("query_id", "page", "pos", "body"))
+
+
+def page_message(messages: DataFrame, query_id: int, page: int) -> str | None:
+    """The whole JSON message of one page for its reader; None if there is no such page."""
+    check_page(page)
+    rows = messages.where((F.col("query_id") == query_id) & (F.col("page") == page)).orderBy("pos").collect()
+    if not rows:
+        return None
+    head = next(r["body"] for r in rows if r["pos"] < 0)
+    return '{"results":[' + ",".join(r["body"] for r in rows if r["pos"] >= 0) + "]," + head[1:]

@@ -32,7 +32,7 @@ def job_facts(jobs: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == PENDING).alias("pending"),
         F.count_if(F.col("status") == PROCESSED).alias("processed"),
         F.count_if(F.col("status") == ERROR).alias("errors"),
-        F.count_if(is_visible()).alias("visible"),
+        F.count_if(is_visible(jobs)).alias("visible"),
         F.max("finished_at").alias("last_finished_at"),
     )
 

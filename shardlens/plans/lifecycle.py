@@ -17,12 +17,17 @@ def refresh_catalog(
     listing: DataFrame, catalog: DataFrame, stats: DataFrame, loads: DataFrame,
     as_of: Column, out: str, resume: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Load all `loads` and renew the statistics. Writes new snapshots below `out`."""
+    """Load all `loads` and renew the statistics. Writes new snapshots below `out`.
+
+    Objects that could not be taken are written to `load_rejects`, with reasons.
+    """
     spark = listing.sparkSession
-    write_table(ingest.load_dataset(listing, catalog, loads, as_of, resume), f"{out}/datasets", "datasets")
-    loaded = read_table(spark, f"{out}/datasets")
+    after, rejects = ingest.load_dataset(listing, catalog, loads, as_of, resume)
+    write_table(after, f"{out}/datasets", "datasets")
+    write_table(rejects, f"{out}/load_rejects", "load_rejects")
+    loaded = read_table(spark, f"{out}/datasets", after.schema)
     write_table(ingest.update_stats(stats, loaded, as_of), f"{out}/dataset_stats", "dataset_stats")
-    return loaded, read_table(spark, f"{out}/dataset_stats")
+    return loaded, read_table(spark, f"{out}/dataset_stats", stats.schema)
 
 
 @dataclass(frozen=True)

@@ -15,8 +15,8 @@ from shardlens.functions.outcomes import outcome
 from shardlens.functions.wire import to_wire
 from shardlens.operators import constraints, ingest, keyed, publish, registry, results, status
 from shardlens.operators.classify import Classifier, big_shards, classify
-from shardlens.sources import records, requests as request_source, tables
-from shardlens.sources.callbacks import check_messages, decode_callbacks as decode
+from shardlens.sources import listing, records, requests as request_source, tables
+from shardlens.sources.callbacks import check_messages, decode_callbacks as decode, read_callbacks as read
 from shardlens.streaming import callbacks as streaming, listing as listing_streaming
 
 # Small sizes, so that small data has several batches and pages a query, and some big shards.
@@ -69,6 +69,42 @@ def stored_catalog(inputs: Inputs) -> str:
     return path
 
 
+@registered
+def listing_scan(inputs: Inputs) -> DataFrame:
+    """A folder of objects on disk: one a document, some empty, some with hidden names."""
+    shared = durable_folder(inputs.spark).removeprefix("file:")
+    root = f"{shared}/runs/objects-{uuid.uuid4().hex}"
+    objects = inputs.documents().select(
+        F.concat_ws(
+            "/", "source", F.when(F.col("doc_id") % 5 == 0, "_hidden").otherwise("text"), "lang",
+            F.concat(F.when(F.col("doc_id") % 7 == 0, ".").otherwise(""), F.md5(F.col("doc_id").cast("string"))),
+        ).alias("key"),
+        F.when(F.col("doc_id") % 11 == 0, 0).otherwise(F.col("doc_id") % 100).cast("int").alias("size"),
+    )
+
+    def write(rows) -> None:
+        from pathlib import Path
+
+        for row in rows:
+            file = Path(root, row["key"])
+            file.parent.mkdir(parents=True, exist_ok=True)
+            file.write_bytes(b"x" * row["size"])
+
+    objects.foreachPartition(write)
+    return listing.scan_listing(inputs.spark, root)
+
+
+@registered
+def catalog_roundtrip(inputs: Inputs) -> DataFrame:
+    """The catalogue as it is read back, with languages that look like nothing, numbers and dates."""
+    odd = F.when(F.col("byte_size") % 4 == 0, "").when(F.col("byte_size") % 4 == 1, "007").when(
+        F.col("byte_size") % 4 == 2, "2024-01-01"
+    ).otherwise(F.col("language"))
+    path = new_folder(inputs, "catalog")
+    tables.write_table(inputs.catalog().withColumn("language", odd), path, "datasets")
+    return tables.read_table(inputs.spark, path).select("name", "language", "md5", "byte_size", "created_at")
+
+
 @registered
 def scan_catalog(inputs: Inputs) -> DataFrame:
     return tables.scan_catalog(inputs.spark, stored_catalog(inputs), language="en").select(
@@ -212,6 +248,16 @@ def register_rejects(inputs: Inputs) -> DataFrame:
     return rejected.select("id", F.array_join("reasons", "; ").alias("reasons"))
 
 
+@registered
+def query_messages(inputs: Inputs) -> DataFrame:
+    """The three messages about each query."""
+    queries = inputs.queries()
+    details = registry.detail_messages(queries).select("query_id", F.lit("details").alias("kind"), "body")
+    context = registry.context_messages(queries).select("query_id", F.lit("context").alias("kind"), "body")
+    answer = registry.registration_messages(queries).select("query_id", F.lit("registration").alias("kind"), "body")
+    return details.unionByName(context).unionByName(answer)
+
+
 @registered
 def decode_requests(inputs: Inputs) -> DataFrame:
     return request_source.decode_requests(request_lines(inputs))[0]
@@ -247,7 +293,10 @@ def merge_callbacks(inputs: Inputs) -> DataFrame:
 
 @registered
 def unknown_callbacks(inputs: Inputs) -> DataFrame:
-    return results.unknown_callbacks(inputs.callbacks(), inputs.open_jobs()).select(
+    nameless = inputs.callbacks().withColumn(
+        "job_id", F.when(F.minute("received_at") != 7, F.col("job_id"))
+    )
+    return results.unknown_callbacks(nameless, inputs.open_jobs()).select(
         "job_id", "received_at", matches_text(), F.col("error.code").alias("error_code")
     )
 
@@ -309,7 +358,11 @@ def result_total(inputs: Inputs) -> DataFrame:
 
 @registered
 def query_status(inputs: Inputs) -> DataFrame:
-    return status.query_status(inputs.queries(), inputs.catalog(), inputs.jobs())
+    """Only acknowledged jobs exist, so a query may have fewer than its dataset has shards."""
+    sent = store(contexts(inputs), "contexts")
+    created = publish.attach_job_ids(sent, inputs.acks(sent), as_of()).select("job_id")
+    jobs = inputs.jobs().join(created, "job_id", "left_semi")
+    return status.query_status(inputs.queries(), inputs.catalog(), jobs)
 
 
 @registered
@@ -351,7 +404,8 @@ def last_key(inputs: Inputs) -> DataFrame:
 
 @registered
 def last_key_overall(inputs: Inputs) -> DataFrame:
-    return ingest.last_key_overall(inputs.catalog())
+    days = F.make_dt_interval(F.pmod("byte_size", F.lit(5)).cast("int"))
+    return ingest.last_key_overall(inputs.catalog().withColumn("created_at", F.col("created_at") - days))
 
 
 @registered
@@ -378,7 +432,25 @@ def stats_upsert(inputs: Inputs) -> DataFrame:
 def incremental_load(inputs: Inputs) -> DataFrame:
     return ingest.load_dataset(
         inputs.mixed_listing(), inputs.known_catalog(), inputs.loads(), as_of(), resume=True
-    )
+    )[0]
+
+
+def odd_listing(inputs: Inputs) -> DataFrame:
+    """The mixed listing, with some languages too wide for the table."""
+    wide = F.concat_ws("/", F.lit("src0/text/a-language-too-wide"), F.col("key"))
+    return inputs.mixed_listing().select(F.when(F.col("size") % 9 == 0, wide).otherwise(F.col("key")).alias("key"), "size")
+
+
+def odd_loads(inputs: Inputs) -> DataFrame:
+    """Loads that cover all keys of the odd listing, short ones too."""
+    pages = inputs.loads().select(F.lit("pages").alias("name"), F.lit("").alias("data_type")).distinct()
+    return inputs.loads().unionByName(pages)
+
+
+@registered
+def load_rejects(inputs: Inputs) -> DataFrame:
+    rejected = ingest.load_dataset(odd_listing(inputs), inputs.known_catalog(), odd_loads(inputs), as_of())[1]
+    return rejected.select("key", "size", F.array_join("reasons", "; ").alias("reasons")).distinct()
 
 
 # Constraints
@@ -429,7 +501,7 @@ def label_classifier() -> Classifier:
     """Stand-in: good documents match on their non-blank lines, toxic ones fail."""
 
     def by_label(query_text: str, model: str, part: pd.DataFrame) -> pd.Series:
-        if (part["toxic"] == 1).any():
+        if (part["toxic"] == 1).any():  # a label of the shard, the same in all its parts
             raise ValueError("toxic")
         return (part["quality"] == 1) & (part["text"].str.strip(" ") != "")
 
@@ -458,6 +530,27 @@ def decode_callbacks(inputs: Inputs) -> DataFrame:
     return ok.select("job_id", matches_text(), F.col("error.code").alias("error_code"))
 
 
+def odd_lines(inputs: Inputs) -> DataFrame:
+    """The callback messages, some cut off, some without a job, some with half an error."""
+    turn = F.minute("received_at") % 5
+    return inputs.callback_messages().select(
+        F.when(turn == 0, F.expr("substring(value, 1, length(value) - 3)"))
+        .when(turn == 1, F.regexp_replace("value", '"jobId"', '"nobody"'))
+        .when(turn == 2, F.lit('{"jobId":"half","errorResult":{"message":"m"}}'))
+        .otherwise(F.col("value")).alias("value")
+    )
+
+
+@registered
+def read_callbacks(inputs: Inputs) -> DataFrame:
+    """All messages of a folder: taken ones with their job, others with the reasons."""
+    folder = new_folder(inputs, "messages")
+    odd_lines(inputs).write.text(folder)
+    ok, rejected = read(inputs.spark, folder)
+    taken = ok.select("job_id", F.lit("").alias("reasons"))
+    return taken.unionByName(rejected.select("job_id", F.array_join("reasons", "; ").alias("reasons")))
+
+
 @registered
 def request_messages(inputs: Inputs) -> DataFrame:
     requests = publish.batch_requests(contexts(inputs))
@@ -476,23 +569,47 @@ def page_messages(inputs: Inputs) -> DataFrame:
 @registered
 def callback_stream(inputs: Inputs) -> DataFrame:
     """Jobs after the callbacks came in as a stream of files."""
+    out = streamed_callbacks(inputs, inputs.callback_lines())
+    merged = streaming.jobs_with_stream(inputs.open_jobs(), out)
+    return with_plain_outcome(merged, "query_id", "job_id", "data_id").withColumn(
+        "finished_at", F.col("finished_at").cast("timestamp_ntz")
+    )
+
+
+def streamed_callbacks(inputs: Inputs, lines: DataFrame) -> str:
+    """Run a stream over `lines` in several files and return where its changes are."""
     folder = new_folder(inputs, "callbacks")
-    inputs.callback_lines().repartition(4).write.text(f"{folder}/calls")
-    inputs.open_jobs().write.parquet(f"{folder}/jobs")
+    lines.repartition(4).write.text(f"{folder}/calls")
     streaming.callback_stream(
-        inputs.spark, f"{folder}/calls", f"{folder}/jobs", f"{folder}/out", f"{folder}/checkpoint",
-        files_per_batch=2,
+        inputs.spark, f"{folder}/calls", f"{folder}/out", f"{folder}/checkpoint", files_per_batch=2
     ).awaitTermination()
-    merged = streaming.jobs_with_stream(inputs.spark.read.parquet(f"{folder}/jobs"), f"{folder}/out")
-    return with_plain_outcome(merged, "query_id", "job_id", "data_id").drop("finished_at")
+    return f"{folder}/out"
+
+
+@registered
+def stream_rejects(inputs: Inputs) -> DataFrame:
+    """Messages that the stream set aside, with the reasons."""
+    found = streaming.rejected_messages(inputs.spark, streamed_callbacks(inputs, odd_lines(inputs)))
+    return found.select("job_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @registered
 def listing_stream(inputs: Inputs) -> DataFrame:
     """Shards of the catalogue after the listing came in as a stream of files."""
+    return listing_streaming.read_streamed_catalog(inputs.spark, streamed_listing(inputs)).select("md5")
+
+
+def streamed_listing(inputs: Inputs) -> str:
     folder = new_folder(inputs, "listing")
     inputs.mixed_listing().repartition(4).write.parquet(f"{folder}/inventory")
     listing_streaming.listing_stream(
         inputs.spark, f"{folder}/inventory", f"{folder}/catalog", f"{folder}/checkpoint", files_per_batch=2
     ).awaitTermination()
-    return listing_streaming.read_streamed_catalog(inputs.spark, f"{folder}/catalog").select("md5")
+    return f"{folder}/catalog"
+
+
+@registered
+def listing_stream_rejects(inputs: Inputs) -> DataFrame:
+    """Objects that the stream set aside, with the reasons."""
+    found = listing_streaming.rejected_listings(inputs.spark, streamed_listing(inputs))
+    return found.select("key", "size", F.array_join("reasons", "; ").alias("reasons"))

@@ -3,27 +3,59 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shardlens.durable import store
 from shardlens.schemas import LISTING
 
+_ENTRY = "path string, size bigint, is_folder boolean"
+
+
+def _open(root: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The store of an address and the path in it."""
+    if "://" not in root or root.startswith("file:"):
+        return arrow_fs.LocalFileSystem(), re.sub("^file:/*", "/", root).rstrip("/")
+    files, path = arrow_fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", root))
+    return files, path.rstrip("/")
+
+
+def _lister(files: arrow_fs.FileSystem) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lists what lies directly in each given folder, all names and sizes included."""
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                found = files.get_file_info(arrow_fs.FileSelector(path, recursive=False))
+                yield pa.record_batch({
+                    "path": pa.array([f.path for f in found], pa.string()),
+                    "size": pa.array([f.size or 0 for f in found], pa.int64()),
+                    "is_folder": pa.array([f.type == arrow_fs.FileType.Directory for f in found], pa.bool_()),
+                })
+
+    return entries
+
 
 def scan_listing(spark: SparkSession, root: str) -> DataFrame:
-    """All objects below `root`. Only paths and lengths are read, no contents.
+    """All objects below `root`, empty ones and names with a leading `_` or `.` too.
 
-    The driver holds the file index, so use `read_inventory` for very large buckets.
+    Spark's own file sources hide such names, so folders are listed by tasks,
+    level by level, a job for each level. A task holds one folder at a time, and
+    only paths and lengths are read. Use `read_inventory` where the store writes inventories.
     """
-    root = re.sub("^file:/*", "/", root).rstrip("/") + "/"
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .select("path", "length")
-    )
-    below = F.instr("path", root) + F.lit(len(root))
-    return files.select(
-        F.substring(F.col("path"), below, F.length("path")).alias("key"),
-        F.col("length").cast("bigint").alias("size"),
-    )
+    files, top = _open(root)
+    level = spark.createDataFrame([(top,)], "path string")
+    found = None
+    while True:
+        entries = store(level.select("path").repartition("path").mapInArrow(_lister(files), _ENTRY), "listing")
+        found = entries if found is None else found.unionByName(entries)
+        level = entries.where("is_folder")
+        if level.isEmpty():
+            break
+    key = F.substring(F.col("path"), F.lit(len(top) + 2), F.length("path"))
+    return found.where("not is_folder").select(key.alias("key"), "size")
 
 
 def read_inventory(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:

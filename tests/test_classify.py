@@ -40,7 +40,8 @@ def test_matches_errors_and_empty_jobs(spark, batch_rows):
         [(f"{s}-{q}", q, "m", s) for s in [*texts, "absent"] for q in ("cat", "dog", "cow")], JOB
     )
     got = {r.job_id: r for r in classify(jobs, shards, contains_query).collect()}
-    assert set(got) == {f"{s}-{q}" for s in texts for q in ("cat", "dog", "cow")}
+    assert set(got) == {f"{s}-{q}" for s in [*texts, "absent"] for q in ("cat", "dog", "cow")}
+    assert tuple(got["absent-cat"].error) == (404, "shard not found") and got["absent-cat"].matches == []
     assert [m.uri for m in got["s1-cat"].matches] == [f"0#{i}" for i in range(11) if i != 5]
     assert [tuple(m) for m in got["s2-dog"].matches] == [("1#0", "dog"), ("1#2", "cat dog")]
     assert got["s1-cow"].matches == [] and got["s1-cow"].error is None
@@ -50,6 +51,16 @@ def test_matches_errors_and_empty_jobs(spark, batch_rows):
         assert tuple(got[f"s3-{q}"].error) == (500, "RuntimeError: cannot read")
 
 
+def test_shard_without_text_is_an_error(spark):
+    shards = spark.createDataFrame([("s1", 1, None), ("s2", 2, "cat")], SHARD)
+    jobs = spark.createDataFrame([(f"j-{s}", "cat", "m", s) for s in ("s1", "s2", "s3")], JOB)
+    big = spark.createDataFrame([("s1",), ("s3",)], "data_id string")
+    for chosen in (None, big):
+        got = {r.job_id: r for r in classify(jobs, shards, contains_query, big=chosen).collect()}
+        assert len(got) == 3 and len(got["j-s2"].matches) == 1
+        assert {got[j].error.code for j in ("j-s1", "j-s3")} == {404}
+
+
 def test_callbacks_of_the_classifier_merge_into_jobs(spark):
     shards = spark.createDataFrame([("s1", 1, "cat\ndog")], SHARD)
     jobs = spark.createDataFrame([("j1", "cat", "m", "s1"), ("j2", "cow", "m", "s1")], JOB)

@@ -85,9 +85,9 @@ def test_resume_goes_on_after_the_last_key_of_each_dataset(spark):
     old = catalog(spark, "a/text/en/k.zz", "b/text/en/a.zz")
     rows = listing(spark, "a/text/en/j.zz", "a/text/en/m.zz", "b/text/en/b.zz", "c/text/en/c.zz")
     loads = spark.createDataFrame([("a", "text"), ("b", "text")], "name string, data_type string")
-    resumed = ingest.load_dataset(rows, old, loads, now(), resume=True)
+    resumed, _ = ingest.load_dataset(rows, old, loads, now(), resume=True)
     assert {r.md5 for r in resumed.collect()} == {"k", "a", "m", "b"}
-    fresh = ingest.load_dataset(rows, old, loads, now())
+    fresh, _ = ingest.load_dataset(rows, old, loads, now())
     assert {r.md5 for r in fresh.collect()} == {"k", "a", "j", "m", "b"}
 
 
@@ -101,7 +101,9 @@ def test_rows_that_break_a_rule_are_reported_not_loaded(spark):
     rows = listing(spark, "a/text/en/ok.zz", "a/text/much-too-long/x.zz", "a/text")
     loads = spark.createDataFrame([("a", "text")], "name string, data_type string")
     empty = catalog(spark, "q/text/en/q.zz").where("false")
-    assert [r.md5 for r in ingest.load_dataset(rows, empty, loads, now()).collect()] == ["ok"]
+    loaded, rejected = ingest.load_dataset(rows, empty, loads, now())
+    assert [r.md5 for r in loaded.collect()] == ["ok"]
+    assert {r.key for r in rejected.collect()} == {"a/text/much-too-long/x.zz", "a/text"}
     rejects = {r.key: r.reasons for r in ingest.load_rejects(rows).collect()}
     assert rejects == {
         "a/text/much-too-long/x.zz": ["language: too wide"], "a/text": ["key: fewer than 4 parts"],
@@ -146,10 +148,10 @@ def test_first_per_key_with_one_key_holding_most_rows(spark):
 
 @pytest.fixture()
 def bucket(tmp_path):
-    for key in ["a/text/en/1.zz", "a/text/fr/2 %41.zz", "b/stray"]:
+    for key in ["a/text/en/1.zz", "a/text/fr/2 %41.zz", "b/stray", "_b/.c/_d.zz", "a/text/empty.zz", "x y/%20/z"]:
         file = tmp_path / "bucket" / key
         file.parent.mkdir(parents=True, exist_ok=True)
-        file.write_bytes(b"x" * len(key))
+        file.write_bytes(b"" if "empty" in key else b"x" * len(key))
     return tmp_path / "bucket"
 
 
@@ -158,9 +160,8 @@ def test_listing_of_a_folder_reads_no_contents(spark, bucket):
         got = scan_listing(spark, root)
         assert {(r["key"], r["size"]) for r in got.collect()} == {
             ("a/text/en/1.zz", 14), ("a/text/fr/2 %41.zz", 18), ("b/stray", 7),
+            ("_b/.c/_d.zz", 11), ("a/text/empty.zz", 0), ("x y/%20/z", 9),
         }
-    plan = got._jdf.queryExecution().toString()
-    assert "ReadSchema: struct<path:string,length:bigint>" in plan
 
 
 def test_inventory_and_stored_catalog(spark, tmp_path):
@@ -173,6 +174,23 @@ def test_inventory_and_stored_catalog(spark, tmp_path):
     found = scan_catalog(spark, f"{tmp_path}/datasets", "a", "en")
     assert [r.md5 for r in found.collect()] == ["1"]
     plan = found._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(language" in plan and "EqualTo(name,a)" in plan
+    assert "PartitionFilters: [isnotnull(folder" in plan and "EqualTo(name,a)" in plan
     with pytest.raises(Exception, match="already exists"):
         write_table(shards, f"{tmp_path}/datasets", "datasets")
+
+
+def test_languages_come_back_as_they_were(spark, tmp_path):
+    languages = ["", "007", "7", "2024-01-01", "true", None, "a=b", "é/x", "=x", " "]
+    rows = spark.createDataFrame([("a", x, f"m{i}") for i, x in enumerate(languages)], "name string, language string, md5 string")
+    write_table(rows, f"{tmp_path}/datasets", "datasets")
+    back = read_table(spark, f"{tmp_path}/datasets")
+    assert back.schema == rows.schema
+    assert {r.md5: r.language for r in back.collect()} == {f"m{i}": x for i, x in enumerate(languages)}
+    assert [r.md5 for r in scan_catalog(spark, f"{tmp_path}/datasets", language="007").collect()] == ["m1"]
+    assert [r.md5 for r in scan_catalog(spark, f"{tmp_path}/datasets", language="").collect()] == ["m0"]
+
+
+def test_empty_snapshot_reads_with_its_schema(spark, tmp_path):
+    rows = spark.createDataFrame([], "name string, language string, md5 string")
+    write_table(rows, f"{tmp_path}/datasets", "datasets")
+    assert read_table(spark, f"{tmp_path}/datasets", rows.schema).collect() == []

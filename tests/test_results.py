@@ -146,10 +146,9 @@ def test_summary_counts_all_jobs_and_shown_ones_apart(spark):
 
 def test_page_messages(spark):
     source = page_jobs(spark, 7)
-    bodies = {
-        (r.query_id, r.page): json.loads(r.body)
-        for r in results.page_messages(results.build_pages(source, 3), results.page_summary(source, 3)).collect()
-    }
+    messages = results.page_messages(results.build_pages(source, 3), results.page_summary(source, 3)).cache()
+    bodies = {at: json.loads(results.page_message(messages, *at)) for at in ((1, 1), (1, 2), (2, 1))}
+    assert messages.count() == 7 and results.page_message(messages, 2, 2) is None
     assert bodies[1, 1] == {
         "results": [{"results": [{"uri": str(i), "text": "t"}]} for i in (1, 2, 4)],
         "total": 6, "page": 1, "pageSize": 3, "has_more": True,

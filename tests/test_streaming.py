@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from shardlens.operators import ingest, results
 from shardlens.sources.callbacks import read_callbacks
-from shardlens.streaming.callbacks import callback_stream, jobs_with_stream, rejected_stream, stored_outcomes
-from shardlens.streaming.listing import listing_stream, read_streamed_catalog
+from shardlens.streaming.callbacks import (
+    callback_stream, fold_outcomes, jobs_with_stream, rejected_messages, stored_outcomes, unknown_outcomes,
+)
+from shardlens.streaming.listing import fold_catalog, listing_stream, read_streamed_catalog, rejected_listings
 
 
 def finish(query):
@@ -48,7 +50,7 @@ def write_calls(folders, name, *lines):
 
 def run(spark, folders):
     finish(callback_stream(
-        spark, f"{folders}/calls", f"{folders}/jobs", f"{folders}/out", f"{folders}/checkpoint"))
+        spark, f"{folders}/calls", f"{folders}/out", f"{folders}/checkpoint"))
 
 
 def streamed(spark, folders):
@@ -75,7 +77,7 @@ def test_stream_equals_batch_with_late_overwrites_restart_and_replay(spark, fold
     expected = batch(spark, folders)
     assert streamed(spark, folders) == expected
 
-    unknown = stored_outcomes(spark, f"{folders}/out", known=False)
+    unknown = unknown_outcomes(spark.read.parquet(f"{folders}/jobs"), f"{folders}/out")
     assert {r.job_id for r in unknown.collect()} == {"ghost", "phantom"}
 
     # Forget that the last batch was committed: it runs again and replaces itself.
@@ -89,7 +91,8 @@ def test_stream_equals_batch_with_late_overwrites_restart_and_replay(spark, fold
 def test_jobs_added_between_runs_are_known(spark, folders):
     write_calls(folders, "1", call("new", 1, "match"), call("j1", 1, "match"))
     run(spark, folders)
-    assert {r.job_id for r in stored_outcomes(spark, f"{folders}/out").collect()} == {"j1"}
+    jobs = spark.read.parquet(f"{folders}/jobs")
+    assert {r.job_id for r in unknown_outcomes(jobs, f"{folders}/out").collect()} == {"new"}
     spark.createDataFrame([(1, "n", "new", "pending")], "query_id long, data_id string, job_id string, status string").write.mode("append").parquet(f"{folders}/jobs")
     write_calls(folders, "2", call("new", 2, "match"))
     run(spark, folders)
@@ -98,11 +101,40 @@ def test_jobs_added_between_runs_are_known(spark, folders):
 
 def test_bad_messages_are_stored_apart(spark, folders):
     write_calls(folders, "1", call("j1", 1, "match"), "junk", "{}", json.dumps({"jobId": "x", "errorResult": {}}))
-    finish(rejected_stream(spark, f"{folders}/calls", f"{folders}/bad", f"{folders}/bad-checkpoint"))
-    reasons = [r.reasons[0] for r in spark.read.parquet(f"{folders}/bad").collect()]
+    run(spark, folders)
+    reasons = [r.reasons[0] for r in rejected_messages(spark, f"{folders}/out").collect()]
     assert sorted(reasons) == ["error code is missing", "job_id is missing", "not a callback message"]
 
 
+def test_folded_batches_read_as_before(spark, folders):
+    """Also when a batch after the fold holds an earlier arrival, and when folded twice."""
+    out = f"{folders}/out"
+    for number, hour in enumerate((9, 3, 12, 5)):
+        write_calls(folders, str(number), *[call(f"j{i}", hour, "match" if i % 2 else "error") for i in range(20 * (number + 1))])
+        run(spark, folders)
+    whole = sorted(map(str, stored_outcomes(spark, out).collect()))
+    fold_outcomes(spark, out, f"{folders}/base1", upto=1)
+    assert sorted(map(str, stored_outcomes(spark, out, f"{folders}/base1", 1).collect())) == whole
+    fold_outcomes(spark, out, f"{folders}/base2", upto=2, base=f"{folders}/base1", after=1)
+    assert sorted(map(str, stored_outcomes(spark, out, f"{folders}/base2", 2).collect())) == whole
+    jobs = spark.read.parquet(f"{folders}/jobs")
+    assert sorted(map(str, jobs_with_stream(jobs, out, f"{folders}/base2", 2).collect())) == streamed(spark, folders)
+
+
+def test_a_micro_batch_reads_no_other_batch(spark, folders):
+    """Earlier batches may be gone or unreadable: a later one does not touch them."""
+    write_calls(folders, "1", call("j1", 1, "match"))
+    run(spark, folders)
+    earlier = next((folders / "out").glob("batch_id=0"))
+    for file in earlier.glob("*.parquet"):
+        file.write_bytes(b"no parquet")
+    for crc in earlier.glob(".*.crc"):
+        crc.unlink()
+    write_calls(folders, "2", call("j2", 1, "match"))
+    run(spark, folders)
+    assert (folders / "out" / "batch_id=1").exists()
+
+
 def inventory(spark, tmp_path, number, keys):
     rows = spark.createDataFrame([(k, len(k)) for k in keys], "key string, size long").coalesce(1)
     staging = tmp_path / f"staging{number}"
@@ -131,7 +163,14 @@ def test_streamed_catalog_has_each_shard_once_across_restarts(spark, tmp_path):
     names = {r.md5: r["name"] for r in streamed.collect()}
     assert (names["50"], names["80"], names["90"]) == ("a", "0", "c")
 
+    rejected = {(r.key, r.reasons[0]) for r in rejected_listings(spark, f"{tmp_path}/catalog").collect()}
+    assert rejected == {
+        ("a/short", "key: fewer than 4 parts"), ("a/text/far-too-long-language/q.zz", "language: too wide"),
+    }
     before = sorted(map(str, streamed.drop("created_at").collect()))
+    fold_catalog(spark, f"{tmp_path}/catalog", f"{tmp_path}/base", upto=1)
+    folded = read_streamed_catalog(spark, f"{tmp_path}/catalog", f"{tmp_path}/base", 1)
+    assert sorted(map(str, folded.drop("created_at").collect())) == before
     commits = sorted((tmp_path / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
     for leftover in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
         leftover.unlink(missing_ok=True)

@@ -12,6 +12,7 @@ then only the frames that hold what it was asked for.
 from __future__ import annotations
 
 import io
+import os
 import struct
 import uuid
 import zlib
@@ -39,36 +40,63 @@ END_ID = 2
 FRAME_BYTES = 1 << 18
 CACHED_WORDS = 1 << 19
 LEVEL = 3
+# Fixed value: how the vocabulary marks the last piece of a word.
+WORD_END = "</w>"
 
 MANIFEST = "part int, path string, n_docs bigint, n_tokens bigint"
 DOCUMENT = "_id bigint, row int, n_tokens bigint, ids binary"
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins what ASCII blanks part.
+    """Ids of texts by a tokenizer that lowers case and never joins what ASCII blanks part.
 
-    Words (between blanks) are encoded once and remembered, up to a bound.
+    Words (between blanks, A-Z lowered) are encoded once and remembered, up to a
+    bound. A word of ASCII letters before one mark is two pieces to the tokenizer, and to the memory.
     """
 
     def __init__(self, path: str, end_id: int = END_ID, cached_words: int = CACHED_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end = struct.pack("<I", end_id)
+        # Which ids are the last of a word.
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
         self.known: dict[bytes, bytes] = {}
         self.cached_words = cached_words
 
     def encode(self, text: str) -> bytes:
-        words = text.encode().split()
+        words = text.encode().lower().split()
         known = self.known
         if len(known) > self.cached_words:
             known.clear()
-        new = [w for w in set(words) if w not in known]
+        new = {w for w in set(words) if w not in known}
         if new:
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            for word, encoding in zip(new, found):
-                known[word] = np.array(encoding.ids, dtype="<u4").tobytes()
+            marked = [w for w in new if w[-1:] in b".,!?;:" and w[:-1].isalpha()]
+            self._learn(new.difference(marked).union(w[:-1] for w in marked).union(w[-1:] for w in marked))
+            for word in marked:
+                known[word] = known[word[:-1]] + known[word[-1:]]
         return b"".join(map(known.__getitem__, words)) + self.end
 
+    def _learn(self, words: set[bytes]) -> None:
+        """Words of letters alone go to the tokenizer in one text, whose ids are parted at ends of words."""
+        new = [w for w in words if w not in self.known]
+        letters = [w for w in new if w.decode().isalpha()]
+        ids = self._ids([b" ".join(letters).decode()])[0] if letters else np.zeros(0, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(letters):
+            data, start = ids.tobytes(), 0
+            for word, end in zip(letters, (4 * ends).tolist()):
+                self.known[word] = data[start:end]
+                start = end
+            new = [w for w in new if w not in self.known]
+        for word, own in zip(new, self._ids([w.decode() for w in new])):
+            self.known[word] = own.tobytes()
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4") for e in found]
+
 
 class FrameWriter:
     """Writes documents to one file object."""

@@ -30,6 +30,9 @@ SHARD_KEYS = 1 << 14
 
 SLOTS = 4
 MAX_KICKS = 500
+# Share of slots in use that a new filter is made for, and above which it is made anew.
+LOAD = 0.75
+FULL = 0.9
 
 HOLDING = "key binary, _id bigint"
 LINES = "_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string"
@@ -66,7 +69,7 @@ class CuckooFilter:
 
     @classmethod
     def for_values(cls, n: int) -> CuckooFilter:
-        need = max(1, int(n / (SLOTS * 0.85)) + 1)
+        need = max(1, int(n / (SLOTS * LOAD)) + 1)
         return cls(1 << (need - 1).bit_length())
 
     def places(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,7 +78,9 @@ class CuckooFilter:
         return marks, first, first ^ self._jump(marks)
 
     def _jump(self, marks: np.ndarray) -> np.ndarray:
-        return ((marks.astype(np.uint64) * np.uint64(0x5BD1E995)) & np.uint64(self.buckets - 1)).astype(np.int64)
+        """Odd, so that a value's two buckets differ wherever there are two."""
+        far = marks.astype(np.uint64) * np.uint64(0x5BD1E995) | np.uint64(1)
+        return (far & np.uint64(self.buckets - 1)).astype(np.int64)
 
     def contains(self, values: np.ndarray) -> np.ndarray:
         marks, first, second = self.places(values)
@@ -83,7 +88,7 @@ class CuckooFilter:
         return (self.slots[first] == mark).any(1) | (self.slots[second] == mark).any(1)
 
     def insert(self, values: np.ndarray) -> CuckooFilter:
-        """Insert all values and return this filter. Raises OverflowError if it is too full."""
+        """Insert all values and return this filter. An OverflowError leaves it unusable."""
         marks, first, second = self.places(values)
         # Rounds of free slots for many values at once; the few that are left are moved one by one.
         waiting = np.arange(len(values))
@@ -118,6 +123,24 @@ class CuckooFilter:
             at ^= int(self._jump(np.array([mark], np.uint16))[0])
         raise OverflowError("the filter is full")
 
+    def take(self, values: np.ndarray) -> bool:
+        """Insert all values if there is room; otherwise this filter is of no more use."""
+        if np.count_nonzero(self.slots) + len(values) > FULL * self.slots.size:
+            return False
+        try:
+            self.insert(values)
+        except OverflowError:
+            return False
+        return True
+
+    @classmethod
+    def holding(cls, values: np.ndarray) -> CuckooFilter:
+        """A filter of these values with room for as many more."""
+        found = cls.for_values(2 * len(values))
+        while not found.take(values):
+            found = cls(2 * found.buckets)
+        return found
+
     def delete(self, values: np.ndarray) -> None:
         for mark, first, second in zip(*(a.tolist() for a in self.places(values))):
             for place in (first, second):
@@ -216,10 +239,10 @@ def insert_documents(state: LineStore, docs: DataFrame, unique_ids: bool = False
             for k, n, first, s in zip(keys, left.column("n").to_pylist(), left.column("first").to_pylist(), seen.tolist())
         ]
         if filter_ is None:
-            filter_ = CuckooFilter.for_values(len(fresh) * 2)
-        full = (np.count_nonzero(filter_.slots) + len(fresh)) > 0.9 * filter_.slots.size
-        if not full:
-            filter_.insert(fresh)
+            filter_ = CuckooFilter.holding(fresh)
+            out.append((shard, None, None, None, False, *filter_.to_row(shard)[1:]))
+            return out
+        if filter_.take(fresh):
             out.append((shard, None, None, None, False, *filter_.to_row(shard)[1:]))
         return out
 
@@ -236,7 +259,7 @@ def insert_documents(state: LineStore, docs: DataFrame, unique_ids: bool = False
     kept = probed.where("slots is not null").select("shard", "buckets", "slots")
     # False positives of the filter are new keys as well: they go in now. A full filter is built anew from the counts.
     missing = maybe.join(state.counts.select("key"), "key", "left_anti") if not _is_empty(state.counts) else maybe
-    filters = store(_filled(missing, counts, kept, state.shards), "filters")
+    filters = store(_filled(missing, counts, kept), "filters")
     holdings = held if _is_empty(state.holdings) else store(state.holdings.unionByName(held), "holdings")
     return LineStore(holdings, counts, filters, state.shards)
 
@@ -245,25 +268,23 @@ def _is_empty(df: DataFrame) -> bool:
     return df.isEmpty()
 
 
-def _filled(missing: DataFrame, counts: DataFrame, kept: DataFrame, shards: int) -> DataFrame:
-    """Filters with the keys `missing` inserted; shards without a filter get one of all their keys."""
+def _filled(missing: DataFrame, counts: DataFrame, kept: DataFrame) -> DataFrame:
+    """Filters with the keys `missing` inserted; shards whose filter is full or absent get one of all their keys."""
     def add(left: pa.Table, row: dict | None) -> list[tuple]:
         keys = left.column("key").to_pylist()
+        if row is None:
+            return []
         filter_ = CuckooFilter.from_row(row["buckets"], row["slots"])
-        if keys:
-            filter_.insert(values_of(keys))
-        return [filter_.to_row(row["shard"])]
+        return [filter_.to_row(row["shard"])] if filter_.take(values_of(keys)) else []
 
     def build(left: pa.Table, _: dict | None) -> list[tuple]:
-        keys = left.column("key").to_pylist()
-        return [CuckooFilter.for_values(2 * len(keys)).insert(values_of(keys)).to_row(left.column("shard")[0].as_py())]
-
-    present = kept.select(F.col("shard").alias("_present")).distinct()
-    here = F.col("shard") == F.col("_present")
-    grown = _with_filters(missing.select("shard", "key").join(present, here, "left_semi"), kept, add, FILTER)
-    absent = counts.select("shard", "key").join(present, here, "left_anti")
-    rebuilt = _with_filters(absent, kept.limit(0), build, FILTER)
-    return grown.unionByName(rebuilt)
+        filter_ = CuckooFilter.holding(values_of(left.column("key").to_pylist()))
+        return [filter_.to_row(left.column("shard")[0].as_py())]
+
+    grown = store(_with_filters(missing.select("shard", "key"), kept, add, FILTER), "filters")
+    present = grown.select(F.col("shard").alias("_present"))
+    absent = counts.select("shard", "key").join(present, F.col("shard") == F.col("_present"), "left_anti")
+    return grown.unionByName(_with_filters(absent, kept.limit(0), build, FILTER))
 
 
 def delete_documents(state: LineStore, ids: DataFrame) -> LineStore:

@@ -130,7 +130,8 @@ def test_trees_keep_to_their_directions():
     x = random_.random((2000, 3))
     y = ((x[:, 0] - x[:, 1] + 0.3 * random_.standard_normal(2000)) > 0).astype(float)
     trees = quality.train(x, y, [1, -1, 0])
-    assert ((trees.probability(x) > 0.5) == y).mean() > 0.85
+    best = ((x[:, 0] > x[:, 1]) == y).mean()  # the rule behind the noisy labels
+    assert ((trees.probability(x) > 0.5) == y).mean() > best - 0.02
     base = random_.random((200, 3))
     for feature, direction in ((0, 1), (1, -1)):
         lines = [np.where(np.arange(3) == feature, v, base) for v in np.linspace(0, 1, 21)]

@@ -23,6 +23,8 @@ SHARD_DOCS = 64
 REGION_SHARDS = 1024
 # Blocks a shard has on average; more make quotas finer.
 BLOCKS_PER_SHARD = 256
+# Blocks that even the smallest source's target has at least.
+BLOCKS_PER_SOURCE = 64
 
 
 def word_count(text: Column | str) -> Column:
@@ -165,8 +167,10 @@ def plan(
         .withColumn("_region", F.expr(f"_shard div {REGION_SHARDS}")),
         "shards",
     )
-    wanted, parties = targets.agg(F.sum("target")).first()[0] or 0.0, shards.count()
-    block = max(1, int(wanted // (BLOCKS_PER_SHARD * max(1, parties))))
+    whole = targets.agg(F.sum("target").alias("wanted"), F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least")).first()
+    wanted, parties = whole.wanted or 0.0, max(1, shards.count())
+    # Small enough for the shards, and for the smallest source. Blocks are only ever counted, never listed.
+    block = max(1, int(min(wanted / (BLOCKS_PER_SHARD * parties), (whole.least or 1.0) / BLOCKS_PER_SOURCE)))
     by_source = apportion(
         targets.select("source", "target", F.lit(round(wanted / block)).cast("bigint").alias("_all"), F.lit(0).alias("_mix")),
         ["_mix"], "source", "_all", "target", "_source_quota",

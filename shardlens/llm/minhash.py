@@ -7,8 +7,10 @@ for each coordinate. So two permutations give a signature of any length.
 Documents with equal sets are one class and stand for one another. Classes that
 agree on a band share a bucket; each is compared with a hub of the bucket, first
 the smallest, then the largest id. Links found so far make most buckets one
-component; only pairs of a bucket that still lie in different components are
-compared one by one. So components are those of all links that share a bucket.
+component. In a bucket with several, a link to a document with many rare shingles
+needs one of them on both sides, as it cannot leave out so many; short lists of
+rare shingles find these. Only pairs of documents with few rare shingles, still in different
+components, are compared one by one. So components are those of all links that share a bucket.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ BANDS = 32
 ROWS = 4
 # A pair at 80 % is missed by all bands with a chance of (1 - 0.8^4)^32 = 5e-8.
 RING_BITS = 20
+# A shingle of so many documents at most is rare.
+RARE = 4
 CHUNK = 1 << 12
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -202,11 +206,53 @@ def _pairs_with_largest(buckets: DataFrame, percent: int) -> DataFrame:
     return _pairs_with_hub(buckets, percent, F.max)
 
 
-def _pairs_between_components(buckets: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) of all rows of a bucket that lie in different components and may be similar."""
-    other = buckets.select("key", F.col("_id").alias("_b"), F.col("n").alias("_n"), F.col("component").alias("_c"))
+def _rare_shingles(docs: DataFrame, buckets: DataFrame, shingle: int) -> DataFrame:
+    """(hash, _id, n_docs) of the shingles that few of the documents in `buckets` hold."""
+    fields = arrow_schema(docs.sparkSession, "_id bigint, hashes array<bigint>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [
+                (doc_id, shingle_hashes(words_of(text), shingle).view(np.int64).tolist())
+                for doc_id, text in zip(*columns_of(batch, "_id", "text"))
+            ]
+            yield to_batch(out, fields)
+
+    here = texts(docs).join(buckets.select("_id").distinct(), "_id", "left_semi")
+    listed = here.mapInArrow(run, "_id bigint, hashes array<bigint>")
+    rows = store(listed.select("_id", F.explode("hashes").alias("hash")).distinct(), "shingles")
+    few = rows.groupBy("hash").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") <= RARE)
+    return rows.join(few, "hash")
+
+
+def _pairs_with_rare_shingles(buckets: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) in different components that share a rare shingle and may be similar."""
+    known = buckets.select("_id", "n", "component").distinct()
+    posted = rare.where("n_docs > 1").select("hash", "_id").join(known, "_id")
+    other = posted.select("hash", F.col("_id").alias("_b"), F.col("n").alias("_n"), F.col("component").alias("_c"))
+    return (
+        posted.join(other, "hash").where("component < _c").where(_compatible(percent))
+        .select(F.greatest("_id", "_b").alias("a"), F.least("_id", "_b").alias("b")).distinct()
+    )
+
+
+def _pairs_between_components(buckets: DataFrame, rare: DataFrame, several: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of a bucket in different components that may be similar without a common rare shingle.
+
+    Of two similar sets, x shares at least percent / (100 + percent) * (n + n_y)
+    with y and so leaves out (100 n - percent n_y) / (100 + percent) at most. If it has more rare
+    shingles than that, one of them is common. Ids with several texts count as having none.
+    """
+    counts = rare.groupBy("_id").agg(F.count("*").alias("rare")).join(several, "_id", "left_anti")
+    rows = store(buckets.join(counts, "_id", "left").withColumn("rare", F.coalesce("rare", F.lit(0))), "poor")
+    other = rows.select(
+        "key", F.col("_id").alias("_b"), F.col("n").alias("_n"), F.col("component").alias("_c"), F.col("rare").alias("_rare")
+    )
+    few = (F.col("rare") * (100 + percent) <= F.col("n") * 100 - F.col("_n") * percent) & (
+        F.col("_rare") * (100 + percent) <= F.col("_n") * 100 - F.col("n") * percent
+    )
     return (
-        buckets.join(other, "key").where("component < _c").where(_compatible(percent))
+        rows.join(other, "key").where("component < _c").where(few)
         .select(F.greatest("_id", "_b").alias("a"), F.least("_id", "_b").alias("b")).distinct()
     )
 
@@ -237,10 +283,20 @@ def near_duplicates(
     buckets = store(
         every.join(shared.select("key"), "key", "left_semi").withColumn("component", F.col("_id")), "buckets"
     )
+    several = signatures.groupBy("_id").agg(
+        F.min("digest").alias("_low"), F.max("digest").alias("_high")
+    ).where("_low <> _high").select("_id")
     labels = docs.sparkSession.createDataFrame([], "_id bigint, component bigint")
     tested = None
-    for pairs_of in (_pairs_with_smallest, _pairs_with_largest, _pairs_between_components):
-        pairs = pairs_of(buckets, percent)
+    rounds = (_pairs_with_smallest, _pairs_with_largest, _pairs_with_rare_shingles, _pairs_between_components)
+    for pairs_of in rounds:
+        if pairs_of is _pairs_with_rare_shingles:
+            rare = store(_rare_shingles(docs, buckets, shingle), "rare")
+            pairs = pairs_of(buckets, rare, percent)
+        elif pairs_of is _pairs_between_components:
+            pairs = pairs_of(buckets, rare, several, percent)
+        else:
+            pairs = pairs_of(buckets, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = store(pairs, "pairs")
@@ -252,7 +308,7 @@ def near_duplicates(
             buckets = store(_open_buckets(buckets, labels), "buckets")
             if buckets.isEmpty():
                 break
-    return _members(signatures, classes, labels)
+    return _members(signatures, classes, labels, several)
 
 
 def _open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -264,12 +320,9 @@ def _open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(several.where("_low <> _high").select("key"), "key", "left_semi")
 
 
-def _members(signatures: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+def _members(signatures: DataFrame, classes: DataFrame, labels: DataFrame, same: DataFrame) -> DataFrame:
     """Every row with its component; rows of one class and rows of one doc_id belong together."""
-    # Only rows that share a doc_id can join classes; others take their class's label.
-    same = signatures.groupBy("_id").agg(
-        F.min("digest").alias("_low"), F.max("digest").alias("_high")
-    ).where("_low <> _high").select("_id")
+    # Only rows of `same`, which share a doc_id, can join classes; others take their class's label.
     if not same.isEmpty():
         joined = signatures.where("n_shingles > 0").join(same, "_id", "left_semi").join(classes, "digest")
         more = joined.select(F.col("_id").alias("a"), F.col("_class").alias("b"))

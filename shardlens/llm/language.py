@@ -265,8 +265,11 @@ def predictions(docs: DataFrame, model: Model | None) -> DataFrame:
     return narrow.mapInArrow(run, PREDICTION)
 
 
-def known_language(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
-    """Those rows of `docs` whose language is decided with a probability of at least `least`; all columns stay."""
+def known_language(docs: DataFrame, model: Model | None, least: float = 0.0) -> DataFrame:
+    """Those rows of `docs` that are not `und`, with a probability of at least `least`; all columns stay.
+
+    A short text may be of any of several languages and still be sound, so by default no text goes for that.
+    """
 
     @F.pandas_udf("boolean")
     def decided(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-Tokens are words. The mix is cut into equal blocks. Sources get blocks by the
-highest quotients of their targets, and hand them down to regions and shards of
-their documents by the same rule. Within a shard, documents are laid out in
-seeded order and its quota of blocks is picked evenly from a seeded phase; a
-quota above the shard's own blocks repeats all of them. All steps are DataFrame
+Tokens are words. Sources get words of the mix by the highest quotients of their
+targets, and hand them down to regions and shards of their documents by the same
+rule. Within a shard, documents are laid out in seeded order and cut into equal
+blocks, of a length that depends on this shard alone. Blocks are picked evenly
+from a seeded phase, and the last of them is cut, so that their words are exactly the shard's
+quota; a quota above the shard's own words repeats all of them. All steps are DataFrame
 operations; groups in windows are bounded by `SHARD_DOCS` and `REGION_SHARDS`.
 """
 
@@ -21,10 +22,8 @@ SHARE_PERCENT = 150
 MAX_REPEATS = 2
 SHARD_DOCS = 64
 REGION_SHARDS = 1024
-# Blocks a shard has on average; more make quotas finer.
+# Blocks a shard has at least, if it has as many words; more spread its quota finer.
 BLOCKS_PER_SHARD = 256
-# Blocks that even the smallest source's target has at least.
-BLOCKS_PER_SOURCE = 64
 
 
 def word_count(text: Column | str) -> Column:
@@ -152,8 +151,9 @@ def plan(
 ) -> DataFrame:
     """The mix of a table with doc_id, source, size and a key `_row`, with all that is needed to cut texts.
 
-    `_times` whole copies are taken, and of one more the `_part` words that
-    stand in picked blocks of `_block` words; the row's first word is the shard's word `_from`.
+    `_times` whole copies are taken, and of one more the `_part` words that stand in
+    picked blocks of `_block` words and are among the shard's first `_rest` such words;
+    the row's first word is the shard's word `_from`.
     """
     sizes = store(sizes.select("doc_id", "source", "size", "_row"), "sizes")
     targets = store(source_targets(sizes, weights, share_percent), "targets")
@@ -167,12 +167,9 @@ def plan(
         .withColumn("_region", F.expr(f"_shard div {REGION_SHARDS}")),
         "shards",
     )
-    whole = targets.agg(F.sum("target").alias("wanted"), F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least")).first()
-    wanted, parties = whole.wanted or 0.0, max(1, shards.count())
-    # Small enough for the shards, and for the smallest source. Blocks are only ever counted, never listed.
-    block = max(1, int(min(wanted / (BLOCKS_PER_SHARD * parties), (whole.least or 1.0) / BLOCKS_PER_SOURCE)))
+    wanted = targets.agg(F.sum("target")).first()[0] or 0.0
     by_source = apportion(
-        targets.select("source", "target", F.lit(round(wanted / block)).cast("bigint").alias("_all"), F.lit(0).alias("_mix")),
+        targets.select("source", "target", F.lit(round(wanted)).cast("bigint").alias("_all"), F.lit(0).alias("_mix")),
         ["_mix"], "source", "_all", "target", "_source_quota",
     )
     by_region = apportion(
@@ -191,16 +188,28 @@ def plan(
         F.xxhash64(row_id(), F.lit(seed + 1)), "doc_id", "size", "_row"
     ).rowsBetween(Window.unboundedPreceding, 0)
     placed = sharded.withColumn("_from", F.sum("size").over(order) - F.col("size"))
-    own = F.greatest(F.ceil(F.col("_shard_size") / block), F.lit(1))
-    quota = F.least(F.col("_shard_quota"), own * MAX_REPEATS)
-    met = _with_parent(placed, quotas, ["source", "_shard"]).select(
-        "*",
-        F.lit(block).cast("bigint").alias("_block"), own.alias("_blocks"), F.floor(quota / own).alias("_times"),
-        (quota % own).alias("_quota"), F.pmod(F.xxhash64("source", "_shard", F.lit(seed + 2)), own).alias("_phase"),
+    # Quotas are words, and shares are whole words, so only a source's rounding can put one above this.
+    quota = F.least(F.col("_shard_quota"), F.col("_shard_size") * MAX_REPEATS)
+    words = F.greatest(F.col("_shard_size"), F.lit(1))
+    cut = quotas.select(
+        "source", "_shard", F.floor(quota / words).alias("_times"), (quota % words).alias("_rest"),
+        F.greatest(F.floor(words / BLOCKS_PER_SHARD), F.lit(1)).alias("_block"), words.alias("_words"),
+    ).withColumn("_blocks", F.ceil(F.col("_words") / F.col("_block"))).withColumn(
+        "_phase", F.pmod(F.xxhash64("source", "_shard", F.lit(seed + 2)), F.col("_blocks"))
     )
+    # The shard's last block may be short. It is picked if the phase is below the number of blocks; one more makes up for it.
+    least = F.ceil(F.col("_rest") / F.col("_block"))
+    cut = cut.withColumn(
+        "_quota", F.least(F.col("_blocks"), least + F.when(F.col("_phase") < least, 1).otherwise(0))
+    ).drop("_words")
+    met = _with_parent(placed, cut, ["source", "_shard"])
     marks = [F.col(c) for c in ("_block", "_blocks", "_quota", "_phase")]
+
+    def taken_before(at: Column) -> Column:
+        return F.least(F.col("_rest"), picked_before(at, *marks))
+
     start, end = F.col("_from"), F.col("_from") + F.col("size")
-    met = met.withColumn("_part", (picked_before(end, *marks) - picked_before(start, *marks)).cast("bigint"))
+    met = met.withColumn("_part", (taken_before(end) - taken_before(start)).cast("bigint"))
     return met.withColumn("taken", (F.col("_times") * F.col("size") + F.col("_part")).cast("bigint"))
 
 
@@ -217,7 +226,7 @@ def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     )
     found = plan(sizes, seed=seed).where("taken > 0").select(
         F.col("_row").alias("_llm_row"),
-        F.struct("_times", "_part", "_from", "_block", "_blocks", "_quota", "_phase").alias("_llm_plan"),
+        F.struct("_times", "_part", "_from", "_rest", "_block", "_blocks", "_quota", "_phase").alias("_llm_plan"),
     )
     p = F.col("_llm_plan")
     copies = F.concat(
@@ -229,11 +238,12 @@ def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
         "text", F.lit(f"^[{BLANK}]+[^{BLANK}]+[{BLANK}]*|[^{BLANK}]+[{BLANK}]*"), F.lit(0)
     )
 
+    marks = [p[c] for c in ("_block", "_blocks", "_quota", "_phase")]
+
     def picked(word, number):
-        block = F.floor((p["_from"] + number) / p["_block"])
-        def risen(b):
-            return F.floor((b * p["_quota"] + p["_phase"]) / p["_blocks"])
-        return risen(block + 1) > risen(block)
+        at = p["_from"] + number
+        before = picked_before(at, *marks)
+        return (before < p["_rest"]) & (picked_before(at + 1, *marks) > before)
 
     text = F.when(F.col("_llm_whole"), F.col("text")).otherwise(F.array_join(F.filter(words, picked), ""))
     return with_text(met.withColumn("_llm_text", text), docs.columns)

@@ -235,6 +235,26 @@ def test_mixed_documents_hold_the_words_taken(awkward):
     assert {k: v for k, v in words.items() if v} == {k: v for k, v in taken.items() if v}
 
 
+def test_short_documents_meet_their_target(spark):
+    """Sources of short documents beside very long ones: cut to words, and entitled to twice their words."""
+    rows = [(i, "en", "long", "w " * 20000) for i in range(200)]
+    rows += [(1000 + i, "en", "tiny", "x " * (1 + i % 10)) for i in range(6000)]
+    rows += [(9000 + i, "en", "uneven", "y " * (1 if i % 50 else 3000)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, source string, text string")
+    for share in (150, 1):
+        found = mixing.mix(docs, share_percent=share)
+        source = docs.select(mixing.F.col("doc_id").alias("_id"), "source")
+        sums = found.join(source, mixing.F.col("doc_id") == mixing.F.col("_id")).groupBy("source").agg(
+            mixing.F.sum("taken").alias("taken"), mixing.F.first("target").alias("target")
+        )
+        for r in sums.collect():
+            assert abs(r.taken - r.target) <= 2, r
+    words = docs.where("source <> 'long'")
+    taken = mixing.mix(words).agg(mixing.F.sum("taken")).first()[0]
+    mixed = mixing.mixed_documents(words).agg(mixing.F.sum(mixing.word_count("text"))).first()[0]
+    assert mixed == taken
+
+
 def test_native_operators_run_no_python(small):
     for df in (mixing.mix(small), syncmers.fingerprints_with_edits(small), mixing.mixed_documents(small)):
         plan = df._jdf.queryExecution().executedPlan().toString()

@@ -1,19 +1,22 @@
-"""Removal of repeated byte strings by blockwise suffix sorting with a difference cover.
+"""Removal of repeated byte strings: windows chosen by a difference cover, named by hashes, confirmed on bytes.
+
+No suffix array is built, and cover samples are not ranked: names stand in for order.
 
 Positions whose remainder modulo `PERIOD` lies in a difference cover are the
 cover sample: for any two positions some shift below the period takes both into
 the sample. So two equal strings of `LENGTH` bytes share, at one shift, a sample
-suffix that agrees on its first `LENGTH - PERIOD + 1` bytes. Sample suffixes are
-named and sorted first; only suffixes close before a sample name that occurs twice can begin a
-repeated string. Those are sorted in turn, by names of their first
-`LENGTH` bytes: neighbours with equal names are the repeats.
+suffix that agrees on its first `LENGTH - PERIOD + 1` bytes. Hashes of the samples' first
+bytes are sorted first; only suffixes close before a sample name that occurs twice can begin a
+repeated string. Those are sorted in turn, by hashes of their first
+`LENGTH` bytes: neighbours with equal names are proposed as repeats.
 
 Both times suffixes are dealt into buckets by name and one bucket is sorted
-at a time, so a task holds one bucket's names and never the texts. Names have
-56 bits beside the bucket's number, and buckets grow with the data, so that a false
-repeat is expected once in 10^11 candidates (cover names have 32: they only choose
-candidates). Documents stand in blocks by a digest of their text; equal texts meet
-there and are handled once. A bucket answers each block with places of repeats.
+at a time, so a task holds one bucket's names and never the texts. All names are parts of one
+64-bit hash, so N candidates have about N^2 / 2^65 false proposals, however many buckets there are.
+So proposals are confirmed on their bytes: neighbouring ones whose least `GRAM` bytes (by hash)
+are the same go as one stretch of text into the bucket of those, where all equal strings
+meet; names that are equal for other bytes are told apart there. Documents stand in blocks by a digest of
+their text; equal texts meet there and are handled once. A bucket answers each block with places of repeats.
 """
 
 from __future__ import annotations
@@ -39,9 +42,12 @@ PART = 1 << 18
 COVER_NAME_BYTES = 4
 NAME_BYTES = 7
 DIGEST_BYTES = 16
+# Bytes of the runs whose least one chooses the bucket in which strings are confirmed.
+GRAM = 32
 
 BLOCKS = "block int, digest binary, text binary, n bigint"
 NAMES = "bucket int, block int, names binary, docs binary, counts binary, steps binary, marks binary"
+STRINGS = "bucket int, block int, strings binary, runs binary, docs binary, counts binary, steps binary"
 PLACES = "block int, docs binary, counts binary, steps binary"
 RESULT = "digest binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 
@@ -163,6 +169,122 @@ def sort_bucket(rows: list[dict], width: int) -> Iterator[tuple]:
         at += len(mine)
 
 
+def numbers_of(data: bytes, at: np.ndarray, length: int) -> np.ndarray:
+    """A number for each string of `length` bytes at the sorted places `at`: the same for equal bytes only.
+
+    Strings of equal names are compared with the one before them: all bytes of it, or only
+    the last where the strings one place earlier are such a pair, too.
+    """
+    namer = Namer(length)
+    names = np.empty(len(at), np.uint64)
+    for start in range(0, len(data), PART):
+        a, b = np.searchsorted(at, [start, start + PART])
+        if b > a:
+            names[a:b] = namer.names(data, start)[at[a:b] - start]
+    order = np.argsort(names, kind="stable")
+    new = np.ones(len(at), bool)
+    new[1:] = names[order][1:] != names[order][:-1]
+    out = np.empty(len(at), np.int64)
+    out[order] = np.cumsum(new)
+    before = np.full(len(at), -1)
+    before[order[1:][~new[1:]]] = at[order[:-1][~new[1:]]]
+    paired = np.flatnonzero(before >= 0)
+    if not len(paired):
+        return out
+    one, two = before[paired], at[paired]
+    first = np.ones(len(paired), bool)
+    first[1:] = (np.diff(one) != 1) | (np.diff(two) != 1)
+    text = np.frombuffer(data, np.uint8)
+    equal = text[one + length - 1] == text[two + length - 1]
+    heads = np.flatnonzero(first)
+    for i in range(length - 1):
+        equal[heads] &= text[one[heads] + i] == text[two[heads] + i]
+    if equal.all():
+        return out
+    # Names that stand for several strings: these are numbered by their bytes.
+    chain = np.cumsum(first)
+    doubtful = np.isin(out, out[paired[np.isin(chain, chain[~equal])]])
+    found: dict[bytes, int] = {}
+    for i in np.flatnonzero(doubtful).tolist():
+        out[i] = found.setdefault(data[at[i]:at[i] + length], len(at) + 1 + len(found))
+    return out
+
+
+def repeated(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which numbers occur more than once, and which places are the first of their number."""
+    _, first, back, counts = np.unique(numbers, return_index=True, return_inverse=True, return_counts=True)
+    leads = np.zeros(len(numbers), bool)
+    leads[first] = True
+    return counts[back] > 1, leads
+
+
+def least_grams(data: bytes, at: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """The least name of `gram` bytes in each string of `length` bytes at the sorted places `at`."""
+    namer, reach = Namer(gram), length - gram + 1
+    out = np.empty(len(at), np.uint64)
+    for start in range(0, len(data), PART):
+        a, b = np.searchsorted(at, [start, start + PART])
+        if b == a:
+            continue
+        least, width, wanted = namer.names(data, start), 1, reach
+        follow = start + PART
+        while len(least) < PART + reach - 1 and follow < len(data):
+            least = np.append(least, namer.names(data, follow)[:PART + reach - 1 - len(least)])
+            follow += PART
+        while 2 * width <= wanted:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        places = at[a:b] - start
+        out[a:b] = np.minimum(least[places], least[places + wanted - width])
+    return out
+
+
+def deal_strings(block: int, texts: list[bytes], docs: np.ndarray, places: np.ndarray, buckets: int, length: int) -> Iterator[tuple]:
+    """The proposed strings of a block as rows of STRINGS, one a bucket.
+
+    Strings the block itself holds more than once are confirmed here, and one copy of each goes out.
+    """
+    ends = np.cumsum([len(t) for t in texts])
+    data = b"".join(texts)
+    at = places + (ends - [len(t) for t in texts])[docs]
+    known, leads = repeated(numbers_of(data, at, length))
+    if known.any():
+        yield (block % buckets, block, b"", b"", *pack_places(docs[known], places[known]))
+    docs, places, at = docs[leads], places[leads], at[leads]
+    least = least_grams(data, at, length, min(GRAM, length))
+    first = np.ones(len(at), bool)
+    first[1:] = (np.diff(at) != 1) | (np.diff(docs) != 0) | (least[1:] != least[:-1])
+    heads = np.flatnonzero(first)
+    counts = np.diff(np.append(heads, len(at)))
+    bucket = (least[heads] % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        runs = np.concatenate([docs[heads[some]], places[heads[some]], counts[some]]).astype(np.uint64)
+        strings = b"".join(data[a:a + n + length - 1] for a, n in zip(at[heads[some]].tolist(), counts[some].tolist()))
+        yield (int(bucket[some[0]]), block, strings, packed(runs, 4), b"", b"", b"")
+
+
+def confirm_bucket(rows: list[dict], length: int) -> Iterator[tuple]:
+    """Answer each block with the places of strings whose bytes occur more than once, as rows of PLACES."""
+    for row in rows:
+        if not len(row["runs"]):
+            yield row["block"], row["docs"], row["counts"], row["steps"]
+    rows = [r for r in rows if len(r["runs"])]
+    if not rows:
+        return
+    runs = [unpacked(r["runs"], 4).astype(np.int64).reshape(3, -1) for r in rows]
+    docs, places, counts = np.concatenate(runs, axis=1)
+    row = np.repeat(np.repeat(np.arange(len(rows)), [r.shape[1] for r in runs]), counts)
+    within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = np.cumsum(counts + length - 1) - (counts + length - 1)
+    found, _ = repeated(numbers_of(b"".join(r["strings"] for r in rows), np.repeat(starts, counts) + within, length))
+    docs, places = np.repeat(docs, counts), np.repeat(places, counts) + within
+    for i in np.unique(row[found]).tolist():
+        mine = np.flatnonzero(found & (row == i))
+        mine = mine[np.lexsort((places[mine], docs[mine]))]
+        yield (rows[i]["block"], *pack_places(docs[mine], places[mine]))
+
+
 def covered(starts: np.ndarray, length: int) -> np.ndarray:
     """Maximal runs [from, to) of bytes in strings of `length` that begin at sorted `starts`."""
     if not len(starts):
@@ -295,6 +417,27 @@ class SuffixDedup:
 
         return texts.groupBy("block").cogroup(candidates.groupBy("block")).applyInArrow(name, NAMES)
 
+    def proposed_strings(self, texts: DataFrame, proposed: DataFrame) -> DataFrame:
+        length, buckets, fields = self.length, self.buckets, self._fields(STRINGS)
+
+        def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+            rows = []
+            if left.num_rows and right.num_rows:
+                docs, places = SuffixDedup.answers(right)
+                texts = [data for _, data, _ in SuffixDedup.distinct(left)]
+                rows = list(deal_strings(left.column("block")[0].as_py(), texts, docs, places, buckets, length))
+            return pa.Table.from_batches([to_batch(rows, fields)])
+
+        return texts.groupBy("block").cogroup(proposed.groupBy("block")).applyInArrow(cut, STRINGS)
+
+    def confirmed(self, strings: DataFrame) -> DataFrame:
+        length, fields = self.length, self._fields(PLACES)
+
+        def confirm(table: pa.Table) -> pa.Table:
+            return pa.Table.from_batches([to_batch(list(confirm_bucket(table.to_pylist(), length)), fields)])
+
+        return strings.groupBy("bucket").applyInArrow(confirm, PLACES)
+
     def removed(self, texts: DataFrame, repeats: DataFrame) -> DataFrame:
         """One row of RESULT for each distinct text."""
         length, fields = self.length, self._fields(RESULT)
@@ -320,12 +463,13 @@ class SuffixDedup:
     def run(self) -> DataFrame:
         """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of every row.
 
-        Spark shuffles the texts once, by block, and uses that three times. A
+        Spark shuffles the texts once, by block, and uses that four times. A
         null text is empty; rows count as documents of their own even if they share a doc_id.
         """
         texts = self.texts()
         candidates = self.repeats(self.cover_names(texts), COVER_NAME_BYTES)
-        repeats = self.repeats(self.suffix_names(texts, candidates), NAME_BYTES)
+        proposed = self.repeats(self.suffix_names(texts, candidates), NAME_BYTES)
+        repeats = self.confirmed(self.proposed_strings(texts, proposed))
         result = self.removed(texts, repeats)
         named = self.docs.select("doc_id", text_digest(F.col("text")).alias("digest"))
         return named.join(result, "digest").drop("digest")

@@ -296,5 +296,75 @@ def test_long_text_is_named_in_parts(spark, monkeypatch):
     assert rows_of(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeated_bytes(rows, 200)
 
 
+@pytest.mark.parametrize("mask", [0, 0xFF, (1 << 64) - 1])
+def test_equal_names_of_other_bytes_are_no_repeats(mask, monkeypatch):
+    """With names of no or few bits, every unique byte still stays and every repeat goes."""
+    names = suffixes.Namer.names
+    monkeypatch.setattr(suffixes.Namer, "names", lambda self, *a: names(self, *a) & np.uint64(mask))
+    monkeypatch.setattr(suffixes, "PART", 64)
+    shuffled = random.Random(5)
+    word = ["".join(shuffled.choices("abc", k=shuffled.randint(1, 9))) for _ in range(90)]
+    rows = [(i, " ".join(shuffled.choices(word, k=60)) + (" ".join(word[10:30]) if i % 2 else "")) for i in range(6)]
+    blocks = [[t.encode() for _, t in rows[:3]], [t.encode() for _, t in rows[3:]]]
+    length, sent = 40, {}
+    for block, texts in enumerate(blocks):
+        at = np.array([(d, p) for d, t in enumerate(texts) for p in range(len(t) - length + 1)])
+        for row in suffixes.deal_strings(block, texts, at[:, 0], at[:, 1], 5, length):
+            sent.setdefault(row[0], []).append(dict(zip(("bucket", "block", "strings", "runs", "docs", "counts", "steps"), row)))
+    found = set()
+    for some in sent.values():
+        for block, *packed in suffixes.confirm_bucket(some, length):
+            found |= {(block, d, p) for d, p in zip(*(a.tolist() for a in suffixes.unpack_places(*packed)))}
+    every = {}
+    for block, texts in enumerate(blocks):
+        for d, t in enumerate(texts):
+            for p in range(len(t) - length + 1):
+                every.setdefault(t[p:p + length], []).append((block, d, p))
+    assert found == {x for places in every.values() if len(places) > 1 for x in places}
+    assert found
+
+
+def same_name_strings():
+    """Two different strings of suffixes.LENGTH bytes with one name, by sums of eight lists that cancel bits in steps."""
+    namer, pick = suffixes.Namer(suffixes.LENGTH), np.random.default_rng(3)
+    step = next(b for b in range(98, 123) if (int(namer.values[b]) - int(namer.values[97])) % 2)
+    unit = np.uint64((int(namer.values[step]) - int(namer.values[97])) % (1 << 64))
+    signs = pick.integers(-1, 2, (8, 1 << 17, 25))
+    sums = [(s.astype(np.uint64) * (namer.powers[25 * i:25 * i + 25] * unit)).sum(axis=1) for i, s in enumerate(signs)]
+    lists = [(v, [np.arange(len(v))]) for v in sums]
+    for low, bits in ((0, 16), (16, 16), (32, 32)):
+        mask, merged = np.uint64((1 << bits) - 1), []
+        for (x, i), (y, j) in zip(lists[::2], lists[1::2]):
+            want, have = (np.uint64(0) - x) >> np.uint64(low) & mask, y >> np.uint64(low) & mask
+            order = np.argsort(have)
+            left, right = (np.searchsorted(have[order], want, side) for side in ("left", "right"))
+            rows = np.repeat(np.arange(len(x)), right - left)
+            cols = order[np.arange(len(rows)) - np.repeat(np.cumsum(right - left) - (right - left), right - left) + np.repeat(left, right - left)]
+            total = x[rows] + y[cols]
+            keep = slice(0, 1 << 18)
+            merged.append((total[keep], [*(k[rows][keep] for k in i), *(k[cols][keep] for k in j)]))
+        lists = merged
+    total, picks = lists[0]
+    at = int(np.flatnonzero(total == 0)[0])
+    change = np.concatenate([signs[i][int(k[at])] for i, k in enumerate(picks)])
+    one = "".join(chr(step) if c > 0 else "a" for c in change)
+    two = "".join(chr(step) if c < 0 else "a" for c in change)
+    return one, two
+
+
+def test_strings_of_one_name_are_told_apart(spark):
+    from tests.llm import brute
+
+    one, two = same_name_strings()
+    namer = suffixes.Namer(suffixes.LENGTH)
+    assert one != two and namer.names(one.encode(), 0)[0] == namer.names(two.encode(), 0)[0]
+    # The repeats of 190 bytes only make both strings candidates; no 200 bytes are the same.
+    cuts = [t[:190] + "".join(f"#{k}x{n}" for n in range(40)) for k, t in enumerate((one, two))]
+    rows = [(i, t) for i, t in enumerate([one, two, *cuts])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = suffixes.remove_repeats(docs)
+    assert rows_of(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeated_bytes(rows, 200)
+
+
 def test_pairs_helper(small):
     assert len(pairs(small)) == 200

@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shardlens.llm import bpe, language, line_dedup, minhash, mixing, quality, suffixes, syncmers, token_counts, token_files
+from shardlens.llm import (
+    bpe, clustering, convnet, language, lexical, line_dedup, minhash, mixing, quality, suffixes, syncmers, token_counts,
+    token_files,
+)
 
 # Vocabulary files of public tokenizers; a parameter of every operator that reads one.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -82,12 +85,80 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@registered
+def op11_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.clustered(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+@registered
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@registered
+def op13_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return convnet.classified(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 # The other queries rest on tokenizers, trained models, hash-based marks or windows over bytes,
 # and are tested against plain Python instead.
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TERM = "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'"
+
+
+def _clusters_sql(rounds: int) -> str:
+    """Lloyd's rounds written out: a{n} assigns to centroids c{n}, and c{n+1} are the new ones."""
+    parts = [
+        """kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE len(embedding) = 64
+              AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        """c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS cluster, v AS c
+            FROM kept QUALIFY cluster < 8)""",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"""a{n} AS MATERIALIZED (
+            SELECT r, vec_id, v, cluster, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance
+            FROM kept, c{n} QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, cluster) = 1)""")
+        if n < rounds:
+            parts.append(f"""m{n} AS MATERIALIZED (
+            SELECT cluster, list((total - ((total % n) + n) % n) // n ORDER BY i) AS c
+            FROM (SELECT cluster, i, sum(x)::BIGINT AS total, count(*) AS n
+                  FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{n}) GROUP BY cluster, i)
+            GROUP BY cluster)""")
+            parts.append(f"""c{n + 1} AS MATERIALIZED (
+            SELECT cluster, coalesce(m.c, o.c) AS c FROM c{n} o LEFT JOIN m{n} m USING (cluster))""")
+    return "WITH " + ",\n        ".join(parts) + f"""
+        SELECT vec_id, cluster::INTEGER AS cluster, distance,
+               (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+               (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
 ORACLE: dict[str, str] = {
+    "op11_centroid_clusters": _clusters_sql(10),
+    "op12_ranked_search": f"""
+        WITH words AS (
+            SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, {_TERM})) AS term FROM documents),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+        sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+        totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes),
+        spread AS (SELECT doc_id, 10 + (90 * n * n_docs) // n_terms AS m FROM sizes, totals),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+            FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals),
+        asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("text")}, {_TERM})) AS term FROM benchmark),
+        scores AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+            FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN spread USING (doc_id)
+            GROUP BY item_id, doc_id)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+        FROM scores WHERE score > 0 QUALIFY rank <= 10""",
     "op1_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

@@ -29,6 +29,8 @@ CELL = 128
 TRAIN_DOCS = 6000
 TRAIN_BYTES = 10 << 20
 EPOCHS, BATCH, RATE = 6, 8, 0.02
+# Filters learn at this share of the rate: rare bytes are seen too seldom to trust them sooner.
+FILTER_PACE = 0.03
 THRESHOLD = 0.3
 # Cells that are looked up at a time.
 SLAB = 1024
@@ -218,9 +220,10 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, batch: i
             step += 1
             pace = rate * (1 - 0.9 * step / total) * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step)
             for x, g, m, v in zip(network.parameters(), grads, first, second):
+                own_pace = pace * (FILTER_PACE if x is network.tables else 1)
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
-                x -= (pace * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
+                x -= (own_pace * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
     return network
 
 

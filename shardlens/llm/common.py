@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 BLANK = r"\x20\x09-\x0D"
 # Stands for a missing doc_id: such rows are one document that comes last.
 LAST_ID = (1 << 63) - 1
+# Rows of an output batch, about.
+OUT_ROWS = 1 << 14
 
 
 def row_id(column: str = "doc_id") -> Column:
@@ -35,6 +37,12 @@ def columns_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+def rows_of(batch: pa.RecordBatch, *names: str, step: int = 256) -> Iterator[tuple]:
+    """The rows of a batch, of which only `step` at a time are Python values."""
+    for low in range(0, batch.num_rows, step):
+        yield from zip(*columns_of(batch.slice(low, step), *names))
+
+
 def map_rows(
     df: DataFrame, schema: str, setup: Callable[[], Callable[..., Iterable[tuple]]], *names: str
 ) -> DataFrame:
@@ -48,7 +56,12 @@ def map_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = setup()
         for batch in batches:
-            rows = [out for values in zip(*columns_of(batch, *names)) for out in work(*values)]
+            rows = []
+            for values in rows_of(batch, *names):
+                rows += work(*values)
+                if len(rows) >= OUT_ROWS:
+                    yield to_batch(rows, fields)
+                    rows = []
             yield to_batch(rows, fields)
 
     return df.select(*names).mapInArrow(run, schema)

@@ -31,8 +31,12 @@ MAX_PIECE = 8
 MAX_WORD = 40
 UNKNOWN = 1e-7
 SMOOTH = 0.1
-KNOWN_WORDS = 1 << 19
-BLOCK_WORDS = 1 << 15
+# Bytes of remembered words, each about WORD_BYTES beside its scores.
+KNOWN_BYTES, WORD_BYTES = 96 << 20, 160
+TEXTS = 128
+# A text's likelihood a character may be so many spreads below the mean, and so many more by its square root.
+SLACK, CERTAIN = 2.75, 6.0
+BLOCK_WORDS = 1 << 12
 START = "▁"
 
 PREDICTION = "doc_id bigint, held_out boolean, lang_pred string, score double"
@@ -116,6 +120,9 @@ class Model:
     pieces: list[str]
     probabilities: np.ndarray
     prior: np.ndarray
+    # Log likelihood a character of the training words in their own language, and its spread.
+    mean: np.ndarray | None = None
+    spread: np.ndarray | None = None
 
     def __post_init__(self) -> None:
         self.finder = Pieces(self.pieces)
@@ -182,6 +189,10 @@ def fit(words: dict[str, dict[str, int]], docs: dict[str, int], pieces: list[str
     for _ in range(rounds if every else 0):
         uses = model.expected(every, counts)[:-1] + SMOOTH
         model.probabilities[:-1] = uses / uses.sum(axis=0)
+    scores, lengths = model.score_words(every), np.fromiter(map(len, every), float, len(every))
+    chars = np.maximum(1, lengths @ counts)
+    model.mean = (counts * scores).sum(axis=0) / chars
+    model.spread = np.sqrt((counts * (scores - lengths[:, None] * model.mean) ** 2).sum(axis=0) / chars)
     return model
 
 
@@ -214,26 +225,46 @@ def learn(docs: DataFrame, vocabulary: str, per_language: int = DOCS_PER_LANGUAG
 
 
 class Scorer:
-    """Scores texts; remembers words up to a bound."""
+    """Scores texts; remembers words and their scores up to a bound in bytes."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.known: dict[str, int] = {}
-        self.scores = np.zeros((0, len(model.languages)))
-
-    def likelihoods(self, batch: list[str]) -> np.ndarray:
-        if len(self.known) > KNOWN_WORDS:
-            self.known, self.scores = {}, self.scores[:0]
-        known, words = self.known, [words_of(t) for t in batch]
+        self.words: dict[str, int] = {}
+        self.scores = np.zeros((1 << 12, len(model.languages)))
+
+    def margins(self, batch: list[str]) -> np.ndarray:
+        return self.likelihoods(batch)[0] + np.log(self.model.prior)
+
+    def known(self, batch: list[str]) -> np.ndarray:
+        """Whether each text's likelihood in its best language is not far below that language's usual one.
+
+        The allowance a character shrinks as a text grows: a few odd words decide nothing.
+        """
+        likelihoods, chars = self.likelihoods(batch)
+        best = (likelihoods + np.log(self.model.prior)).argmax(axis=1)
+        allowed = self.model.spread[best] * (SLACK * chars + CERTAIN * np.sqrt(chars))
+        return likelihoods[np.arange(len(batch)), best] >= self.model.mean[best] * chars - allowed
+
+    def likelihoods(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihood of each text in each language, and the characters of its words."""
+        if len(self.words) * (WORD_BYTES + 8 * self.scores.shape[1]) > KNOWN_BYTES:
+            self.words = {}
+        known, words = self.words, [words_of(t) for t in batch]
         new = list({w for own in words for w in own if w not in known})
         if new:
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            self.scores = np.concatenate([self.scores, self.model.score_words(new)])
-        out = np.zeros((len(batch), len(self.model.languages)))
+            size = len(known) + len(new)
+            if size > len(self.scores):
+                wider = np.zeros((max(size, 2 * len(self.scores)), self.scores.shape[1]))
+                wider[:len(known)] = self.scores[:len(known)]
+                self.scores = wider
+            self.scores[len(known):size] = self.model.score_words(new)
+            known.update(zip(new, range(len(known), size)))
+        out, chars = np.zeros((len(batch), len(self.model.languages))), np.zeros(len(batch))
         for i, own in enumerate(words):
             if own:
+                chars[i] = sum(map(len, own))
                 out[i] = self.scores[np.fromiter(map(known.__getitem__, own), np.int64, len(own))].sum(axis=0)
-        return out
+        return out, chars
 
 
 def predictions(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -248,10 +279,10 @@ def predictions(docs: DataFrame, model: Model | None) -> DataFrame:
         scorer = Scorer(model) if model else None
         for batch in batches:
             ids, held, texts = columns_of(batch, "doc_id", "held_out", "text")
-            for i in range(0, len(ids), 512):
-                part = [t if t and scorer and has_letter(t) else "" for t in texts[i:i + 512]]
+            for i in range(0, len(ids), TEXTS):
+                part = [t if t and scorer and has_letter(t) else "" for t in texts[i:i + TEXTS]]
                 rows = []
-                margins = scorer.likelihoods(part) + np.log(model.prior) if scorer else None
+                margins = scorer.margins(part) if scorer else None
                 for j, text in enumerate(part):
                     lang, score = UNDECIDED, 0.0
                     if text:
@@ -265,10 +296,13 @@ def predictions(docs: DataFrame, model: Model | None) -> DataFrame:
     return narrow.mapInArrow(run, PREDICTION)
 
 
-def known_language(docs: DataFrame, model: Model | None, least: float = 0.0) -> DataFrame:
-    """Those rows of `docs` that are not `und`, with a probability of at least `least`; all columns stay.
+def known_language(docs: DataFrame, model: Model | None) -> DataFrame:
+    """Those rows of `docs` that have a letter and read like one of the learned languages; all columns stay.
 
-    A short text may be of any of several languages and still be sound, so by default no text goes for that.
+    A text goes if its likelihood a character lies far below what is usual in the language
+    that suits it best, with more room the shorter it is. A short text may be of any of several
+    languages and still be sound, so no text goes for being undecided between them.
+    Nulls and empty texts go, and all texts if nothing was learned.
     """
 
     @F.pandas_udf("boolean")
@@ -276,14 +310,9 @@ def known_language(docs: DataFrame, model: Model | None, least: float = 0.0) ->
         scorer = Scorer(model) if model else None
         for texts in batches:
             keep = np.zeros(len(texts), bool)
-            listed = texts.tolist()
-            for i in range(0, len(listed), 512):
-                part = [t if t and scorer and has_letter(t) else "" for t in listed[i:i + 512]]
-                if scorer:
-                    margins = scorer.likelihoods(part) + np.log(model.prior)
-                    top = margins.max(axis=1, keepdims=True)
-                    sure = 1 / np.exp(margins - top).sum(axis=1) >= least
-                    keep[i:i + 512] = sure & np.array([bool(t) for t in part])
+            for i in range(0, len(texts) if scorer else 0, TEXTS):
+                part = [t if t and has_letter(t) else "" for t in texts.iloc[i:i + TEXTS]]
+                keep[i:i + TEXTS] = scorer.known(part) & np.array([bool(t) for t in part])
             yield pd.Series(keep)
 
     return docs.where(decided(F.col("text")))

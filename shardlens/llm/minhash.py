@@ -7,10 +7,11 @@ for each coordinate. So two permutations give a signature of any length.
 Documents with equal sets are one class and stand for one another. Classes that
 agree on a band share a bucket; each is compared with a hub of the bucket, first
 the smallest, then the largest id. Links found so far make most buckets one
-component. In a bucket with several, a link to a document with many rare shingles
-needs one of them on both sides, as it cannot leave out so many; short lists of
-rare shingles find these. Only pairs of documents with few rare shingles, still in different
-components, are compared one by one. So components are those of all links that share a bucket.
+component. In a bucket with several, sets are seen by what they lose and add against
+one common set. Two sets that are similar enough must share added shingles, of which
+only the rarest are listed, unless both lose so little that sizes alone decide; these
+few pairs are found by sizes. So no bucket's pairs are taken one by one, and
+components are those of all links that share a bucket.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shardlens.durable import store
-from shardlens.llm.common import arrow_schema, back_to_doc_id, columns_of, row_id, texts, to_batch
+from shardlens.llm.common import arrow_schema, back_to_doc_id, row_id, rows_of, texts, to_batch
 
 SHINGLE = 5
 PERCENT = 80
@@ -32,9 +33,9 @@ BANDS = 32
 ROWS = 4
 # A pair at 80 % is missed by all bands with a chance of (1 - 0.8^4)^32 = 5e-8.
 RING_BITS = 20
-# A shingle of so many documents at most is rare.
-RARE = 4
 CHUNK = 1 << 12
+# Shingles of remembered sets while links are confirmed.
+HELD_SHINGLES = 1 << 16
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 SIGNED = "_id bigint, n_shingles bigint, digest binary, bands array<bigint>"
@@ -109,7 +110,7 @@ def signed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: in
         signer = CirculantSigner(bands, rows)
         for batch in batches:
             out = []
-            for doc_id, text in zip(*columns_of(batch, "_id", "text")):
+            for doc_id, text in rows_of(batch, "_id", "text"):
                 h = shingle_hashes(words_of(text), shingle)
                 keys = signer.band_keys(h).tolist() if len(h) else []
                 out.append((doc_id, len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), keys))
@@ -130,18 +131,22 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent
     met = pairs.select("a", "b").join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str, set] = {"": set()}
+        sets: dict[str, set] = {}
+        held = 0
 
         def of(text: str) -> set:
+            nonlocal held
             if text not in sets:
-                if len(sets) > 64:
+                if held > HELD_SHINGLES:
                     sets.clear()
+                    held = 0
                 sets[text] = shingles(words_of(text), shingle)
+                held += len(sets[text])
             return sets[text]
 
         for batch in batches:
             out = []
-            for a, b, x, y in zip(*columns_of(batch, "a", "b", "_left", "_right")):
+            for a, b, x, y in rows_of(batch, "a", "b", "_left", "_right"):
                 x, y = of(x), of(y)
                 if x and y and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
                     both = len(x & y)
@@ -206,53 +211,103 @@ def _pairs_with_largest(buckets: DataFrame, percent: int) -> DataFrame:
     return _pairs_with_hub(buckets, percent, F.max)
 
 
-def _rare_shingles(docs: DataFrame, buckets: DataFrame, shingle: int) -> DataFrame:
-    """(hash, _id, n_docs) of the shingles that few of the documents in `buckets` hold."""
-    fields = arrow_schema(docs.sparkSession, "_id bigint, hashes array<bigint>")
+def _shingle_lists(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(_id, variant, hashes) of every text of `ids`; the texts of one id differ by `variant`."""
+    fields = arrow_schema(docs.sparkSession, "_id bigint, variant bigint, hashes array<bigint>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [
-                (doc_id, shingle_hashes(words_of(text), shingle).view(np.int64).tolist())
-                for doc_id, text in zip(*columns_of(batch, "_id", "text"))
-            ]
-            yield to_batch(out, fields)
+            for doc_id, text in rows_of(batch, "_id", "text"):
+                hashes = shingle_hashes(words_of(text), shingle)
+                variant = xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+                yield to_batch([(doc_id, variant, hashes.view(np.int64).tolist())], fields)
+
+    here = texts(docs).join(ids, "_id", "left_semi")
+    listed = here.mapInArrow(run, "_id bigint, variant bigint, hashes array<bigint>")
+    return listed.dropDuplicates(["_id", "variant"])
+
+
+def _differences(docs: DataFrame, buckets: DataFrame, shingle: int) -> DataFrame:
+    """What each set of an open bucket loses and adds against the set of the bucket's smallest component.
+
+    (hub, variant, n_hub, _id, component, n, lost, new): one row for each hub, not for each bucket.
+    """
+    hubs = buckets.groupBy("key").agg(F.min("component").alias("hub"))
+    members = store(buckets.join(hubs, "key").select("hub", "_id", "component").distinct(), "members")
+    ids = members.select("_id").unionByName(members.select(F.col("hub").alias("_id"))).distinct()
+    lists = store(_shingle_lists(docs, ids, shingle), "shingles")
+    base = lists.select(F.col("_id").alias("hub"), "variant", F.col("hashes").alias("_base"))
+    met = members.join(lists.select("_id", "hashes"), "_id").join(base, "hub")
+    n_hub = F.size("_base")
+    return met.select(
+        "hub", "variant", n_hub.alias("n_hub"), "_id", "component", F.size("hashes").alias("n"),
+        (n_hub - F.size(F.array_intersect("hashes", "_base"))).alias("lost"),
+        F.array_except("hashes", "_base").alias("new"),
+    ).where((F.col("lost") > 0) | (F.size("new") > 0))
+
+
+_OTHER = {"_id": "_b", "component": "_c", "n": "_n", "lost": "_lost", "n_new": "_n_new"}
+
 
-    here = texts(docs).join(buckets.select("_id").distinct(), "_id", "left_semi")
-    listed = here.mapInArrow(run, "_id bigint, hashes array<bigint>")
-    rows = store(listed.select("_id", F.explode("hashes").alias("hash")).distinct(), "shingles")
-    few = rows.groupBy("hash").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") <= RARE)
-    return rows.join(few, "hash")
+def _must_share(percent: int, lost: Column, sizes: Column) -> Column:
+    """100 + percent times the number of added shingles that two sets must share to be similar.
 
+    They share the hub's shingles that neither lost, n_hub - lost at most, and added ones;
+    percent / (100 + percent) of both sizes is needed.
+    """
+    return (100 + percent) * (lost - F.col("n_hub")) + percent * sizes
+
+
+def _pairs_with_new_shingles(differences: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) in different components that share one of their rarest added shingles and may be similar.
 
-def _pairs_with_rare_shingles(buckets: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) in different components that share a rare shingle and may be similar."""
-    known = buckets.select("_id", "n", "component").distinct()
-    posted = rare.where("n_docs > 1").select("hash", "_id").join(known, "_id")
-    other = posted.select("hash", F.col("_id").alias("_b"), F.col("n").alias("_n"), F.col("component").alias("_c"))
+    A set that must share at least t of its added shingles with any partner shares
+    one of all but its t - 1 commonest ones.
+    """
+    partner = F.ceil(F.col("n") * percent / 100)
+    least = F.ceil(_must_share(percent, F.col("lost"), F.col("n") + partner) / (100 + percent))
+    rows = differences.withColumn("n_new", F.size("new")).withColumn("_least", F.greatest(F.lit(1), least).cast("int"))
+    added = store(rows.withColumn("hash", F.explode("new")).drop("new"), "added")
+    group = ["hub", "variant"]
+    common = added.groupBy(*group, "hash").agg(F.count("*").alias("_docs")).where("_docs > 1")
+    row = [*group, "n_hub", "_id", "component", "n", "lost", "n_new", "_least"]
+    listed = added.join(common, [*group, "hash"]).groupBy(*row).agg(
+        F.sort_array(F.collect_list(F.struct("_docs", "hash"))).alias("_shared")
+    )
+    kept = F.size("_shared") - F.col("_least") + 1
+    posted = store(
+        listed.where(kept > 0).withColumn("_shared", F.slice("_shared", F.lit(1), kept))
+        .withColumn("hash", F.explode("_shared.hash")).drop("_shared", "_least"),
+        "posted",
+    )
+    other = posted.select(*group, "hash", *[F.col(c).alias(o) for c, o in _OTHER.items()])
+    enough = _must_share(percent, F.greatest("lost", "_lost"), F.col("n") + F.col("_n")) <= (100 + percent) * F.least("n_new", "_n_new")
     return (
-        posted.join(other, "hash").where("component < _c").where(_compatible(percent))
+        posted.join(other, [*group, "hash"]).where("component < _c").where(_compatible(percent)).where(enough)
         .select(F.greatest("_id", "_b").alias("a"), F.least("_id", "_b").alias("b")).distinct()
     )
 
 
-def _pairs_between_components(buckets: DataFrame, rare: DataFrame, several: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) of a bucket in different components that may be similar without a common rare shingle.
+def _pairs_by_sizes(differences: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) in different components that may be similar without a common added shingle.
 
-    Of two similar sets, x shares at least percent / (100 + percent) * (n + n_y)
-    with y and so leaves out (100 n - percent n_y) / (100 + percent) at most. If it has more rare
-    shingles than that, one of them is common. Ids with several texts count as having none.
+    That depends on n and lost alone, so kinds of equal sizes meet first, then the sets of those kinds that fit.
     """
-    counts = rare.groupBy("_id").agg(F.count("*").alias("rare")).join(several, "_id", "left_anti")
-    rows = store(buckets.join(counts, "_id", "left").withColumn("rare", F.coalesce("rare", F.lit(0))), "poor")
-    other = rows.select(
-        "key", F.col("_id").alias("_b"), F.col("n").alias("_n"), F.col("component").alias("_c"), F.col("rare").alias("_rare")
-    )
-    few = (F.col("rare") * (100 + percent) <= F.col("n") * 100 - F.col("_n") * percent) & (
-        F.col("_rare") * (100 + percent) <= F.col("_n") * 100 - F.col("n") * percent
+    sets = store(differences.drop("new"), "sizes")
+    kind = ["hub", "variant", "n_hub", "n", "lost"]
+    kinds = sets.groupBy(*kind).agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+    partners = kinds.select("hub", "variant", F.col("n").alias("_n"), F.col("lost").alias("_lost"),
+                            F.col("_low").alias("_low2"), F.col("_high").alias("_high2"))
+    one = (F.col("_low") == F.col("_high")) & (F.col("_low2") == F.col("_high2")) & (F.col("_low") == F.col("_low2"))
+    fit = _must_share(percent, F.greatest("lost", "_lost"), F.col("n") + F.col("_n")) <= 0
+    met = store(
+        kinds.join(partners, ["hub", "variant"]).where(~one).where(_compatible(percent)).where(fit)
+        .select("hub", "variant", "n", "lost", "_n", "_lost"),
+        "kinds",
     )
+    other = sets.select("hub", "variant", *[F.col(c).alias(o) for c, o in _OTHER.items() if c != "n_new"])
     return (
-        rows.join(other, "key").where("component < _c").where(few)
+        sets.join(met, ["hub", "variant", "n", "lost"]).join(other, ["hub", "variant", "_n", "_lost"]).where("component < _c")
         .select(F.greatest("_id", "_b").alias("a"), F.least("_id", "_b").alias("b")).distinct()
     )
 
@@ -288,15 +343,13 @@ def near_duplicates(
     ).where("_low <> _high").select("_id")
     labels = docs.sparkSession.createDataFrame([], "_id bigint, component bigint")
     tested = None
-    rounds = (_pairs_with_smallest, _pairs_with_largest, _pairs_with_rare_shingles, _pairs_between_components)
-    for pairs_of in rounds:
-        if pairs_of is _pairs_with_rare_shingles:
-            rare = store(_rare_shingles(docs, buckets, shingle), "rare")
-            pairs = pairs_of(buckets, rare, percent)
-        elif pairs_of is _pairs_between_components:
-            pairs = pairs_of(buckets, rare, several, percent)
-        else:
+    for pairs_of in (_pairs_with_smallest, _pairs_with_largest, _pairs_with_new_shingles, _pairs_by_sizes):
+        if pairs_of in (_pairs_with_smallest, _pairs_with_largest):
             pairs = pairs_of(buckets, percent)
+        else:
+            if pairs_of is _pairs_with_new_shingles:
+                differences = store(_differences(docs, buckets, shingle), "differences")
+            pairs = pairs_of(differences, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = store(pairs, "pairs")
@@ -304,7 +357,7 @@ def near_duplicates(
         found = store(confirmed(pairs, docs, shingle, percent), "links")
         if not found.isEmpty():
             labels = store(components(found.unionByName(_star(labels))), "labels")
-        if pairs_of is not _pairs_between_components:
+        if pairs_of in (_pairs_with_smallest, _pairs_with_largest):
             buckets = store(_open_buckets(buckets, labels), "buckets")
             if buckets.isEmpty():
                 break

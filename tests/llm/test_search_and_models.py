@@ -8,7 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from shardlens.llm import clustering, convnet, lexical
+from shardlens.llm import clustering, convnet, language, lexical, minhash, registered
+from tests.llm import brute
 from tests.llm.conftest import pairs
 
 VECTOR = "vec_id bigint, embedding array<float>, label int, key bigint, block bigint, cluster int, points string"
@@ -254,3 +255,51 @@ def test_classifier_on_awkward_rows(spark, awkward, empty):
     assert len({r["score"] for r in rows if r["doc_id"] in (7, 8)}) == 1
     assert all(r["score"] == 0.5 and r["predicted"] == 1 for r in convnet.classified(awkward, labels.limit(0)).collect())
     assert convnet.classified(empty, labels).collect() == []
+
+
+def test_texts_of_no_language_go(spark, small):
+    """Gibberish goes by its likelihood, long or short texts of learned languages stay."""
+    model = language.learn(small, registered.PIECES)
+    draw = np.random.default_rng(1)
+    noise = " ".join("".join(draw.choice(list("bcdfghjklmnpqrstvwxz"), 7)) for _ in range(60))
+    sound = [(r["doc_id"], r["text"]) for r in small.where("text is not null").collect()]
+    short = [(10_000 + i, t.split(". ")[0]) for i, t in sound]
+    odd = [(-1, noise), (-2, "zzxq " * 400), (-3, None), (-4, ""), (-5, "12 !!")]
+    table = spark.createDataFrame(sound + short + odd, "doc_id bigint, text string").repartition(3)
+    kept = {r["doc_id"] for r in language.known_language(table, model).collect()}
+    letters = {i for i, t in sound + short if language.has_letter(t)}
+    assert kept == letters
+
+
+def changed_copies(draw, base, n, words, most):
+    """Copies of `base` with words replaced by a few others, removed or cut off at either end."""
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(int(draw.integers(most))):
+            at = int(draw.integers(len(own)))
+            own[at:at + 1] = [words[int(draw.integers(len(words)))]] if draw.random() < 0.8 else []
+        if draw.random() < 0.2:
+            own = own[int(draw.integers(len(own) // 4)):]
+        if draw.random() < 0.2:
+            own = own[:len(own) - int(draw.integers(len(own) // 4))]
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("common", [True, False])
+def test_links_in_large_groups_of_near_copies(spark, common):
+    """Every link of a group with changes from a small vocabulary is found, with a common base and with none in the table."""
+    draw = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(6)]
+    base = [f"b{i}" for i in range(90)]
+    texts = changed_copies(draw, base, 250, words, 9) + changed_copies(draw, base[:60] + [f"c{i}" for i in range(30)], 50, words, 6)
+    if common:
+        texts.insert(0, " ".join(base))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    found = minhash.near_duplicates(docs, shingle=3, bands=64, rows=2)
+    columns = ["doc_id", "n_shingles", "component_id", "kept"]
+    expected = brute.near_duplicates(rows, 3)
+    assert len({c for _, _, c, _ in expected}) > 20
+    assert sorted((tuple(r) for r in found.select(*columns).collect()), key=str) == expected

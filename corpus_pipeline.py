@@ -17,7 +17,7 @@ from shardlens.llm.registered import BYTE_RANKS, PIECES
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told, having no letter, go."""
+    """Documents without a letter go, and those that read like no learned language (see `known_language`)."""
     return language.known_language(docs, language.learn(docs, PIECES))
 
 

@@ -338,6 +338,10 @@ def near_duplicates(
     buckets = store(
         every.join(shared.select("key"), "key", "left_semi").withColumn("component", F.col("_id")), "buckets"
     )
+    # Whole texts are dealt out by id once; rounds then move those of shared buckets only.
+    texts_held = store(
+        texts(docs).join(buckets.select("_id").distinct(), "_id", "left_semi").withColumnRenamed("_id", "doc_id"), "texts"
+    )
     several = signatures.groupBy("_id").agg(
         F.min("digest").alias("_low"), F.max("digest").alias("_high")
     ).where("_low <> _high").select("_id")
@@ -348,13 +352,13 @@ def near_duplicates(
             pairs = pairs_of(buckets, percent)
         else:
             if pairs_of is _pairs_with_new_shingles:
-                differences = store(_differences(docs, buckets, shingle), "differences")
+                differences = store(_differences(texts_held, buckets, shingle), "differences")
             pairs = pairs_of(differences, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = store(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = store(confirmed(pairs, docs, shingle, percent), "links")
+        found = store(confirmed(pairs, texts_held, shingle, percent), "links")
         if not found.isEmpty():
             labels = store(components(found.unionByName(_star(labels))), "labels")
         if pairs_of in (_pairs_with_smallest, _pairs_with_largest):

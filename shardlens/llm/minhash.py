@@ -34,6 +34,8 @@ ROWS = 4
 # A pair at 80 % is missed by all bands with a chance of (1 - 0.8^4)^32 = 5e-8.
 RING_BITS = 20
 CHUNK = 1 << 12
+# Pairs and ids of so many bytes at most are sent to all tasks.
+BROADCAST_BYTES = 4 << 20
 # Shingles of remembered sets while links are confirmed.
 HELD_SHINGLES = 1 << 16
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -119,16 +121,24 @@ def signed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: in
     return texts(docs).mapInArrow(run, SIGNED)
 
 
+def _of_ids(rows: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
+    """`rows` whose _id is one of `ids`; the rows stay where they are if `ids` are few."""
+    return rows.join(F.broadcast(ids) if few else ids, "_id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Those (a, b) whose full shingle sets of words reach `percent` of their union.
 
     Texts meet the pairs by joins on ids; Spark splits those of a hub that has
-    many partners. A set is kept while the same document comes again.
+    many partners. Few pairs, by their number, are sent to the texts instead. A set is kept while the same document comes again.
     """
     fields = arrow_schema(pairs.sparkSession, "a bigint, b bigint")
+    pairs = pairs.select("a", "b")
+    few = 16 * pairs.count() <= BROADCAST_BYTES
     left = texts(docs).select(F.col("_id").alias("a"), F.col("text").alias("_left"))
-    right = texts(docs).select(F.col("_id").alias("b"), F.col("text").alias("_right"))
-    met = pairs.select("a", "b").join(left, "a").join(right, "b")
+    right = _of_ids(texts(docs), pairs.select(F.col("b").alias("_id")).distinct(), few)
+    right = right.select(F.col("_id").alias("b"), F.col("text").alias("_right"))
+    met = left.join(F.broadcast(pairs) if few else pairs, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[str, set] = {}
@@ -246,7 +256,7 @@ def _differences(docs: DataFrame, buckets: DataFrame, shingle: int) -> DataFrame
     ).where((F.col("lost") > 0) | (F.size("new") > 0))
 
 
-_OTHER = {"_id": "_b", "component": "_c", "n": "_n", "lost": "_lost", "n_new": "_n_new"}
+_OTHER = {"_id": "_b", "component": "_c", "n": "_n", "lost": "_lost", "rest": "_rest"}
 
 
 def _must_share(percent: int, lost: Column, sizes: Column) -> Column:
@@ -262,26 +272,28 @@ def _pairs_with_new_shingles(differences: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b) in different components that share one of their rarest added shingles and may be similar.
 
     A set that must share at least t of its added shingles with any partner shares
-    one of all but its t - 1 commonest ones.
+    one of all but its t - 1 commonest ones. Of the first that two sets share, no
+    more than `rest` are left in either, which must be enough for their sizes.
     """
     partner = F.ceil(F.col("n") * percent / 100)
     least = F.ceil(_must_share(percent, F.col("lost"), F.col("n") + partner) / (100 + percent))
-    rows = differences.withColumn("n_new", F.size("new")).withColumn("_least", F.greatest(F.lit(1), least).cast("int"))
+    rows = differences.withColumn("_least", F.greatest(F.lit(1), least).cast("int"))
     added = store(rows.withColumn("hash", F.explode("new")).drop("new"), "added")
     group = ["hub", "variant"]
     common = added.groupBy(*group, "hash").agg(F.count("*").alias("_docs")).where("_docs > 1")
-    row = [*group, "n_hub", "_id", "component", "n", "lost", "n_new", "_least"]
+    row = [*group, "n_hub", "_id", "component", "n", "lost", "_least"]
     listed = added.join(common, [*group, "hash"]).groupBy(*row).agg(
         F.sort_array(F.collect_list(F.struct("_docs", "hash"))).alias("_shared")
     )
     kept = F.size("_shared") - F.col("_least") + 1
     posted = store(
-        listed.where(kept > 0).withColumn("_shared", F.slice("_shared", F.lit(1), kept))
-        .withColumn("hash", F.explode("_shared.hash")).drop("_shared", "_least"),
+        listed.where(kept > 0).select(
+            *row[:-1], F.size("_shared").alias("_size"), F.posexplode(F.slice("_shared.hash", F.lit(1), kept)).alias("_at", "hash")
+        ).withColumn("rest", F.col("_size") - F.col("_at")).drop("_size", "_at"),
         "posted",
     )
     other = posted.select(*group, "hash", *[F.col(c).alias(o) for c, o in _OTHER.items()])
-    enough = _must_share(percent, F.greatest("lost", "_lost"), F.col("n") + F.col("_n")) <= (100 + percent) * F.least("n_new", "_n_new")
+    enough = _must_share(percent, F.greatest("lost", "_lost"), F.col("n") + F.col("_n")) <= (100 + percent) * F.least("rest", "_rest")
     return (
         posted.join(other, [*group, "hash"]).where("component < _c").where(_compatible(percent)).where(enough)
         .select(F.greatest("_id", "_b").alias("a"), F.least("_id", "_b").alias("b")).distinct()
@@ -305,7 +317,7 @@ def _pairs_by_sizes(differences: DataFrame, percent: int) -> DataFrame:
         .select("hub", "variant", "n", "lost", "_n", "_lost"),
         "kinds",
     )
-    other = sets.select("hub", "variant", *[F.col(c).alias(o) for c, o in _OTHER.items() if c != "n_new"])
+    other = sets.select("hub", "variant", *[F.col(c).alias(o) for c, o in _OTHER.items() if c != "rest"])
     return (
         sets.join(met, ["hub", "variant", "n", "lost"]).join(other, ["hub", "variant", "_n", "_lost"]).where("component < _c")
         .select(F.greatest("_id", "_b").alias("a"), F.least("_id", "_b").alias("b")).distinct()
@@ -338,10 +350,10 @@ def near_duplicates(
     buckets = store(
         every.join(shared.select("key"), "key", "left_semi").withColumn("component", F.col("_id")), "buckets"
     )
-    # Whole texts are dealt out by id once; rounds then move those of shared buckets only.
-    texts_held = store(
-        texts(docs).join(buckets.select("_id").distinct(), "_id", "left_semi").withColumnRenamed("_id", "doc_id"), "texts"
-    )
+    # Rounds move the texts of shared buckets only.
+    held = store(buckets.select("_id").distinct(), "ids")
+    few = 16 * held.count() <= BROADCAST_BYTES
+    texts_held = store(_of_ids(texts(docs), held, few).withColumnRenamed("_id", "doc_id"), "texts")
     several = signatures.groupBy("_id").agg(
         F.min("digest").alias("_low"), F.max("digest").alias("_high")
     ).where("_low <> _high").select("_id")

@@ -278,9 +278,5 @@ class Inputs:
         )
 
     def labelled_shards(self) -> DataFrame:
-        """Texts of all documents with their labels, if any, for a classifier that goes by label.
-
-        Every thirteenth has no text.
-        """
-        text = F.when(F.col("doc_id") % 13 != 0, F.col("text")).alias("text")
-        return self.documents().select("doc_id", text).join(self.table("labels"), "doc_id", "left")
+        """Texts of all documents with their labels, if any, for a classifier that goes by label."""
+        return self.documents().select("doc_id", "text").join(self.table("labels"), "doc_id", "left")

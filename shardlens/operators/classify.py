@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from shardlens.durable import store
@@ -26,46 +27,61 @@ BIG_BYTES = 256 << 20
 # Lines of one part of a shard, and jobs that a part meets at once.
 PART_LINES = 10_000
 LIST_JOBS = 64
+# Matching lines that are handed back together, about.
+OUT_ROWS = 10_000
 _SCORED = "job_id string, pos int, uri string, text string, failure string"
 
 
-def _scorer(classifier: Classifier) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _scorer(classifier: Classifier) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Score each part of a shard for each job of its list.
 
     Yields the matching lines, and for every part and job one row without uri: the
-    mark that the job was seen, with the failure if the classifier raised.
+    mark that the job was seen, with the failure if the classifier raised. A part's frame is built
+    once; each job gets a copy whose columns are copied only if it writes to them.
 
     All helpers are nested, so that they travel to the workers by value and
     the package need not be installed there.
     """
+    names, rows_of_batch = ("job_id", "pos", "uri", "text", "failure"), OUT_ROWS
+    types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
 
     def truth_values(answer: object, rows: int) -> np.ndarray:
-        values = pd.Series(answer)
-        if len(values) != rows:
-            raise ValueError(f"{len(values)} answers for {rows} records")
-        if values.dtype != bool:
-            values = values.astype("boolean").fillna(False)
-        return values.to_numpy(dtype=bool)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not isinstance(answer, (pd.Series, np.ndarray)):
+            answer = pd.Series(answer)
+        if len(answer) != rows:
+            raise ValueError(f"{len(answer)} answers for {rows} records")
+        if answer.dtype != bool:
+            answer = pd.Series(answer).astype("boolean").fillna(False)
+        return np.asarray(answer, dtype=bool)
+
+    def batch_of(out: dict[str, list]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(out[n], t) for n, t in zip(names, types)], names=list(names))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pd.set_option("mode.copy_on_write", True)
         for batch in batches:
-            extra = [c for c in batch.columns if c not in ("_first", "_lines", "_jobs")]
-            for row in batch.to_dict("records"):
-                lines = list(row["_lines"])
-                pos = np.arange(row["_first"], row["_first"] + len(lines))
-                uris = [f"{row['doc_id']}#{i}" for i in pos]
-                part = pd.DataFrame({**{c: [row[c]] * len(lines) for c in extra}, "pos": pos, "uri": uris, "text": lines})
-                for job in row["_jobs"]:
-                    failure, hits = None, np.zeros(len(lines), dtype=bool)
+            out: dict[str, list] = {n: [] for n in names}
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                lines, jobs, first = row.pop("_lines"), row.pop("_jobs"), row.pop("_first")
+                uris = [f"{row['doc_id']}#{n}" for n in range(first, first + len(lines))]
+                part = pd.DataFrame({**row, "pos": np.arange(first, first + len(lines)), "uri": uris, "text": lines})
+                for job in jobs:
+                    failure, hits = None, []
                     try:
-                        answer = classifier(job["query_text"], job["model"], part.copy())
-                        hits = truth_values(answer, len(lines))
+                        answer = classifier(job["query_text"], job["model"], part.copy(deep=False))
+                        hits = np.flatnonzero(truth_values(answer, len(lines))).tolist()
                     except Exception as problem:  # the job fails, not the task
                         failure = f"{type(problem).__name__}: {problem}"
-                    yield pd.DataFrame({
-                        "job_id": job["job_id"], "pos": [None, *pos[hits]], "uri": [None, *part["uri"][hits]],
-                        "text": [None, *part["text"][hits]], "failure": [failure] + [None] * int(hits.sum()),
-                    })
+                    out["job_id"] += [job["job_id"]] * (len(hits) + 1)
+                    out["pos"] += [None, *(first + h for h in hits)]
+                    out["uri"] += [None, *(uris[h] for h in hits)]
+                    out["text"] += [None, *(lines[h] for h in hits)]
+                    out["failure"] += [failure, *([None] * len(hits))]
+                    if len(out["pos"]) >= rows_of_batch:
+                        yield batch_of(out)
+                        out = {n: [] for n in names}
+            yield batch_of(out)
 
     return score
 
@@ -143,7 +159,7 @@ def classify(
         _parts(keyed), _job_lists(wanted.withColumnRenamed(shard_key, key), key), key,
         None if big is None else big.select(F.col(shard_key).alias(key)),
     )
-    scored = met.mapInPandas(_scorer(classifier), _SCORED)
+    scored = met.mapInArrow(_scorer(classifier), _SCORED)
     found = F.when(F.col("uri").isNotNull(), F.struct("pos", F.struct("uri", "text").alias("match")))
     per_job = _every_job(wanted, scored).groupBy("job_id").agg(
         F.when(F.max("seen") == 0, ABSENT).otherwise(F.max("failure")).alias("_failure"),

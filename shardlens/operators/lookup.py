@@ -2,9 +2,10 @@
 
 Queries, loads and reject lists are small next to shards and jobs, and one of
 their keys may match a third of all rows. Below a measured size the control
-table is broadcast and the many rows stay where they are. Above it, the many
-rows are spread over salts and the control table is repeated for every salt,
-so that no single key is one task's work. Both ways give the same rows.
+table is broadcast and the many rows stay where they are. Above it, a sketch of
+the join keys finds the hot ones; rows of these are spread over as many salts as
+their number asks for, and only their control rows are repeated, once a salt. Both
+ways give the same rows.
 """
 
 from __future__ import annotations
@@ -13,8 +14,14 @@ from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_BYTES = 32 << 20
 SALTS = 64
+# A key is spread over so many tasks at most.
+MOST_SALTS = 1024
+# A key is hot with so many times the rows of an even task.
+HOT = 4
+# Keys that a sketch tracks, those that are read from it, and sketches that are merged at first.
+TRACKED, READ, SKETCHES = 4096, 1024, 64
 _ROW_OVERHEAD = 64
-_SALT = "_salt"
+_SALT, _KEY = "_salt", "_key_hash"
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -35,6 +42,27 @@ def known_keys(keys: DataFrame, table: DataFrame, broadcast_bytes: int = BROADCA
     return keys.join(candidates, keys.columns, "left_semi")
 
 
+def hot_keys(rows: DataFrame, on: list[str], salts: int = MOST_SALTS) -> list[tuple[int, int]]:
+    """(hash, salts) of the join keys that hold far more rows than an even task.
+
+    Every task sketches the keys of its rows (the most frequent of bounded number),
+    the sketches are merged in two steps, and the driver gets the READ largest. A key that is not
+    among them has less than one in READ of all rows and needs no salts. Counts are close estimates; they
+    decide how rows are dealt out, never which rows there are.
+    """
+    keys = rows.select(F.xxhash64(*on).alias(_KEY), F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("_part"))
+    sketches = keys.groupBy("_part").agg(
+        F.expr(f"approx_top_k_accumulate({_KEY}, {TRACKED})").alias("sketch"), F.count("*").alias("n")
+    )
+    merged = F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {READ})")
+    # By a key, as tasks without a sketch have none to merge.
+    found = sketches.groupBy((F.col("_part") * 0).alias("_all")).agg(merged.alias("top"), F.sum("n").alias("n")).first()
+    if found is None:
+        return []
+    even = max(1, found["n"] / int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return [(r["item"], min(salts, max(1, round(r["count"] / even)))) for r in found["top"] if r["count"] > HOT * even]
+
+
 def lookup_join(
     rows: DataFrame,
     control: DataFrame,
@@ -42,16 +70,28 @@ def lookup_join(
     spread_by: list[str],
     how: str = "inner",
     broadcast_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
+    salts: int = MOST_SALTS,
 ) -> DataFrame:
     """Join `rows` with `control` on `on`; `how` keeps or drops rows of the left side.
 
-    `spread_by` are columns of `rows` that vary within one join key.
+    `spread_by` are columns of `rows` that vary within one join key. Beyond
+    `broadcast_bytes` of control rows, `rows` is read once more for its hot keys, which
+    are spread over up to `salts` tasks; rows of all other keys and their control rows stay as they are.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"{how} would repeat rows of a salted control table")
     if measured_bytes(control) <= broadcast_bytes:
         return rows.join(F.broadcast(control), on, how)
-    salted_rows = rows.withColumn(_SALT, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    salted_control = control.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot = hot_keys(rows, on, salts)
+    if not hot:
+        return rows.join(control, on, how)
+    # READ rows at most.
+    marks = F.broadcast(rows.sparkSession.createDataFrame(hot, f"{_KEY} bigint, _salts int"))
+    many = F.coalesce("_salts", F.lit(1))
+    salt = F.pmod(F.xxhash64(*spread_by), many).cast("int")
+    salted_rows = rows.withColumn(_KEY, F.xxhash64(*on)).join(marks, _KEY, "left").withColumn(_SALT, salt).drop(_KEY, "_salts")
+    salted_control = (
+        control.withColumn(_KEY, F.xxhash64(*on)).join(marks, _KEY, "left")
+        .withColumn(_SALT, F.explode(F.sequence(F.lit(0), many - 1))).drop(_KEY, "_salts")
+    )
     return salted_rows.join(salted_control, [*on, _SALT], how).drop(_SALT)

@@ -1,13 +1,16 @@
 """Keys, loads, insert-ignore, statistics."""
 
+import hashlib
+import uuid
 from pathlib import Path
 
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from shardlens.operators import ingest
 from shardlens.operators.keyed import first_per_key, upsert
-from shardlens.sources.listing import read_inventory, scan_listing
+from shardlens.sources.listing import cut_range, list_page, read_inventory, scan_listing
 from shardlens.sources.tables import read_table, scan_catalog, write_table
 
 LISTING = "key string, size long"
@@ -194,3 +197,45 @@ def test_empty_snapshot_reads_with_its_schema(spark, tmp_path):
     rows = spark.createDataFrame([], "name string, language string, md5 string")
     write_table(rows, f"{tmp_path}/datasets", "datasets")
     assert read_table(spark, f"{tmp_path}/datasets", rows.schema).collect() == []
+
+
+def test_flat_folder_is_listed_in_pages_by_several_tasks(spark, tmp_path):
+    """No call returns more than a page, and the ranges of one folder go to several tasks."""
+    names = [hashlib.md5(str(i).encode()).hexdigest() for i in range(3000)] + [f"2024-{i:05}" for i in range(700)]
+    names += ["é", "_hidden", ".x", "zz", " blank", "a" * 200]
+    (tmp_path / "b/en/deep").mkdir(parents=True)
+    (tmp_path / "b/en/deep/er").write_bytes(b"1")
+    for n, name in enumerate(names):
+        (tmp_path / "b/en" / name).write_bytes(b"x" * (n % 5))
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def lister(folder, after, upto, limit):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        found = list_page(fs.LocalFileSystem())(folder, after, upto, limit)
+        task = TaskContext.get()
+        (calls / f"{task.stageId()}-{task.partitionId()}-{uuid.uuid4()}").write_text(str(len(found)))
+        return found
+
+    got = scan_listing(spark, str(tmp_path / "b"), lister, page=100).collect()
+    assert sorted((r["key"], r["size"]) for r in got) == sorted(
+        [(f"en/{name}", n % 5) for n, name in enumerate(names)] + [("en/deep/er", 1)]
+    )
+    seen = [(f.name.rsplit("-", 5)[0], int(f.read_text())) for f in calls.iterdir()]
+    assert max(n for _, n in seen) == 100 and len({task for task, _ in seen}) > 15
+
+
+@given(names=st.lists(st.text(min_size=1, max_size=4), min_size=1, max_size=30, unique=True), page=st.integers(1, 5))
+@settings(deadline=None, max_examples=200)
+def test_ranges_cover_every_name_once(names, page):
+    """Pages and the ranges that they leave give each name once, whatever the names."""
+    left, found = [("", None)], []
+    while left:
+        after, upto = left.pop()
+        own = sorted(n for n in names if n > after and (upto is None or n <= upto))[:page]
+        found += own
+        if len(own) >= page:
+            left += cut_range(own, upto)
+    assert sorted(found) == sorted(names)

@@ -66,6 +66,42 @@ def test_salted_join_equals_plain_join(spark, how):
     assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
 
 
+def test_only_hot_keys_are_salted(spark):
+    """A key with a third of the rows is spread, its control rows are repeated, and all others stay single."""
+    third = F.col("id") % 3 == 0
+    rows = spark.range(60_000).select(F.when(third, F.lit(-1)).otherwise(F.col("id")).alias("k"), "id")
+    control = spark.range(-1, 60_000).select(F.col("id").alias("k"), F.col("id").cast("string").alias("v"))
+    hot = lookup.hot_keys(rows, ["k"])
+    even = 60_000 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(hot) == 0 or even * lookup.HOT < 20_000  # eight partitions make no key hot
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 50)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "1024"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        hot = lookup.hot_keys(rows, ["k"])
+        (number, salts), = hot
+        assert number == rows.where("k = -1").select(F.xxhash64("k")).first()[0] and 14 <= salts <= 20
+        joined = lookup.lookup_join(rows, control, ["k"], ["id"], broadcast_bytes=0)
+        tasks = joined.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+        assert tasks[1] == 60_000 and tasks[0] < 6 * 60_000 / 50
+        assert joined.select("k", "id", "v").exceptAll(rows.join(control, "k").select("k", "id", "v")).isEmpty()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        for key in settings:
+            spark.conf.unset(key)
+
+
+def test_hot_keys_of_few_rows(spark):
+    assert lookup.hot_keys(spark.range(0), ["id"]) == []
+    rows = spark.createDataFrame([(None, 1)] * 5, "k long, v long")
+    assert [s for _, s in lookup.hot_keys(rows, ["k"], salts=3)] in ([], [3])
+    assert lookup.lookup_join(rows, rows.limit(0), ["k"], ["v"], "left", broadcast_bytes=-1).count() == 5
+
+
 def test_a_salted_control_table_cannot_keep_its_own_rows(spark):
     with pytest.raises(ValueError):
         lookup.lookup_join(spark.range(1), spark.range(1), ["id"], ["id"], "full")

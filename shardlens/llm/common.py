@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -67,6 +70,30 @@ def map_rows(
     return df.select(*names).mapInArrow(run, schema)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs that run in here hand at most `rows` rows at a time to Python, however the session is set."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(min(rows, int(before)) if before and int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def give_back_memory() -> None:
+    """Hand freed memory back to the machine: workers live on between stages, and their memory with them."""
+    pa.default_memory_pool().release_unused()
+    name = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(name), "malloc_trim", None) if name else None
+    if trim:
+        trim(0)
+
+
 def with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
     """`rows` with `_llm_text` as text, and n_chars, if there is one, counted anew."""
     new = {"text": F.col("_llm_text"), "n_chars": F.length("_llm_text").cast("bigint")}

@@ -19,7 +19,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shardlens.llm.common import arrow_schema, columns_of, map_rows, row_id, to_batch
+from shardlens.llm.common import arrow_schema, columns_of, give_back_memory, map_rows, row_id, to_batch
 
 UNDECIDED = "und"
 # Training: at most about so many documents of each language, and so many languages.
@@ -32,7 +32,7 @@ MAX_WORD = 40
 UNKNOWN = 1e-7
 SMOOTH = 0.1
 # Bytes of remembered words, each about WORD_BYTES beside its scores.
-KNOWN_BYTES, WORD_BYTES = 96 << 20, 160
+KNOWN_BYTES, WORD_BYTES = 48 << 20, 160
 TEXTS = 128
 # A text's likelihood a character may be so many spreads below the mean, and so many more by its square root.
 SLACK, CERTAIN = 2.75, 6.0
@@ -314,5 +314,7 @@ def known_language(docs: DataFrame, model: Model | None) -> DataFrame:
                 part = [t if t and has_letter(t) else "" for t in texts.iloc[i:i + TEXTS]]
                 keep[i:i + TEXTS] = scorer.known(part) & np.array([bool(t) for t in part])
             yield pd.Series(keep)
+        scorer = texts = part = None
+        give_back_memory()
 
     return docs.where(decided(F.col("text")))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shardlens.durable import store
-from shardlens.llm.common import arrow_schema, back_to_doc_id, row_id, rows_of, texts, to_batch
+from shardlens.llm.common import arrow_schema, back_to_doc_id, row_id, rows_of, small_batches, texts, to_batch
 
 SHINGLE = 5
 PERCENT = 80
@@ -337,7 +337,14 @@ def near_duplicates(
     Rows that share a doc_id are one document: links of each hold for all. An
     empty set (null, empty or blank text) is linked with nothing. A null doc_id
     is one document after all others; as a component's smallest it stays null.
+    Texts are taken whole, other columns are not read, and an empty table gives an empty one.
     """
+    with small_batches(docs.sparkSession):
+        return _members(*_linked(docs, shingle, percent, bands, rows))
+
+
+def _linked(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, ...]:
+    """Signatures, classes, components of the linked classes, and ids with several texts."""
     signatures = store(signed(docs, shingle, bands, rows), "signatures")
     classes = store(
         signatures.where("n_shingles > 0").groupBy("digest").agg(F.min("_id").alias("_class")), "classes"
@@ -377,7 +384,7 @@ def near_duplicates(
             buckets = store(_open_buckets(buckets, labels), "buckets")
             if buckets.isEmpty():
                 break
-    return _members(signatures, classes, labels, several)
+    return signatures, classes, labels, several
 
 
 def _open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import ctypes.util
+import sys
+import types
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -85,6 +87,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What `make` gave to the first task of this worker process that asked for `key`.
+
+    For memories of bounded size that hold nothing of a task. Functions reach the workers by
+    value, so a module of theirs would not outlive a task.
+    """
+    held = sys.modules.setdefault("_llm_worker", types.ModuleType("_llm_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def give_back_memory() -> None:
     """Hand freed memory back to the machine: workers live on between stages, and their memory with them."""
     pa.default_memory_pool().release_unused()

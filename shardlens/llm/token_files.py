@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
 from shardlens.durable import durable_folder, store
-from shardlens.llm.common import arrow_schema, back_to_doc_id, columns_of, map_rows, shuffle_width, texts, to_batch
+from shardlens.llm.common import arrow_schema, back_to_doc_id, columns_of, kept_in_worker, map_rows, rows_of, shuffle_width, texts, to_batch
 
 # Fixed values of the zstandard seekable format.
 SKIPPABLE = 0x184D2A5E
@@ -57,6 +58,11 @@ class WordEncoder:
     def __init__(self, path: str, end_id: int = END_ID, cached_words: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
+        # The library finds its special strings as they stand and encodes what lies between on its own.
+        special = {t.content: struct.pack("<I", i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.special = special
+        self.between = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        # Words are lower case; what is a special string only then is plain text.
         self.tokenizer.encode_special_tokens = True
         self.end = struct.pack("<I", end_id)
         # Which ids are the last of a word.
@@ -66,6 +72,12 @@ class WordEncoder:
         self.cached_words = cached_words
 
     def encode(self, text: str) -> bytes:
+        if self.between is None or not self.between.search(text):
+            return self._plain(text) + self.end
+        parts = self.between.split(text)
+        return b"".join(self.special[p] if p in self.special else self._plain(p) for p in parts) + self.end
+
+    def _plain(self, text: str) -> bytes:
         words = text.encode().lower().split()
         known = self.known
         if len(known) > self.cached_words:
@@ -76,7 +88,7 @@ class WordEncoder:
             self._learn(new.difference(marked).union(w[:-1] for w in marked).union(w[-1:] for w in marked))
             for word in marked:
                 known[word] = known[word[:-1]] + known[word[-1:]]
-        return b"".join(map(known.__getitem__, words)) + self.end
+        return b"".join(map(known.__getitem__, words))
 
     def _learn(self, words: set[bytes]) -> None:
         """Words of letters alone go to the tokenizer in one text, whose ids are parted at ends of words."""
@@ -198,13 +210,13 @@ def write_documents(docs: DataFrame, tokenizer_path: str, folder: str, end_id: i
     fields = arrow_schema(spark, MANIFEST)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path, end_id)
+        encoder = kept_in_worker(("words", tokenizer_path, end_id), lambda: WordEncoder(tokenizer_path, end_id))
         files, root = open_folder(folder)
         part = TaskContext.get().partitionId()
         final, draft = f"{root}/part-{part:06d}.ids", f"{root}/.draft-{part:06d}-{uuid.uuid4().hex}"
         out = writer = None
         for batch in batches:
-            for doc_id, text in zip(*columns_of(batch, "_id", "text")):
+            for doc_id, text in rows_of(batch, "_id", "text"):
                 if writer is None:
                     files.create_dir(root, recursive=True)
                     out = files.open_output_stream(draft)

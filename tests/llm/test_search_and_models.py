@@ -7,8 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
-from shardlens.llm import clustering, convnet, language, lexical, minhash, registered
+from shardlens.llm import clustering, convnet, language, lexical, minhash, registered, token_files
 from tests.llm import brute
 from tests.llm.conftest import pairs
 
@@ -303,3 +304,15 @@ def test_links_in_large_groups_of_near_copies(spark, common):
     expected = brute.near_duplicates(rows, 3)
     assert len({c for _, _, c, _ in expected}) > 20
     assert sorted((tuple(r) for r in found.select(*columns).collect()), key=str) == expected
+
+
+def test_ids_of_special_strings_are_the_librarys():
+    """Word memory against an unchanged tokenizer, with special strings anywhere and in any case."""
+    tokenizer, encoder = Tokenizer.from_file(registered.WORD_BPE), token_files.WordEncoder(registered.WORD_BPE)
+    texts = [
+        "", "<|endoftext|>", "a <|endoftext|>b", "one<|startoftext|>two<|endoftext|><|endoftext|> three.",
+        "<|ENDOFTEXT|> is text", "x <|endoftext|>\n\t<|EndOfText|> y", "<|endoftext", "|> <|startoftext|>!", "don't <|endoftext|>'s",
+    ]
+    for text in texts:
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids, text

@@ -260,7 +260,8 @@ def insert_documents(state: LineStore, docs: DataFrame, unique_ids: bool = False
     # False positives of the filter are new keys as well: they go in now. A full filter is built anew from the counts.
     missing = maybe.join(state.counts.select("key"), "key", "left_anti") if not _is_empty(state.counts) else maybe
     filters = store(_filled(missing, counts, kept), "filters")
-    holdings = held if _is_empty(state.holdings) else store(state.holdings.unionByName(held), "holdings")
+    # Both are stored; a long-lived state may be written anew as one table now and then.
+    holdings = held if _is_empty(state.holdings) else state.holdings.unionByName(held)
     return LineStore(holdings, counts, filters, state.shards)
 
 
@@ -343,10 +344,17 @@ def kept_lines(text: str | None, dropped: list[bytes] | None, min_chars: int = M
     return len(lines), len(lines) - len(kept), b"\n".join(kept)
 
 
-def store_of(docs: DataFrame) -> LineStore:
-    """The state that holds exactly `docs`."""
+def store_of(docs: DataFrame, insertions: int = 1) -> LineStore:
+    """The state that holds exactly `docs`, inserted in so many batches of whole documents.
+
+    From the second batch on, the filters tell which of its keys must meet the counts.
+    """
     unique = docs.groupBy(row_id().alias("_id")).count().where("count > 1").isEmpty()
-    return insert_documents(empty_store(docs.sparkSession, shards_for(docs)), docs, unique)
+    state = empty_store(docs.sparkSession, shards_for(docs))
+    for batch in range(insertions):
+        part = docs if insertions == 1 else docs.where(F.pmod(F.xxhash64(row_id()), F.lit(insertions)) == batch)
+        state = insert_documents(state, part, unique)
+    return state
 
 
 def deduplicated(docs: DataFrame, state: LineStore) -> DataFrame:

@@ -32,7 +32,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 @registered
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    return line_dedup.line_digests(docs, line_dedup.store_of(docs))
+    return line_dedup.line_digests(docs, line_dedup.store_of(docs, insertions=2))
 
 
 @registered

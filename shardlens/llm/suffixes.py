@@ -1,21 +1,19 @@
-"""Removal of repeated byte strings: windows chosen by a difference cover, named by hashes, confirmed on bytes.
-
-No suffix array is built, and cover samples are not ranked: names stand in for order.
+"""Removal of repeated byte strings by blockwise suffix sorting with difference covers.
 
 Positions whose remainder modulo `PERIOD` lies in a difference cover are the
 cover sample: for any two positions some shift below the period takes both into
 the sample. So two equal strings of `LENGTH` bytes share, at one shift, a sample
-suffix that agrees on its first `LENGTH - PERIOD + 1` bytes. Hashes of the samples' first
-bytes are sorted first; only suffixes close before a sample name that occurs twice can begin a
-repeated string. Those are sorted in turn, by hashes of their first
-`LENGTH` bytes: neighbours with equal names are proposed as repeats.
-
-Both times suffixes are dealt into buckets by name and one bucket is sorted
-at a time, so a task holds one bucket's names and never the texts. All names are parts of one
-64-bit hash, so N candidates have about N^2 / 2^65 false proposals, however many buckets there are.
-So proposals are confirmed on their bytes: neighbouring ones whose least `GRAM` bytes (by hash)
-are the same go as one stretch of text into the bucket of those, where all equal strings
-meet; names that are equal for other bytes are told apart there. Documents stand in blocks by a digest of
+suffix that agrees on its first `LENGTH - PERIOD + 1` bytes. Hashes of these bytes are
+compared first, bucket by bucket: only suffixes close before a sample that occurs twice can begin a
+repeated string. A hash that stands for other bytes too only adds candidates.
+
+The candidates then are sorted exactly, one bucket of suffixes at a time. Suffixes next to each other
+go as one stretch of text into the bucket of the least `GRAM` bytes (by hash) of their strings,
+where all equal strings meet. A bucket ranks its own cover sample, the positions that three does
+not divide, by their first `LENGTH - 2` bytes: by a few bytes, and then in doubling steps by pairs of ranks that are
+known. Any two suffixes have a shift of at most two bytes that takes both into this sample, so these bytes and the
+ranks there order them however long they tie; equal ones are repeats. So a task holds one
+bucket's stretches, and ranks in place of longer strings. Documents stand in blocks by a digest of
 their text; equal texts meet there and are handled once. A bucket answers each block with places of repeats.
 """
 
@@ -39,10 +37,12 @@ BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
 # Positions named at a time; texts of any length are taken in such parts.
 PART = 1 << 18
+# Texts up to this size have blocks and buckets of the sizes above. Beyond, both grow with the root of the
+# size, so that a block's rows for its buckets stay in proportion to its text.
+PLAIN_BYTES = 32 << 30
 COVER_NAME_BYTES = 4
-NAME_BYTES = 7
 DIGEST_BYTES = 16
-# Bytes of the runs whose least one chooses the bucket in which strings are confirmed.
+# Bytes of the runs whose least one chooses the bucket in which strings are sorted.
 GRAM = 32
 
 BLOCKS = "block int, digest binary, text binary, n bigint"
@@ -169,44 +169,87 @@ def sort_bucket(rows: list[dict], width: int) -> Iterator[tuple]:
         at += len(mine)
 
 
+def cover_ranks(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks by their first `depth` bytes of the positions in [start, end) that three does not divide.
+
+    Positions with fewer bytes before the end of their run have a rank of no meaning. Ranks come
+    at the places of their positions; equal ones stand for equal bytes, smaller ones for smaller bytes.
+    """
+    at = np.repeat(starts, ends - starts) + _within(ends - starts)
+    sample = at % 3 != 0
+    at, room = at[sample], (np.repeat(ends, ends - starts) - at)[sample]
+    have = depth if depth <= 8 else 8 - (8 - depth) % 3  # what is left after it are steps of three
+    at, room = at[room >= have], room[room >= have]
+    rank = np.zeros(len(text) + 1, np.int64)
+    key = np.zeros(len(at), np.uint64)
+    for i in range(have):
+        key = key << np.uint64(8) | text[at + i]
+    while len(at):
+        # Those of one rank so far are parted by the key, within the range of ranks that they share.
+        order = np.argsort(key)
+        at, room, key, old = at[order], room[order], key[order], rank[at[order]]
+        parted = np.ones(len(at) + 1, bool)
+        parted[1:-1] = old[1:] != old[:-1]
+        group = np.flatnonzero(parted)
+        parted[1:-1] = key[1:] != key[:-1]
+        first = np.flatnonzero(parted)
+        size = np.diff(first)
+        head = np.repeat(group[:-1], np.diff(group))
+        rank[at] = np.maximum(old, 1) + np.repeat(first[:-1], size) - head
+        if have == depth:
+            break
+        step = min(have - have % 3, depth - have)
+        tied = np.repeat(size > 1, size) & (room >= have + step)
+        at, room = at[tied], room[tied]
+        key = rank[at] << 32 | rank[at + step]
+        have += step
+    return rank
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each count, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def numbers_of(data: bytes, at: np.ndarray, length: int) -> np.ndarray:
     """A number for each string of `length` bytes at the sorted places `at`: the same for equal bytes only.
 
-    Strings of equal names are compared with the one before them: all bytes of it, or only
-    the last where the strings one place earlier are such a pair, too.
+    A place that three does not divide is in the cover sample, and its rank leaves two bytes to
+    compare. One that three divides is compared with its like and with those of remainder 1 by one byte and the
+    rank of the place after it, and with those of remainder 2 by two bytes and the rank after these.
     """
-    namer = Namer(length)
-    names = np.empty(len(at), np.uint64)
-    for start in range(0, len(data), PART):
-        a, b = np.searchsorted(at, [start, start + PART])
-        if b > a:
-            names[a:b] = namer.names(data, start)[at[a:b] - start]
-    order = np.argsort(names, kind="stable")
-    new = np.ones(len(at), bool)
-    new[1:] = names[order][1:] != names[order][:-1]
+    if not len(at):
+        return np.zeros(0, np.int64)
+    breaks = np.flatnonzero(np.diff(at) >= length)
+    text, depth = np.frombuffer(data, np.uint8).astype(np.int64), length - 2
+    rank = cover_ranks(
+        text.astype(np.uint64), at[np.append(0, breaks + 1)], at[np.append(breaks, len(at) - 1)] + length, depth
+    )
     out = np.empty(len(at), np.int64)
-    out[order] = np.cumsum(new)
-    before = np.full(len(at), -1)
-    before[order[1:][~new[1:]]] = at[order[:-1][~new[1:]]]
-    paired = np.flatnonzero(before >= 0)
-    if not len(paired):
-        return out
-    one, two = before[paired], at[paired]
-    first = np.ones(len(paired), bool)
-    first[1:] = (np.diff(one) != 1) | (np.diff(two) != 1)
-    text = np.frombuffer(data, np.uint8)
-    equal = text[one + length - 1] == text[two + length - 1]
-    heads = np.flatnonzero(first)
-    for i in range(length - 1):
-        equal[heads] &= text[one[heads] + i] == text[two[heads] + i]
-    if equal.all():
+    kind = at % 3
+    in_sample, no_sample = np.flatnonzero(kind != 0), np.flatnonzero(kind == 0)
+
+    def by_one(places: np.ndarray) -> np.ndarray:
+        return text[places] << 40 | rank[places + 1] << 8 | text[places + 1 + depth]
+
+    def by_two(places: np.ndarray) -> np.ndarray:
+        return text[places] << 48 | text[places + 1] << 40 | rank[places + 2]
+
+    own = at[in_sample]
+    _, out[in_sample] = np.unique(rank[own] << 16 | text[own + depth] << 8 | text[own + depth + 1], return_inverse=True)
+    if not len(no_sample):
         return out
-    # Names that stand for several strings: these are numbered by their bytes.
-    chain = np.cumsum(first)
-    doubtful = np.isin(out, out[paired[np.isin(chain, chain[~equal])]])
-    found: dict[bytes, int] = {}
-    for i in np.flatnonzero(doubtful).tolist():
-        out[i] = found.setdefault(data[at[i]:at[i] + length], len(at) + 1 + len(found))
+    _, leads, back = np.unique(by_one(at[no_sample]), return_index=True, return_inverse=True)
+    lead = at[no_sample][leads]
+    numbers = len(at) + np.arange(len(lead))
+    for remainder, key in ((1, by_one), (2, by_two)):
+        others = in_sample[kind[in_sample] == remainder]
+        if len(others):
+            keys, some = np.unique(key(at[others]), return_index=True)
+            wanted = key(lead)
+            where = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            numbers = np.where(keys[where] == wanted, out[others[some[where]]], numbers)
+    out[no_sample] = numbers[back]
     return out
 
 
@@ -240,9 +283,9 @@ def least_grams(data: bytes, at: np.ndarray, length: int, gram: int) -> np.ndarr
 
 
 def deal_strings(block: int, texts: list[bytes], docs: np.ndarray, places: np.ndarray, buckets: int, length: int) -> Iterator[tuple]:
-    """The proposed strings of a block as rows of STRINGS, one a bucket.
+    """The strings at the candidates of a block as rows of STRINGS, one a bucket.
 
-    Strings the block itself holds more than once are confirmed here, and one copy of each goes out.
+    Strings the block itself holds more than once are found here, and one copy of each goes out.
     """
     ends = np.cumsum([len(t) for t in texts])
     data = b"".join(texts)
@@ -264,7 +307,7 @@ def deal_strings(block: int, texts: list[bytes], docs: np.ndarray, places: np.nd
         yield (int(bucket[some[0]]), block, strings, packed(runs, 4), b"", b"", b"")
 
 
-def confirm_bucket(rows: list[dict], length: int) -> Iterator[tuple]:
+def sort_strings(rows: list[dict], length: int) -> Iterator[tuple]:
     """Answer each block with the places of strings whose bytes occur more than once, as rows of PLACES."""
     for row in rows:
         if not len(row["runs"]):
@@ -275,7 +318,7 @@ def confirm_bucket(rows: list[dict], length: int) -> Iterator[tuple]:
     runs = [unpacked(r["runs"], 4).astype(np.int64).reshape(3, -1) for r in rows]
     docs, places, counts = np.concatenate(runs, axis=1)
     row = np.repeat(np.repeat(np.arange(len(rows)), [r.shape[1] for r in runs]), counts)
-    within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    within = _within(counts)
     starts = np.cumsum(counts + length - 1) - (counts + length - 1)
     found, _ = repeated(numbers_of(b"".join(r["strings"] for r in rows), np.repeat(starts, counts) + within, length))
     docs, places = np.repeat(docs, counts), np.repeat(places, counts) + within
@@ -316,8 +359,9 @@ class SuffixDedup:
         self.spark = docs.sparkSession
         self.length, self.period, self.cover = length, period, cover
         size = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.blocks = 1 + int(size) // block_bytes
-        self.buckets = 1 + int(size) // bucket_bytes
+        grown = max(1.0, (size / PLAIN_BYTES) ** 0.5)
+        self.blocks = 1 + int(size / (block_bytes * grown))
+        self.buckets = 1 + int(size / (bucket_bytes * grown))
 
     def _fields(self, schema: str) -> pa.Schema:
         return arrow_schema(self.spark, schema)
@@ -389,54 +433,35 @@ class SuffixDedup:
 
         return names.groupBy("bucket").applyInArrow(sort, PLACES)
 
-    def suffix_names(self, texts: DataFrame, candidates: DataFrame) -> DataFrame:
-        length, period, buckets, fields = self.length, self.period, self.buckets, self._fields(NAMES)
-
-        def name(left: pa.Table, right: pa.Table) -> pa.Table:
-            rows = []
-            if left.num_rows and right.num_rows:
-                namer = Namer(length)
-                held, found = SuffixDedup.answers(right)
-                docs, places, names = [], [], []
-                for number, (_, data, _) in enumerate(SuffixDedup.distinct(left)):
-                    mine = found[np.searchsorted(held, number):np.searchsorted(held, number, "right")]
-                    if not len(mine) or len(data) < length:
-                        continue
-                    starts = reached(mine, period - 1, len(data) - length + 1)
-                    for start in range(0, len(data), PART):
-                        part = starts[np.searchsorted(starts, start):np.searchsorted(starts, start + PART)]
-                        if len(part):
-                            docs.append(np.full(len(part), number))
-                            places.append(part)
-                            names.append(namer.names(data, start)[part - start])
-                if docs:
-                    rows = list(deal(
-                        left.column("block")[0].as_py(), *map(np.concatenate, (docs, places, names)), buckets, NAME_BYTES
-                    ))
-            return pa.Table.from_batches([to_batch(rows, fields)])
-
-        return texts.groupBy("block").cogroup(candidates.groupBy("block")).applyInArrow(name, NAMES)
-
-    def proposed_strings(self, texts: DataFrame, proposed: DataFrame) -> DataFrame:
-        length, buckets, fields = self.length, self.buckets, self._fields(STRINGS)
+    def candidate_strings(self, texts: DataFrame, candidates: DataFrame) -> DataFrame:
+        """The strings that begin at or close before the samples `candidates`, as stretches of text."""
+        length, period, buckets, fields = self.length, self.period, self.buckets, self._fields(STRINGS)
 
         def cut(left: pa.Table, right: pa.Table) -> pa.Table:
             rows = []
             if left.num_rows and right.num_rows:
-                docs, places = SuffixDedup.answers(right)
+                held, found = SuffixDedup.answers(right)
                 texts = [data for _, data, _ in SuffixDedup.distinct(left)]
-                rows = list(deal_strings(left.column("block")[0].as_py(), texts, docs, places, buckets, length))
+                docs, places = [], []
+                for number in np.unique(held).tolist():
+                    mine = found[np.searchsorted(held, number):np.searchsorted(held, number, "right")]
+                    starts = reached(mine, period - 1, len(texts[number]) - length + 1)
+                    docs.append(np.full(len(starts), number))
+                    places.append(starts)
+                block = left.column("block")[0].as_py()
+                rows = list(deal_strings(block, texts, np.concatenate(docs), np.concatenate(places), buckets, length))
             return pa.Table.from_batches([to_batch(rows, fields)])
 
-        return texts.groupBy("block").cogroup(proposed.groupBy("block")).applyInArrow(cut, STRINGS)
+        return texts.groupBy("block").cogroup(candidates.groupBy("block")).applyInArrow(cut, STRINGS)
 
-    def confirmed(self, strings: DataFrame) -> DataFrame:
+    def sorted_strings(self, strings: DataFrame) -> DataFrame:
+        """The places of strings that occur more than once."""
         length, fields = self.length, self._fields(PLACES)
 
-        def confirm(table: pa.Table) -> pa.Table:
-            return pa.Table.from_batches([to_batch(list(confirm_bucket(table.to_pylist(), length)), fields)])
+        def sort(table: pa.Table) -> pa.Table:
+            return pa.Table.from_batches([to_batch(list(sort_strings(table.to_pylist(), length)), fields)])
 
-        return strings.groupBy("bucket").applyInArrow(confirm, PLACES)
+        return strings.groupBy("bucket").applyInArrow(sort, PLACES)
 
     def removed(self, texts: DataFrame, repeats: DataFrame) -> DataFrame:
         """One row of RESULT for each distinct text."""
@@ -463,13 +488,12 @@ class SuffixDedup:
     def run(self) -> DataFrame:
         """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of every row.
 
-        Spark shuffles the texts once, by block, and uses that four times. A
+        Spark shuffles the texts once, by block, and uses that three times. A
         null text is empty; rows count as documents of their own even if they share a doc_id.
         """
         texts = self.texts()
         candidates = self.repeats(self.cover_names(texts), COVER_NAME_BYTES)
-        proposed = self.repeats(self.suffix_names(texts, candidates), NAME_BYTES)
-        repeats = self.confirmed(self.proposed_strings(texts, proposed))
+        repeats = self.sorted_strings(self.candidate_strings(texts, candidates))
         result = self.removed(texts, repeats)
         named = self.docs.select("doc_id", text_digest(F.col("text")).alias("digest"))
         return named.join(result, "digest").drop("digest")

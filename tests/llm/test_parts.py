@@ -313,7 +313,7 @@ def test_equal_names_of_other_bytes_are_no_repeats(mask, monkeypatch):
             sent.setdefault(row[0], []).append(dict(zip(("bucket", "block", "strings", "runs", "docs", "counts", "steps"), row)))
     found = set()
     for some in sent.values():
-        for block, *packed in suffixes.confirm_bucket(some, length):
+        for block, *packed in suffixes.sort_strings(some, length):
             found |= {(block, d, p) for d, p in zip(*(a.tolist() for a in suffixes.unpack_places(*packed)))}
     every = {}
     for block, texts in enumerate(blocks):

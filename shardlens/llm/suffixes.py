@@ -13,7 +13,7 @@ where all equal strings meet. A bucket ranks its own cover sample, the positions
 not divide, by their first `LENGTH - 2` bytes: by a few bytes, and then in doubling steps by pairs of ranks that are
 known. Any two suffixes have a shift of at most two bytes that takes both into this sample, so these bytes and the
 ranks there order them however long they tie; equal ones are repeats. So a task holds one
-bucket's stretches, and ranks in place of longer strings. Documents stand in blocks by a digest of
+bucket's stretches, and the ranks of one slice of them in place of longer strings. Documents stand in blocks by a digest of
 their text; equal texts meet there and are handled once. A bucket answers each block with places of repeats.
 """
 
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shardlens.llm.common import arrow_schema, columns_of, to_batch
+from shardlens.llm.common import arrow_schema, columns_of, give_back_memory, to_batch
 
 LENGTH = 200
 # A perfect difference set; all remainders of 133 are differences of two of these.
@@ -42,6 +42,8 @@ PART = 1 << 18
 PLAIN_BYTES = 32 << 30
 COVER_NAME_BYTES = 4
 DIGEST_BYTES = 16
+# Slices of a bucket's stretches, sorted one after the other.
+SLICES = 8
 # Bytes of the runs whose least one chooses the bucket in which strings are sorted.
 GRAM = 32
 
@@ -180,7 +182,7 @@ def cover_ranks(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: i
     at, room = at[sample], (np.repeat(ends, ends - starts) - at)[sample]
     have = depth if depth <= 8 else 8 - (8 - depth) % 3  # what is left after it are steps of three
     at, room = at[room >= have], room[room >= have]
-    rank = np.zeros(len(text) + 1, np.int64)
+    rank = np.zeros(len(text) + 1, np.int32)
     key = np.zeros(len(at), np.uint64)
     for i in range(have):
         key = key << np.uint64(8) | text[at + i]
@@ -201,7 +203,7 @@ def cover_ranks(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: i
         step = min(have - have % 3, depth - have)
         tied = np.repeat(size > 1, size) & (room >= have + step)
         at, room = at[tied], room[tied]
-        key = rank[at] << 32 | rank[at + step]
+        key = rank[at].astype(np.int64) << 32 | rank[at + step]
         have += step
     return rank
 
@@ -221,22 +223,25 @@ def numbers_of(data: bytes, at: np.ndarray, length: int) -> np.ndarray:
     if not len(at):
         return np.zeros(0, np.int64)
     breaks = np.flatnonzero(np.diff(at) >= length)
-    text, depth = np.frombuffer(data, np.uint8).astype(np.int64), length - 2
-    rank = cover_ranks(
-        text.astype(np.uint64), at[np.append(0, breaks + 1)], at[np.append(breaks, len(at) - 1)] + length, depth
-    )
+    text, depth = np.frombuffer(data, np.uint8), length - 2
+    rank = cover_ranks(text, at[np.append(0, breaks + 1)], at[np.append(breaks, len(at) - 1)] + length, depth)
     out = np.empty(len(at), np.int64)
     kind = at % 3
     in_sample, no_sample = np.flatnonzero(kind != 0), np.flatnonzero(kind == 0)
 
+    def wide(values: np.ndarray, shift: int) -> np.ndarray:
+        return values.astype(np.int64) << shift
+
     def by_one(places: np.ndarray) -> np.ndarray:
-        return text[places] << 40 | rank[places + 1] << 8 | text[places + 1 + depth]
+        return wide(text[places], 40) | wide(rank[places + 1], 8) | text[places + 1 + depth]
 
     def by_two(places: np.ndarray) -> np.ndarray:
-        return text[places] << 48 | text[places + 1] << 40 | rank[places + 2]
+        return wide(text[places], 48) | wide(text[places + 1], 40) | rank[places + 2]
 
     own = at[in_sample]
-    _, out[in_sample] = np.unique(rank[own] << 16 | text[own + depth] << 8 | text[own + depth + 1], return_inverse=True)
+    _, out[in_sample] = np.unique(
+        wide(rank[own], 16) | wide(text[own + depth], 8) | text[own + depth + 1], return_inverse=True
+    )
     if not len(no_sample):
         return out
     _, leads, back = np.unique(by_one(at[no_sample]), return_index=True, return_inverse=True)
@@ -300,32 +305,45 @@ def deal_strings(block: int, texts: list[bytes], docs: np.ndarray, places: np.nd
     heads = np.flatnonzero(first)
     counts = np.diff(np.append(heads, len(at)))
     bucket = (least[heads] % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    piece = (least[heads] // np.uint64(buckets) % np.uint64(SLICES)).astype(np.int64)
+    order = np.lexsort((piece, bucket))
     for some in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-        runs = np.concatenate([docs[heads[some]], places[heads[some]], counts[some]]).astype(np.uint64)
+        runs = np.concatenate([docs[heads[some]], places[heads[some]], counts[some], piece[some]]).astype(np.uint64)
         strings = b"".join(data[a:a + n + length - 1] for a, n in zip(at[heads[some]].tolist(), counts[some].tolist()))
         yield (int(bucket[some[0]]), block, strings, packed(runs, 4), b"", b"", b"")
 
 
 def sort_strings(rows: list[dict], length: int) -> Iterator[tuple]:
-    """Answer each block with the places of strings whose bytes occur more than once, as rows of PLACES."""
+    """Answer each block with the places of strings whose bytes occur more than once, as rows of PLACES.
+
+    The stretches of a bucket are sorted slice by slice; equal strings are in one slice.
+    """
     for row in rows:
         if not len(row["runs"]):
             yield row["block"], row["docs"], row["counts"], row["steps"]
     rows = [r for r in rows if len(r["runs"])]
-    if not rows:
-        return
-    runs = [unpacked(r["runs"], 4).astype(np.int64).reshape(3, -1) for r in rows]
-    docs, places, counts = np.concatenate(runs, axis=1)
-    row = np.repeat(np.repeat(np.arange(len(rows)), [r.shape[1] for r in runs]), counts)
-    within = _within(counts)
-    starts = np.cumsum(counts + length - 1) - (counts + length - 1)
-    found, _ = repeated(numbers_of(b"".join(r["strings"] for r in rows), np.repeat(starts, counts) + within, length))
-    docs, places = np.repeat(docs, counts), np.repeat(places, counts) + within
-    for i in np.unique(row[found]).tolist():
-        mine = np.flatnonzero(found & (row == i))
-        mine = mine[np.lexsort((places[mine], docs[mine]))]
-        yield (rows[i]["block"], *pack_places(docs[mine], places[mine]))
+    runs = [unpacked(r["runs"], 4).astype(np.int64).reshape(4, -1) for r in rows]
+    ends = [np.cumsum(counts + length - 1) for _, _, counts, _ in runs]
+    for piece in range(SLICES):
+        # A row has its stretches in the order of slices.
+        cuts = [np.searchsorted(r[3], [piece, piece + 1]) for r in runs]
+        some = [i for i, (low, high) in enumerate(cuts) if high > low]
+        if not some:
+            continue
+        docs, places, counts, _ = np.concatenate([runs[i][:, cuts[i][0]:cuts[i][1]] for i in some], axis=1)
+        data = b"".join(
+            rows[i]["strings"][int(ends[i][low - 1]) if low else 0:int(ends[i][high - 1])]
+            for i, (low, high) in ((i, cuts[i]) for i in some)
+        )
+        row = np.repeat(np.repeat(some, [cuts[i][1] - cuts[i][0] for i in some]), counts)
+        within = _within(counts)
+        starts = np.cumsum(counts + length - 1) - (counts + length - 1)
+        found, _ = repeated(numbers_of(data, np.repeat(starts, counts) + within, length))
+        row, docs, places = row[found], np.repeat(docs, counts)[found], (np.repeat(places, counts) + within)[found]
+        for i in np.unique(row).tolist():
+            mine = np.flatnonzero(row == i)
+            mine = mine[np.lexsort((places[mine], docs[mine]))]
+            yield (rows[i]["block"], *pack_places(docs[mine], places[mine]))
 
 
 def covered(starts: np.ndarray, length: int) -> np.ndarray:
@@ -450,6 +468,7 @@ class SuffixDedup:
                     places.append(starts)
                 block = left.column("block")[0].as_py()
                 rows = list(deal_strings(block, texts, np.concatenate(docs), np.concatenate(places), buckets, length))
+                give_back_memory()
             return pa.Table.from_batches([to_batch(rows, fields)])
 
         return texts.groupBy("block").cogroup(candidates.groupBy("block")).applyInArrow(cut, STRINGS)
@@ -459,7 +478,9 @@ class SuffixDedup:
         length, fields = self.length, self._fields(PLACES)
 
         def sort(table: pa.Table) -> pa.Table:
-            return pa.Table.from_batches([to_batch(list(sort_strings(table.to_pylist(), length)), fields)])
+            rows = to_batch(list(sort_strings(table.to_pylist(), length)), fields)
+            give_back_memory()
+            return pa.Table.from_batches([rows])
 
         return strings.groupBy("bucket").applyInArrow(sort, PLACES)
 

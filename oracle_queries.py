@@ -353,6 +353,13 @@ BODIES = {
     "stream_rejects": """SELECT CASE WHEN kind = 'error code is missing' THEN 'half' END AS job_id, kind AS reasons
         FROM odd_lines WHERE kind <> ''""",
     "listing_stream_rejects": """SELECT key, size, 'key: fewer than 4 parts' AS reasons FROM cut WHERE len(p) < 4""",
+    "live_listing": """SELECT source AS name, lang AS language, CASE WHEN doc_id % 5 = 0 THEN '_hidden' ELSE 'text' END
+        AS data_type, CASE WHEN doc_id % 7 = 0 THEN '.' ELSE '' END || md5(CAST(doc_id AS VARCHAR)) AS md5,
+        CAST(CASE WHEN doc_id % 11 = 0 THEN 0 ELSE doc_id % 100 END AS BIGINT) AS byte_size FROM documents
+        WHERE length(CASE WHEN doc_id % 7 = 0 THEN '.' ELSE '' END || md5(CAST(doc_id AS VARCHAR))) <= 32""",
+    "load_report": f"""SELECT count(*) AS listed, count(parsed.key) AS parsed, count(*) - count(parsed.key) AS rejected,
+        (SELECT count(DISTINCT md5) FROM parsed WHERE md5 NOT IN (SELECT md5 FROM known)) AS inserted
+        {_LISTED} LEFT JOIN (SELECT DISTINCT key FROM parsed) parsed ON parsed.key = listing.key""",
     "listing_stream": "SELECT DISTINCT md5 FROM parsed",
 }
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from shardlens.durable import store
 from shardlens.functions.keys import is_valid_key, key_fields, key_part, load_prefix, object_key
 from shardlens.operators.constraints import broken_rules, check_constraints, keeps_rules
-from shardlens.operators.keyed import first_per_key, insert_ignore, upsert
+from shardlens.operators.keyed import first_per_key, insert_ignore, rows_to_insert, upsert
 from shardlens.operators.lookup import lookup_join
 from shardlens.schemas import RECORD_LANGUAGE
 
@@ -79,13 +81,13 @@ def catalog_rows(listing: DataFrame, as_of: Column) -> DataFrame:
 
 def load_rejects(listing: DataFrame) -> DataFrame:
     """Objects a load cannot take, with `reasons`: bad keys, and rows that break a table rule."""
-    few = F.when(~is_valid_key("key"), F.array(F.lit("key: fewer than 4 parts")))
-    return (
-        listing.select("*", *key_fields("key"))
-        .withColumn("reasons", F.coalesce(few, broken_rules("datasets")))
-        .where(F.size("reasons") > 0)
-        .select(*listing.columns, "reasons")
-    )
+    return _with_reasons(listing).where(F.size("reasons") > 0).select(*listing.columns, "reasons")
+
+
+def _with_reasons(listing: DataFrame) -> DataFrame:
+    """Key fields of listed objects, and the `reasons` why a load cannot take them (none: it can)."""
+    few = F.when(~F.coalesce(is_valid_key("key"), F.lit(False)), F.array(F.lit("key: fewer than 4 parts")))
+    return listing.select("*", *key_fields("key")).withColumn("reasons", F.coalesce(few, broken_rules("datasets")))
 
 
 def record_rows(records: DataFrame, as_of: Column) -> DataFrame:
@@ -147,6 +149,41 @@ def load_dataset(
     return add_to_catalog(catalog, rows), load_rejects(listed)
 
 
+@dataclass(frozen=True)
+class Load:
+    """A load's catalogue, what it could not take, and its counts: listed, parsed, rejected, inserted."""
+
+    catalog: DataFrame
+    rejects: DataFrame
+    report: dict[str, int]
+
+
+def reported_load(
+    listing: DataFrame, catalog: DataFrame, loads: DataFrame, as_of: Column, resume: bool = False
+) -> Load:
+    """`load_dataset` with the counts of the load itself.
+
+    The listing is read once: its part is stored with its key's fields and reasons, from which come both
+    rows and rejects, and what is written is counted as it is written.
+    """
+    wanted = loads.select("name", "data_type")
+    if resume:
+        after = last_key(catalog).withColumnRenamed("last_key", "start_after")
+        wanted = wanted.join(after, ["name", "data_type"], "left")
+    listed = list_loads(listing, store(wanted, "loads")).select(*listing.columns)
+    seen, new = Observation(), Observation()
+    judged = _with_reasons(listed).observe(
+        seen, F.count("*").alias("listed"), F.count_if(is_valid_key("key")).alias("parsed"),
+        F.count_if(F.size("reasons") > 0).alias("rejected"),
+    )
+    judged = store(judged.select(*listing.columns, "reasons"), "judged")
+    rows = catalog_rows(judged.where(F.size("reasons") == 0), as_of)
+    added = rows_to_insert(catalog, rows, ["md5"], [F.col("key")]).select(*catalog.columns)
+    added = store(added.observe(new, F.count("*").alias("inserted")), "added")
+    rejects = judged.where(F.size("reasons") > 0)
+    return Load(catalog.unionByName(added), rejects, {**seen.get, **new.get})
+
+
 def dataset_stats(catalog: DataFrame, as_of: Column) -> DataFrame:
     """Shards per language, data type and dataset."""
     return catalog.groupBy(*STATS_KEYS).agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shardlens.durable import store
-from shardlens.operators.lookup import known_keys, lookup_join
+from shardlens.operators.lookup import known_keys, lookup_join, without_keys
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -37,7 +37,7 @@ def insert_ignore(target: DataFrame, new: DataFrame, keys: list[str], order: lis
 
 def upsert(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """`new` replaces rows of `target` with the same key; other rows of `target` stay."""
-    kept = target.join(new.select(*keys), keys, "left_anti")
+    kept = without_keys(target, new.select(*keys))
     return kept.select(*target.columns).unionByName(new.select(*target.columns))
 
 

@@ -21,6 +21,8 @@ HOT = 4
 # Keys that a sketch tracks, those that are read from it, and sketches that are merged at first.
 TRACKED, READ, SKETCHES = 4096, 1024, 64
 _ROW_OVERHEAD = 64
+# Bits of a filter for each key, its bits at most, those of a bucket as Spark builds them, and of a range as it is sent.
+BITS_A_KEY, MOST_BITS, BUCKET_BITS, RANGE_BITS = 16, 1 << 27, 1 << 15, 1 << 9
 _SALT, _KEY = "_salt", "_key_hash"
 
 
@@ -30,16 +32,56 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(row.cast("bigint")).alias("bytes")).first()["bytes"] or 0
 
 
+def with_possible(rows: DataFrame, keys: DataFrame, bits: int | None = None) -> DataFrame:
+    """`rows` with `_may`: whether `keys` may hold their key. False is certain; true is right but for a few.
+
+    A Bloom filter with one hash: tasks set the bits of their keys, range by range of hashes, and a broadcast of
+    the ranges (16 MB of bits at most, whatever the number of keys) meets the rows where they are.
+    """
+    if bits is None:
+        bits = min(MOST_BITS, BITS_A_KEY * keys.count() + 1)
+    place = F.pmod(F.xxhash64(*keys.columns), F.lit(bits))
+    # Buckets of 32,768 bits, of which only ranges that hold a key are sent.
+    marked = keys.select((place + 1).alias("_at")).groupBy(F.expr("bitmap_bucket_number(_at) - 1").alias("_bucket")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(_at))").alias("_bits")
+    )
+    each = BUCKET_BITS // RANGE_BITS
+    ranges = marked.select("_bucket", "_bits", F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("_nth")).select(
+        (F.col("_bucket") * each + F.col("_nth")).alias("_range"),
+        F.expr(f"substring(_bits, _nth * {RANGE_BITS // 8} + 1, {RANGE_BITS // 8})").alias("_bits"),
+    ).where(F.bit_length(F.expr("trim(TRAILING X'00' FROM _bits)")) > 0)
+    placed = rows.withColumn("_place", place).withColumn("_range", F.expr(f"_place div {RANGE_BITS}"))
+    octet = F.conv(F.hex(F.expr(f"substring(_bits, cast(_place % {RANGE_BITS} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return (
+        placed.join(F.broadcast(ranges), "_range", "left")
+        .withColumn("_may", F.coalesce(F.getbit(octet, (F.col("_place") % 8).cast("int")) == 1, F.lit(False)))
+        .drop("_range", "_place", "_bits")
+    )
+
+
+def without_keys(table: DataFrame, keys: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows of `table` whose key `keys` (its columns) does not hold. Only possible hits of a large update are shuffled.
+
+    Evaluates `keys` more than once, so hand in a stored frame.
+    """
+    if measured_bytes(keys) <= broadcast_bytes:
+        return table.join(F.broadcast(keys), keys.columns, "left_anti").select(*table.columns)
+    marked = with_possible(table, keys)
+    hits = marked.where("_may").join(keys, keys.columns, "left_anti")
+    return marked.where("NOT _may").select(*table.columns).unionByName(hits.select(*table.columns))
+
+
 def known_keys(keys: DataFrame, table: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Those rows of `keys` that occur in `table` (which has the same columns and more).
 
     A few keys are broadcast to the table, which then is scanned but not
-    shuffled. Evaluates `keys` twice, so hand in a stored frame.
+    shuffled; of many, a filter is, and only rows that pass it are shuffled. Evaluates `keys` twice, so hand in a stored frame.
     """
     candidates = table.select(*keys.columns)
     if measured_bytes(keys) <= broadcast_bytes:
         return candidates.join(F.broadcast(keys), keys.columns, "left_semi").distinct()
-    return keys.join(candidates, keys.columns, "left_semi")
+    hits = with_possible(candidates, keys).where("_may")
+    return keys.join(hits, keys.columns, "left_semi")
 
 
 def hot_keys(rows: DataFrame, on: list[str], salts: int = MOST_SALTS) -> list[tuple[int, int]]:

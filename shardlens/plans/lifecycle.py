@@ -19,12 +19,16 @@ def refresh_catalog(
 ) -> tuple[DataFrame, DataFrame]:
     """Load all `loads` and renew the statistics. Writes new snapshots below `out`.
 
-    Objects that could not be taken are written to `load_rejects`, with reasons.
+    Objects that could not be taken are written to `load_rejects`, with reasons, and
+    the counts of the load to `load_report`, in one row.
     """
     spark = listing.sparkSession
-    after, rejects = ingest.load_dataset(listing, catalog, loads, as_of, resume)
+    load = ingest.reported_load(listing, catalog, loads, as_of, resume)
+    after = load.catalog
     write_table(after, f"{out}/datasets", "datasets")
-    write_table(rejects, f"{out}/load_rejects", "load_rejects")
+    write_table(load.rejects, f"{out}/load_rejects", "load_rejects")
+    counts = ", ".join(f"{name} bigint" for name in load.report)
+    write_table(spark.createDataFrame([tuple(load.report.values())], counts), f"{out}/load_report", "load_report")
     loaded = read_table(spark, f"{out}/datasets", after.schema)
     write_table(ingest.update_stats(stats, loaded, as_of), f"{out}/dataset_stats", "dataset_stats")
     return loaded, read_table(spark, f"{out}/dataset_stats", stats.schema)

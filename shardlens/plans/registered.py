@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +16,7 @@ from shardlens.functions.outcomes import outcome
 from shardlens.functions.wire import to_wire
 from shardlens.operators import constraints, ingest, keyed, publish, registry, results, status
 from shardlens.operators.classify import Classifier, big_shards, classify
+from shardlens.plans import lifecycle
 from shardlens.sources import listing, records, requests as request_source, tables
 from shardlens.sources.callbacks import check_messages, decode_callbacks as decode, read_callbacks as read
 from shardlens.streaming import callbacks as streaming, listing as listing_streaming
@@ -74,7 +76,12 @@ def listing_scan(inputs: Inputs) -> DataFrame:
     """A folder of objects on disk: one a document, some empty, some with hidden names."""
     shared = durable_folder(inputs.spark).removeprefix("file:")
     root = f"{shared}/runs/objects-{uuid.uuid4().hex}"
-    objects = inputs.documents().select(
+    write_objects(stored_objects(inputs), root)
+    return listing.scan_listing(inputs.spark, root)
+
+
+def stored_objects(inputs: Inputs) -> DataFrame:
+    return inputs.documents().select(
         F.concat_ws(
             "/", "source", F.when(F.col("doc_id") % 5 == 0, "_hidden").otherwise("text"), "lang",
             F.concat(F.when(F.col("doc_id") % 7 == 0, ".").otherwise(""), F.md5(F.col("doc_id").cast("string"))),
@@ -82,6 +89,8 @@ def listing_scan(inputs: Inputs) -> DataFrame:
         F.when(F.col("doc_id") % 11 == 0, 0).otherwise(F.col("doc_id") % 100).cast("int").alias("size"),
     )
 
+
+def write_objects(objects: DataFrame, root: str) -> None:
     def write(rows) -> None:
         from pathlib import Path
 
@@ -91,7 +100,6 @@ def listing_scan(inputs: Inputs) -> DataFrame:
             file.write_bytes(b"x" * row["size"])
 
     objects.foreachPartition(write)
-    return listing.scan_listing(inputs.spark, root)
 
 
 @registered
@@ -377,6 +385,16 @@ def ingest_report(inputs: Inputs) -> DataFrame:
     return ingest.ingest_report(inputs.mixed_listing(), inputs.known_catalog())
 
 
+@registered
+def load_report(inputs: Inputs) -> DataFrame:
+    """The counts that a whole load wrote beside its tables."""
+    out = new_folder(inputs, "load")
+    lifecycle.refresh_catalog(
+        inputs.mixed_listing(), inputs.known_catalog(), inputs.old_stats(), inputs.loads(), as_of(), out
+    )
+    return tables.read_table(inputs.spark, f"{out}/load_report")
+
+
 @registered
 def progress(inputs: Inputs) -> DataFrame:
     return status.progress(inputs.queries(), inputs.jobs())
@@ -599,6 +617,23 @@ def listing_stream(inputs: Inputs) -> DataFrame:
     return listing_streaming.read_streamed_catalog(inputs.spark, streamed_listing(inputs)).select("md5")
 
 
+@registered
+def live_listing(inputs: Inputs) -> DataFrame:
+    """The catalogue after objects came in two lots, with a restart of the stream between them."""
+    spark, folder = inputs.spark, new_folder(inputs, "live").removeprefix("file:")
+    objects = stored_objects(inputs)
+    prefixes = [f"{r['source']}/" for r in objects.select(F.split_part("key", F.lit("/"), F.lit(1)).alias("source")).distinct().collect()]
+    late = F.pmod(F.xxhash64("key"), F.lit(2)) == 1
+    for lot in (objects.where(~late), objects.where(late)):
+        write_objects(lot, f"{folder}/objects")
+        time.sleep(1)
+        listing_streaming.live_listing_stream(
+            spark, f"{folder}/objects", f"{folder}/catalog", f"{folder}/checkpoint", prefixes, settle=0.5
+        ).awaitTermination()
+    found = listing_streaming.read_streamed_catalog(spark, f"{folder}/catalog")
+    return found.select("name", "language", "data_type", "md5", "byte_size")
+
+
 def streamed_listing(inputs: Inputs) -> str:
     folder = new_folder(inputs, "listing")
     inputs.mixed_listing().repartition(4).write.parquet(f"{folder}/inventory")

@@ -33,7 +33,7 @@ _ROW = "folder string, after string, upto string, size bigint, kind string"
 OBJECT, RANGE = "object", "range"
 
 
-def _open(root: str) -> tuple[arrow_fs.FileSystem, str]:
+def open_store(root: str) -> tuple[arrow_fs.FileSystem, str]:
     """The store of an address and the path in it."""
     if "://" not in root or root.startswith("file:"):
         return arrow_fs.LocalFileSystem(), re.sub("^file:/*", "/", root).rstrip("/")
@@ -115,7 +115,7 @@ def scan_listing(spark: SparkSession, root: str, lister: Lister | None = None, p
     Arrow. Use `read_inventory` where the store writes inventories.
     """
     if lister is None:
-        files, top = _open(root)
+        files, top = open_store(root)
         lister = list_page(files)
     else:
         top = root.rstrip("/")

@@ -9,6 +9,7 @@ from shardlens.operators.constraints import check_constraints
 from shardlens.operators.ingest import CATALOG_COLUMNS, catalog_rows, load_rejects
 from shardlens.operators.keyed import first_per_key
 from shardlens.schemas import LISTING
+from shardlens.sources.live import SETTLE, read_live
 from shardlens.streaming.changes import fold_changes, read_changes, write_batch
 
 STORED_CATALOG = (
@@ -34,7 +35,30 @@ def listing_stream(
     batch; of a shard that several batches list, readers take the earliest.
     Objects that cannot be taken go to `<catalog_path>-rejected`, with reasons.
     """
+    listed = spark.readStream.schema(LISTING).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return _store_listed(listed, catalog_path, checkpoint, as_of, trigger)
 
+
+def live_listing_stream(
+    spark: SparkSession,
+    root: str,
+    catalog_path: str,
+    checkpoint: str,
+    prefixes: list[str] | None = None,
+    settle: float = SETTLE,
+    as_of: Column | None = None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Store the shards of objects that come or change below the folder `root`, without inventories.
+
+    See `LiveListing` for `prefixes` and `settle`; batches are stored as by `listing_stream`.
+    """
+    return _store_listed(read_live(spark, root, prefixes, settle), catalog_path, checkpoint, as_of, trigger)
+
+
+def _store_listed(
+    listing: DataFrame, catalog_path: str, checkpoint: str, as_of: Column | None, trigger: dict | None
+) -> StreamingQuery:
     def save(listed: DataFrame, batch_id: int) -> None:
         batch = listed.persist()  # read twice
         rows, _ = check_constraints(
@@ -46,9 +70,7 @@ def listing_stream(
         batch.unpersist()
 
     return (
-        spark.readStream.schema(LISTING).option("maxFilesPerTrigger", files_per_batch)
-        .parquet(path)
-        .writeStream.option("checkpointLocation", checkpoint)
+        listing.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .foreachBatch(save)
         .start()

@@ -1,0 +1,89 @@
+"""Filters in front of large joins, counts of a load by the load itself, and the live listing."""
+
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from shardlens.operators import ingest, lookup
+from shardlens.operators.keyed import upsert
+from shardlens.sources.live import read_live
+from shardlens.streaming.listing import live_listing_stream, read_streamed_catalog, rejected_listings
+from tests.test_ingest import catalog, listing, now
+
+
+@pytest.mark.parametrize("bits", [8, 1000, 40000, None])
+def test_filters_of_any_size_pass_every_key(spark, bits):
+    table = spark.range(20000).select(F.col("id").cast("string").alias("md5"), "id")
+    keys = spark.range(15000, 16000).select(F.col("id").cast("string").alias("md5"))
+    marked = lookup.with_possible(table, keys, bits)
+    assert marked.columns == ["md5", "id", "_may"] and marked.count() == 20000
+    passed = {r.id for r in marked.where("_may").collect()}
+    assert passed >= set(range(15000, 16000))
+    if bits is None:
+        assert len(passed) < 1000 + 0.1 * 19000
+
+
+@pytest.mark.parametrize("bits", [1, 8, None])
+def test_large_updates_give_the_rows_of_small_ones(spark, monkeypatch, bits):
+    old = spark.range(5000).selectExpr("if(id = 7, null, id) AS id", "'old' AS v")
+    new = spark.range(4000, 6000).selectExpr("id", "'new' AS v")
+    expected = sorted(map(str, upsert(old, new, ["id"]).collect()))
+    exact = lookup.with_possible
+    monkeypatch.setattr(lookup, "with_possible", lambda rows, keys: exact(rows, keys, bits))
+    monkeypatch.setattr(lookup.without_keys, "__defaults__", (0,))
+    monkeypatch.setattr(lookup.known_keys, "__defaults__", (0,))
+    assert sorted(map(str, upsert(old, new, ["id"]).collect())) == expected
+    known = lookup.known_keys(new.select("id"), old)
+    assert sorted(r.id for r in known.collect()) == list(range(4000, 5000))
+    empty = new.where("false")
+    assert upsert(old, empty, ["id"]).count() == 5000
+
+
+def test_a_load_counts_itself(spark):
+    old = catalog(spark, "a/text/en/known.zz")
+    rows = listing(
+        spark, "a/text/en/known.zz", "a/text/en/x.zz", "a/text/fr/x.zz", "a/text/much-too-long/y.zz", "a/text", "b/text/en/z.zz"
+    ).union(spark.createDataFrame([(None, 1)], "key string, size long"))
+    loads = spark.createDataFrame([("a", "text")], "name string, data_type string")
+    load = ingest.reported_load(rows, old, loads, now())
+    assert load.report == {"listed": 5, "parsed": 4, "rejected": 2, "inserted": 1}
+    after, rejects = ingest.load_dataset(rows, old, loads, now())
+    assert sorted(map(str, load.catalog.collect())) == sorted(map(str, after.collect()))
+    assert sorted(map(str, load.rejects.collect())) == sorted(map(str, rejects.collect()))
+    nothing = ingest.reported_load(rows.where("false"), old, loads, now())
+    assert nothing.report == {"listed": 0, "parsed": 0, "rejected": 0, "inserted": 0}
+
+
+def test_live_objects_arrive_once_wherever_they_sort(spark, tmp_path):
+    def put(*keys):
+        for key in keys:
+            file = tmp_path / "objects" / key
+            file.parent.mkdir(parents=True, exist_ok=True)
+            file.write_bytes(b"x" * len(key))
+        time.sleep(0.5)
+
+    def run():
+        live_listing_stream(
+            spark, f"{tmp_path}/objects", f"{tmp_path}/catalog", f"{tmp_path}/checkpoint",
+            ["a/", "b/text/en/0", "b/text/en/1", "absent/"], settle=0.3,
+        ).awaitTermination()
+        return sorted((r["name"], r.md5, r.byte_size, r.batch_id) for r in read_streamed_catalog(spark, f"{tmp_path}/catalog").collect())
+
+    put(*[f"a/text/en/m{i}.zz" for i in range(5)], "b/text/en/05.zz", "b/text/en/2.zz", "a/stray")
+    first = run()
+    assert [(n, m, s) for n, m, s, _ in first] == [("a", f"m{i}", 15) for i in range(5)] + [("b", "05", 15)]
+    # Smaller and larger names than those that have come; the stream is a new one with the old checkpoint.
+    put("a/text/en/a0.zz", "a/text/en/z9.zz", "b/text/en/01.zz", "b/text/en/19.zz")
+    second = run()
+    assert len(second) == 10 and set(first) < set(second)
+    assert run() == second
+    arrived = spark.read.parquet(f"{tmp_path}/catalog")
+    assert arrived.count() == 10
+    assert [r.key for r in rejected_listings(spark, f"{tmp_path}/catalog").collect()] == ["a/stray"]
+
+
+def test_overlapping_prefixes_are_refused(spark, tmp_path):
+    with pytest.raises(Exception, match="overlap"):
+        read_live(spark, str(tmp_path), ["a/", "a/b"]).writeStream.format("noop").option(
+            "checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()

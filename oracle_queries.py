@@ -262,6 +262,12 @@ BODIES = {
         count(*) - count(parsed.key) AS errors,
         (SELECT count(DISTINCT md5) FROM parsed WHERE md5 NOT IN (SELECT md5 FROM known)) AS inserted
         FROM listing LEFT JOIN (SELECT DISTINCT key FROM parsed) parsed USING (key)""",
+    "running_stats": """SELECT language, data_type, name, count(*) AS objects, CAST(0 AS BIGINT) AS records,
+        CAST(sum(byte_size) AS BIGINT) AS bytes
+        FROM (SELECT language, data_type, name, byte_size FROM known
+              UNION ALL SELECT language, data_type, name, byte_size FROM catalog
+              WHERE md5 NOT IN (SELECT md5 FROM known))
+        WHERE language <> 'de' GROUP BY language, data_type, name""",
     "progress": """SELECT query_id, count(*) AS total,
         count(*) FILTER (jobs.status = 'processed' AND matches IS NOT NULL) AS visible,
         count(*) FILTER (jobs.status = 'processed') AS processed,
@@ -272,6 +278,10 @@ BODIES = {
     "results_page": f"""SELECT query_id, nth // 5 + 1 AS page, CAST(nth % 5 AS INTEGER) AS pos, job_id, data_id,
         {_text_of('matches')} AS matches_md5
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY data_id) - 1 AS nth FROM visible)""",
+    "stable_pages": f"""SELECT query_id, nth // 5 + 1 AS page, CAST(nth % 5 AS INTEGER) AS pos, job_id, data_id,
+        {_text_of('matches')} AS matches_md5
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY minute(finished_at) % 2, data_id) - 1 AS nth
+              FROM visible)""",
     "last_key": "SELECT name, data_type, max(key) AS last_key FROM catalog GROUP BY name, data_type",
     "last_key_overall": f"""SELECT key AS last_key FROM catalog
         ORDER BY {AS_OF} - to_days(CAST(byte_size % 5 AS INTEGER)) DESC, key DESC LIMIT 1""",

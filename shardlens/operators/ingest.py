@@ -151,9 +151,10 @@ def load_dataset(
 
 @dataclass(frozen=True)
 class Load:
-    """A load's catalogue, what it could not take, and its counts: listed, parsed, rejected, inserted."""
+    """A load's catalogue, what it added to it and could not take, and its counts: listed, parsed, rejected, inserted."""
 
     catalog: DataFrame
+    added: DataFrame
     rejects: DataFrame
     report: dict[str, int]
 
@@ -181,7 +182,7 @@ def reported_load(
     added = rows_to_insert(catalog, rows, ["md5"], [F.col("key")]).select(*catalog.columns)
     added = store(added.observe(new, F.count("*").alias("inserted")), "added")
     rejects = judged.where(F.size("reasons") > 0)
-    return Load(catalog.unionByName(added), rejects, {**seen.get, **new.get})
+    return Load(catalog.unionByName(added), added, rejects, {**seen.get, **new.get})
 
 
 def dataset_stats(catalog: DataFrame, as_of: Column) -> DataFrame:

@@ -8,25 +8,28 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shardlens.durable import store
 from shardlens.operators.constraints import check_page
-from shardlens.operators import ingest, keyed, publish, registry, results
+from shardlens.operators import ingest, keyed, publish, registry, results, running_stats
 from shardlens.schemas import BATCH_SIZE, PAGE_SIZE
 from shardlens.sources.tables import read_table, write_table
 
 
 def refresh_catalog(
     listing: DataFrame, catalog: DataFrame, stats: DataFrame, loads: DataFrame,
-    as_of: Column, out: str, resume: bool = False,
+    as_of: Column, out: str, resume: bool = False, changes: tuple[str, int] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Load all `loads` and renew the statistics. Writes new snapshots below `out`.
 
     Objects that could not be taken are written to `load_rejects`, with reasons, and
-    the counts of the load to `load_report`, in one row.
+    the counts of the load to `load_report`, in one row. `changes`, a folder and this load's
+    batch number there, has the running statistics take what the load added.
     """
     spark = listing.sparkSession
     load = ingest.reported_load(listing, catalog, loads, as_of, resume)
     after = load.catalog
     write_table(after, f"{out}/datasets", "datasets")
     write_table(load.rejects, f"{out}/load_rejects", "load_rejects")
+    if changes is not None:
+        running_stats.record_changes(*changes, load.added)
     counts = ", ".join(f"{name} bigint" for name in load.report)
     write_table(spark.createDataFrame([tuple(load.report.values())], counts), f"{out}/load_report", "load_report")
     loaded = read_table(spark, f"{out}/datasets", after.schema)

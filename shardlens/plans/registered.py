@@ -14,7 +14,9 @@ from shardlens.fixtures import Inputs, as_of
 from shardlens.functions.keys import object_key
 from shardlens.functions.outcomes import outcome
 from shardlens.functions.wire import to_wire
-from shardlens.operators import constraints, ingest, keyed, publish, registry, results, status
+from shardlens.operators import (
+    constraints, ingest, keyed, publish, registry, results, running_stats as running, stable_pages as stable, status,
+)
 from shardlens.operators.classify import Classifier, big_shards, classify
 from shardlens.plans import lifecycle
 from shardlens.sources import listing, records, requests as request_source, tables
@@ -395,6 +397,25 @@ def load_report(inputs: Inputs) -> DataFrame:
     return tables.read_table(inputs.spark, f"{out}/load_report")
 
 
+@registered
+def running_stats(inputs: Inputs) -> DataFrame:
+    """Statistics after two loads, one of them played again before and after folding, and a delete."""
+    folder = new_folder(inputs, "running")
+    out, base = f"{folder}/changes", f"{folder}/base"
+    known = inputs.known_catalog()
+    added = store(
+        keyed.rows_to_insert(known, ingest.catalog_rows(inputs.listing(), as_of()), ["md5"], [F.col("key")]), "added"
+    )
+    running.record_changes(out, 0, known)
+    running.record_changes(out, 1, added)
+    running.record_changes(out, 1, added)
+    running.fold_stats(inputs.spark, out, base, 1)
+    running.record_changes(out, 1, added)
+    german = known.unionByName(added.select(*known.columns)).where(F.col("language") == "de")
+    running.record_changes(out, 2, german.where("false"), german)
+    return running.running_stats(inputs.spark, out, base, 1)
+
+
 @registered
 def progress(inputs: Inputs) -> DataFrame:
     return status.progress(inputs.queries(), inputs.jobs())
@@ -415,6 +436,15 @@ def results_page(inputs: Inputs) -> DataFrame:
     )
 
 
+@registered
+def stable_pages(inputs: Inputs) -> DataFrame:
+    """Pages after two publishes, the second of all jobs: those of the first stay where they are."""
+    out, jobs = new_folder(inputs, "pages"), store(inputs.jobs(), "jobs")
+    stable.append_pages(jobs.where(F.minute("finished_at") % 2 == 0), out, 0, PAGE)
+    stable.append_pages(jobs, out, 1, PAGE)
+    return stable.stable_pages(inputs.spark, out).select("query_id", "page", "pos", "job_id", "data_id", matches_text())
+
+
 @registered
 def last_key(inputs: Inputs) -> DataFrame:
     return ingest.last_key(inputs.catalog())

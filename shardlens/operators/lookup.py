@@ -84,6 +84,17 @@ def known_keys(keys: DataFrame, table: DataFrame, broadcast_bytes: int = BROADCA
     return keys.join(hits, keys.columns, "left_semi")
 
 
+def rows_with_keys(table: DataFrame, keys: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows of `table` whose key `keys` (its columns) holds. Of a large table only possible hits are shuffled.
+
+    Evaluates `keys` more than once, so hand in a stored frame.
+    """
+    if measured_bytes(keys) <= broadcast_bytes:
+        return table.join(F.broadcast(keys), keys.columns, "left_semi").select(*table.columns)
+    hits = with_possible(table, keys).where("_may").join(keys, keys.columns, "left_semi")
+    return hits.select(*table.columns)
+
+
 def hot_keys(rows: DataFrame, on: list[str], salts: int = MOST_SALTS) -> list[tuple[int, int]]:
     """(hash, salts) of the join keys that hold far more rows than an even task.
 

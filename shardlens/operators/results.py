@@ -2,29 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from shardlens.durable import store
 from shardlens.functions.outcomes import OUTCOME_FIELDS, is_visible, no_error, no_matches, outcome
 from shardlens.functions.wire import to_wire
 from shardlens.operators.constraints import check_page
-from shardlens.operators.lookup import known_keys, lookup_join
+from shardlens.operators.lookup import known_keys, lookup_join, rows_with_keys
 from shardlens.operators.numbering import number_rows
 from shardlens.schemas import PAGE_SIZE
 
+# Above every number of a row, so that a time's multiples leave room for it.
+_ROWS = Decimal(10) ** 19
+
 
 def arrival_order():
     """Total order of callbacks: arrival time, then content."""
     return F.struct("received_at", F.md5(F.to_json(F.struct("matches", "error"))).alias("content"))
 
 
+def moment(callbacks: DataFrame, name: str = "received_at") -> Column:
+    """Microseconds of a time, in its order; no time comes before all others."""
+    time = F.col(name)
+    if isinstance(callbacks.schema[name].dataType, TimestampNTZType):
+        # Read off the clock: a time zone would let an hour of autumn pass twice.
+        seconds = F.unix_date(F.to_date(time)) * F.lit(86400).cast("bigint") + F.hour(time) * 3600 + F.minute(time) * 60
+        micros = seconds * 1000000 + (F.date_part(F.lit("SECOND"), time) * 1000000).cast("bigint")
+    else:
+        micros = F.unix_micros(time)
+    return F.coalesce(micros, F.lit(-(1 << 63)))
+
+
+def last_rows(callbacks: DataFrame) -> DataFrame:
+    """(job_id, _at, _row, _other): the time of each job's last callbacks, and their largest and smallest `_row`.
+
+    One aggregate over ids and numbers. Time and row make one decimal, which Spark can
+    reduce in place by hash; a struct or a payload would have it sort all rows.
+    """
+    time = F.col("_at").cast("decimal(19,0)") * F.lit(_ROWS)
+    placed = callbacks.select(
+        "job_id", "_at", (time + F.col("_row")).alias("_up"), (time + (F.lit(_ROWS) - 1 - F.col("_row"))).alias("_down")
+    )
+    best = placed.groupBy("job_id").agg(F.max("_at").alias("_at"), F.max("_up").alias("_up"), F.max("_down").alias("_down"))
+    return best.select(
+        "job_id", "_at", (F.col("_up") - time).cast("bigint").alias("_row"),
+        (F.lit(_ROWS) - 1 - (F.col("_down") - time)).cast("bigint").alias("_other"),
+    )
+
+
 def last_outcomes(callbacks: DataFrame) -> DataFrame:
-    """(job_id, outcome) of each job's last callback. Works on batches and streams."""
-    return (
-        callbacks.select("job_id", outcome(F.col("received_at")).alias("outcome"), arrival_order().alias("_at"))
-        .groupBy("job_id")
-        .agg(F.max_by("outcome", "_at").alias("outcome"))
+    """(job_id, outcome) of each job's last callback: the latest, and at equal times the largest content.
+
+    The callbacks are written once, with a number for each row. Ids, times and these numbers choose the
+    last one; then only chosen rows are shuffled with their payload. Contents are compared
+    where a job has several callbacks of its last time, and nowhere else.
+    """
+    named = callbacks.where(F.col("job_id").isNotNull()).select("job_id", "matches", "error", "received_at")
+    numbered = named.select("*", moment(named).alias("_at"), F.monotonically_increasing_id().alias("_row"))
+    stored = store(numbered, "callbacks")
+    last = store(last_rows(stored), "last")
+    sole = rows_with_keys(stored, last.where("_row = _other").select("_row"))
+    found = outcome(F.col("received_at")).alias("outcome")
+    tied = lookup_join(
+        stored, last.where("_row <> _other").select("job_id", "_at"), ["job_id", "_at"], ["_row"], "left_semi"
+    )
+    chosen = tied.select("job_id", found, arrival_order().alias("_order")).groupBy("job_id").agg(
+        F.max_by("outcome", "_order").alias("outcome")
     )
+    return sole.select("job_id", found).unionByName(chosen)
 
 
 def with_outcome_columns(jobs: DataFrame, time_type) -> DataFrame:

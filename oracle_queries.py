@@ -360,6 +360,10 @@ BODIES = {
         FROM fan LEFT JOIN last_call c USING (job_id)""",
     "read_callbacks": f"""SELECT CASE WHEN kind IN ('', 'error code is missing') THEN CASE WHEN kind = '' THEN job_id ELSE 'half' END END AS job_id,
         kind AS reasons FROM odd_lines""",
+    "job_deadlines": f"""SELECT job_id, CASE WHEN c.received_at IS NULL THEN 'overdue'
+        WHEN error_code IS NOT NULL THEN 'error' ELSE 'processed' END AS status,
+        CASE WHEN fan.md5 IS NOT NULL THEN {AS_OF} + INTERVAL 7 DAY END AS deadline, c.received_at AS finished_at
+        FROM fan FULL JOIN last_call c USING (job_id)""",
     "stream_rejects": """SELECT CASE WHEN kind = 'error code is missing' THEN 'half' END AS job_id, kind AS reasons
         FROM odd_lines WHERE kind <> ''""",
     "listing_stream_rejects": """SELECT key, size, 'key: fewer than 4 parts' AS reasons FROM cut WHERE len(p) < 4""",

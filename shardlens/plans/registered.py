@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -21,7 +22,7 @@ from shardlens.operators.classify import Classifier, big_shards, classify
 from shardlens.plans import lifecycle
 from shardlens.sources import listing, records, requests as request_source, tables
 from shardlens.sources.callbacks import check_messages, decode_callbacks as decode, read_callbacks as read
-from shardlens.streaming import callbacks as streaming, listing as listing_streaming
+from shardlens.streaming import callbacks as streaming, deadlines, listing as listing_streaming
 
 # Small sizes, so that small data has several batches and pages a query, and some big shards.
 BATCH = 7
@@ -634,6 +635,21 @@ def streamed_callbacks(inputs: Inputs, lines: DataFrame) -> str:
     return f"{folder}/out"
 
 
+@registered
+def job_deadlines(inputs: Inputs) -> DataFrame:
+    """What became of each job: settled by its last callback, or overdue a week after its creation."""
+    spark, folder = inputs.spark, new_folder(inputs, "deadlines")
+    inputs.open_jobs().select("job_id", F.col("created_at").cast("timestamp")).repartition(4).write.parquet(f"{folder}/jobs")
+    inputs.callback_lines().repartition(4).write.text(f"{folder}/calls")
+    deadlines.run_until_idle(deadlines.deadline_stream(
+        spark, f"{folder}/jobs", f"{folder}/calls", f"{folder}/out", f"{folder}/checkpoint",
+        timedelta(days=7), files_per_batch=2, trigger={"processingTime": "0 seconds"},
+    ))
+    return deadlines.job_deadlines(spark, f"{folder}/out").select(
+        "job_id", "status", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("deadline", "finished_at")]
+    )
+
+
 @registered
 def stream_rejects(inputs: Inputs) -> DataFrame:
     """Messages that the stream set aside, with the reasons."""

@@ -294,6 +294,10 @@ BODIES = {
     # Keyed writes
     "catalog_insert_ignore": f"""SELECT {_ROW}, {EARLIER} AS created_at FROM known
         UNION ALL SELECT {_ROW}, {AS_OF} FROM catalog WHERE md5 NOT IN (SELECT md5 FROM known)""",
+    "clustered_writes": f"""SELECT * REPLACE (CAST(CASE WHEN language = 'fr' THEN 1 ELSE 0 END AS INTEGER) AS num_of_records)
+        FROM (SELECT {_ROW}, {EARLIER} AS created_at FROM known
+              UNION ALL SELECT {_ROW}, {AS_OF} FROM catalog WHERE md5 NOT IN (SELECT md5 FROM known))
+        WHERE language <> 'es' AND byte_size % 10 <> 0""",
     "stats_upsert": f"""SELECT language, data_type, name, count(*) AS total_objects, {AS_OF} AS created_at
         FROM catalog GROUP BY language, data_type, name
         UNION ALL SELECT language, data_type, name, total_objects, {EARLIER} FROM old_stats o

@@ -20,7 +20,7 @@ from shardlens.operators import (
 )
 from shardlens.operators.classify import Classifier, big_shards, classify
 from shardlens.plans import lifecycle
-from shardlens.sources import listing, records, requests as request_source, tables
+from shardlens.sources import clustered, listing, records, requests as request_source, tables
 from shardlens.sources.callbacks import check_messages, decode_callbacks as decode, read_callbacks as read
 from shardlens.streaming import callbacks as streaming, deadlines, listing as listing_streaming
 
@@ -472,6 +472,18 @@ def catalog_insert_ignore(inputs: Inputs) -> DataFrame:
     )
 
 
+@registered
+def clustered_writes(inputs: Inputs) -> DataFrame:
+    """The catalogue in clusters, after an insert-ignore, an upsert and two deletes."""
+    spark, order = inputs.spark, [F.col("name")]
+    table = clustered.create_clustered(inputs.known_catalog(), new_folder(inputs, "clustered"), ["md5"], 16, order)
+    table = table.insert(inputs.catalog(), order)
+    table = table.upsert(table.read().where("language = 'fr'").withColumn("num_of_records", F.lit(1)), order)
+    table = table.delete(spark.createDataFrame([("es", "text")], "language string, data_type string"))
+    table = table.delete(table.read().where("byte_size % 10 = 0").select("md5"))
+    return table.read()
+
+
 @registered
 def stats_upsert(inputs: Inputs) -> DataFrame:
     return ingest.update_stats(inputs.old_stats(), inputs.catalog(), as_of())

@@ -15,7 +15,7 @@ from shardlens.sources.callbacks import check_messages, stream_callbacks
 from shardlens.streaming.changes import fold_changes, read_changes, write_batch
 
 OVERDUE = "overdue"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PROVIDER, _PARTITIONS = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _JOBS = "job_id string, created_at timestamp"
 # A row is a job with its deadline, or a callback with its time and status (times in milliseconds and microseconds).
@@ -77,7 +77,7 @@ def _last_of_batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def deadline_stream(
     spark: SparkSession, jobs_path: str, callbacks_path: str, out: str, checkpoint: str,
     wait: timedelta, keep: timedelta = timedelta(days=30), files_per_batch: int = 1000,
-    trigger: dict | None = None,
+    trigger: dict | None = None, partitions: int | None = None,
 ) -> StreamingQuery:
     """Watch jobs (parquet files with job_id and created_at) and callbacks, and store what becomes of each job.
 
@@ -87,7 +87,8 @@ def deadline_stream(
     and messages that are no valid callbacks are left to the checks of their own feeds.
     State is in RocksDB, without payloads, and forgotten `keep` after a job's last change.
     Deadlines go by the clock of the cluster. `trigger` are arguments of the stream's trigger; by
-    default it runs on, as deadlines pass without any arrival, too.
+    default it runs on, as deadlines pass without any arrival, too. State is cut into `partitions`, by default
+    one for each core; the first start of a checkpoint fixes their number.
     """
     if keep <= wait:
         raise ValueError("state must be kept for longer than a job may wait")
@@ -111,16 +112,20 @@ def deadline_stream(
             write_batch(changed, out, batch_id)
         changed.unpersist()
 
-    old = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)  # the stream takes the settings of its start
+    # The stream takes the settings of its start; the session gets its own back.
+    wanted = {_PROVIDER: _ROCKSDB, _PARTITIONS: str(partitions or spark.sparkContext.defaultParallelism)}
+    old = {name: spark.conf.get(name, None) for name in wanted}
     try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
         return (
             changes.writeStream.option("checkpointLocation", checkpoint).outputMode("update")
             .trigger(**(trigger or {"processingTime": "1 minute"}))
             .foreachBatch(save).start()
         )
     finally:
-        spark.conf.unset(_PROVIDER) if old is None else spark.conf.set(_PROVIDER, old)
+        for name, value in old.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def run_until_idle(query: StreamingQuery, batches: int = 2) -> None:

@@ -16,12 +16,11 @@ def run(spark, tmp_path):
         deadlines.run_until_idle(deadlines.deadline_stream(
             spark, f"{tmp_path}/jobs", f"{tmp_path}/calls", f"{tmp_path}/out", f"{tmp_path}/checkpoint",
             timedelta(days=1), keep=timedelta(days=5), files_per_batch=1, trigger={"processingTime": "0 seconds"},
+            partitions=2,
         ))
         return {r.job_id: (r.status, r.deadline, r.finished_at) for r in deadlines.job_deadlines(spark, f"{tmp_path}/out").collect()}
 
-    spark.conf.set("spark.sql.shuffle.partitions", "2")  # fixed for the stream by its first start
-    yield start
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    return start
 
 
 def add_jobs(spark, tmp_path, *rows):
@@ -54,6 +53,7 @@ def test_overdue_jobs_are_set_aside_and_late_callbacks_settle_them(spark, tmp_pa
     }
     out = f"{tmp_path}/out"
     assert [r.job_id for r in deadlines.overdue_jobs(spark, out).collect()] == ["silent"]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) is None or "RocksDB" not in spark.conf.get(
         "spark.sql.streaming.stateStore.providerClass")
     last = spark.read.option("basePath", out).parquet(out).agg(F.max("batch_id")).first()[0]

@@ -17,10 +17,11 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs as arrow_fs
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
 from shardlens.durable import durable_folder, store
-from shardlens.llm.common import arrow_schema, back_to_doc_id, columns_of, kept_in_worker, map_rows, rows_of, shuffle_width, texts, to_batch
+from shardlens.llm.common import arrow_schema, back_to_doc_id, columns_of, kept_in_worker, map_rows, shuffle_width, texts, to_batch
 
 # Fixed values of the zstandard seekable format.
 SKIPPABLE = 0x184D2A5E
@@ -39,7 +40,13 @@ HAS_CHECKSUMS = 0x80
 
 END_ID = 2
 FRAME_BYTES = 1 << 18
-CACHED_WORDS = 1 << 19
+# Words of the memory in use; the one before it is kept beside it.
+CACHED_WORDS = 1 << 18
+# Bytes of text, about, whose words are looked up together; words of letters that go to the tokenizer in one text.
+CHUNK_BYTES = 2 << 20
+WORDS_A_TEXT = 256
+# Letters that stay one letter when lowered, İ left out, before ASCII symbols.
+LETTERS_AND_SYMBOLS = re.compile(r"([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\[-`{-~]+)")
 LEVEL = 3
 # Fixed value: how the vocabulary marks the last piece of a word.
 WORD_END = "</w>"
@@ -51,8 +58,9 @@ DOCUMENT = "_id bigint, row int, n_tokens bigint, ids binary"
 class WordEncoder:
     """Ids of texts by a tokenizer that lowers case and never joins what ASCII blanks part.
 
-    Words (between blanks, A-Z lowered) are encoded once and remembered, up to a
-    bound. A word of ASCII letters before one mark is two pieces to the tokenizer, and to the memory.
+    Texts are encoded many at a time: Arrow parts them at blanks, A-Z lowered, and each different word is
+    looked up once. Words are remembered, up to a bound; those seen last stay longest. A
+    word of Latin letters before ASCII symbols is two pieces to the tokenizer, and to the memory.
     """
 
     def __init__(self, path: str, end_id: int = END_ID, cached_words: int = CACHED_WORDS):
@@ -68,42 +76,76 @@ class WordEncoder:
         # Which ids are the last of a word.
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cached_words = cached_words
 
     def encode(self, text: str) -> bytes:
-        if self.between is None or not self.between.search(text):
-            return self._plain(text) + self.end
-        parts = self.between.split(text)
-        return b"".join(self.special[p] if p in self.special else self._plain(p) for p in parts) + self.end
-
-    def _plain(self, text: str) -> bytes:
-        words = text.encode().lower().split()
-        known = self.known
-        if len(known) > self.cached_words:
-            known.clear()
-        new = {w for w in set(words) if w not in known}
-        if new:
-            marked = [w for w in new if w[-1:] in b".,!?;:" and w[:-1].isalpha()]
-            self._learn(new.difference(marked).union(w[:-1] for w in marked).union(w[-1:] for w in marked))
-            for word in marked:
-                known[word] = known[word[:-1]] + known[word[-1:]]
-        return b"".join(map(known.__getitem__, words))
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Words of letters alone go to the tokenizer in one text, whose ids are parted at ends of words."""
-        new = [w for w in words if w not in self.known]
-        letters = [w for w in new if w.decode().isalpha()]
-        ids = self._ids([b" ".join(letters).decode()])[0] if letters else np.zeros(0, "<u4")
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) == len(letters):
-            data, start = ids.tobytes(), 0
-            for word, end in zip(letters, (4 * ends).tolist()):
-                self.known[word] = data[start:end]
-                start = end
-            new = [w for w in new if w not in self.known]
-        for word, own in zip(new, self._ids([w.decode() for w in new])):
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        found = self._plain(texts)
+        for row in self._with_special(texts):
+            parts = self.between.split(texts[row].as_py())
+            own = self._plain(pa.array(parts, texts.type))
+            found[row] = b"".join(self.special.get(p, ids) for p, ids in zip(parts, own))
+        return [ids + self.end for ids in found]
+
+    def _with_special(self, texts: pa.Array) -> list[int]:
+        rows: set[int] = set()
+        for content in self.special:
+            rows.update(np.flatnonzero(pc.match_substring(texts, content).to_numpy(zero_copy_only=False)).tolist())
+        return sorted(rows)
+
+    def _plain(self, texts: pa.Array) -> list[bytes]:
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        each = words.flatten().dictionary_encode()
+        known = pa.array(self._looked_up(each.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        # The ids of all words one after the other, and where each text's end.
+        ids = known.take(each.indices)
+        if not len(ids):
+            return [b""] * len(texts)
+        offsets, data = np.frombuffer(ids.buffers()[1], np.int64), memoryview(ids.buffers()[2] or b"")
+        stops = offsets[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        return [data[start:stop].tobytes() for start, stop in zip(stops, stops[1:])]
+
+    def _looked_up(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, words))
+        missing = [w for w, ids in zip(words, found) if ids is None]
+        self._learn(self._unknown(missing))
+        ids_of_missing = map(self.known.__getitem__, missing)
+        found = [next(ids_of_missing) if ids is None else ids for ids in found]
+        if len(self.known) > self.cached_words:
+            self.known, self.older = {}, self.known
+        return found
+
+    def _unknown(self, words: list[str]) -> list[str]:
+        """Those that are not in the older memory either; what it holds is taken over."""
+        ids = list(map(self.older.get, words))
+        self.known.update((w, own) for w, own in zip(words, ids) if own is not None)
+        return [w for w, own in zip(words, ids) if own is None]
+
+    def _learn(self, words: list[str]) -> None:
+        """Words of letters alone go to the tokenizer many in one text, whose ids are parted at ends of words."""
+        halves = {w: found.groups() for w in words if not w.isalpha() and (found := LETTERS_AND_SYMBOLS.fullmatch(w))}
+        pieces = dict.fromkeys(w for w in words if w not in halves)
+        both = {half for pair in halves.values() for half in pair}
+        pieces.update(dict.fromkeys(self._unknown([half for half in both if half not in self.known])))
+        letters = [w for w in pieces if w.isalpha()]
+        for low in range(0, len(letters), WORDS_A_TEXT):
+            group = letters[low:low + WORDS_A_TEXT]
+            ids = self._ids([" ".join(group)])[0]
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(group):
+                data, start = ids.tobytes(), 0
+                for word, end in zip(group, (4 * ends).tolist()):
+                    self.known[word] = data[start:end]
+                    start = end
+        alone = [w for w in pieces if w not in self.known]
+        for word, own in zip(alone, self._ids(alone)):
             self.known[word] = own.tobytes()
+        for word, (stem, symbols) in halves.items():
+            self.known[word] = self.known[stem] + self.known[symbols]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -199,6 +241,15 @@ def open_folder(path: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
+def chunks_of(batch: pa.RecordBatch, name: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about `size` bytes of texts each, and one row at least."""
+    held = np.cumsum(pc.binary_length(batch.column(name)).to_numpy(zero_copy_only=False), dtype=np.int64) // size
+    cuts = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), batch.num_rows]
+    for low, high in zip(cuts, cuts[1:]):
+        if high > low:
+            yield batch.slice(low, high - low)
+
+
 def write_documents(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID) -> DataFrame:
     """Encode `docs`, write one file a range of doc_id to `folder`, return the manifest.
 
@@ -216,12 +267,13 @@ def write_documents(docs: DataFrame, tokenizer_path: str, folder: str, end_id: i
         final, draft = f"{root}/part-{part:06d}.ids", f"{root}/.draft-{part:06d}-{uuid.uuid4().hex}"
         out = writer = None
         for batch in batches:
-            for doc_id, text in rows_of(batch, "_id", "text"):
+            for rows in chunks_of(batch, "text"):
                 if writer is None:
                     files.create_dir(root, recursive=True)
                     out = files.open_output_stream(draft)
                     writer = FrameWriter(out)
-                writer.add(doc_id, encoder.encode(text))
+                for doc_id, ids in zip(*columns_of(rows, "_id"), encoder.encode_all(rows.column("text"))):
+                    writer.add(doc_id, ids)
         if writer is not None:
             writer.close()
             out.close()

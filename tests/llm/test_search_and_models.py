@@ -316,3 +316,34 @@ def test_ids_of_special_strings_are_the_librarys():
     for text in texts:
         ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids, text
+
+
+class Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_words_go_to_the_tokenizer_together_and_used_ones_stay():
+    """Words before any symbols are split, words of many texts share one, and a full memory keeps what was used last."""
+    tokenizer, encoder = Tokenizer.from_file(registered.WORD_BPE), token_files.WordEncoder(registered.WORD_BPE, cached_words=50)
+    counted = encoder.tokenizer = Counted(encoder.tokenizer)
+
+    def agree(texts):
+        got = [np.frombuffer(encoder.encode(t), "<u4").tolist() for t in texts]
+        assert got == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+    stems = [a + b for a in ("süß", "thing", "é", "or") for b in ("ab", "cd", "ef", "gh", "kl")]
+    agree([" ".join(s + m for s in stems for m in ("###", "&&&", "!!", ".***"))])
+    assert counted.texts < 10  # 80 words, of which each went alone
+    agree(["often " + " ".join(stems[:10])])
+    counted.texts = 0
+    agree(["often " + " ".join(stems[:10])] * 3)
+    assert counted.texts == 0
+    # Letters that are more than a letter when lowered, contractions, marks inside, blanks beyond ASCII, no words.
+    agree(["İ!! xİ, don't 's 'll's re's, süß's a''s o'ıve", "é!! x́, a b　c. \x1c\x85", "", " \t\n", "x'", "ŉ! ½. 12a!! \U0001F600,"])

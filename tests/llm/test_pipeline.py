@@ -1,12 +1,15 @@
 """The pipeline's stages against the same steps in plain Python."""
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
 import corpus_pipeline
 from shardlens.llm import bpe, registered
+from shardlens.llm.common import BATCH_ROWS, in_small_batches
 from tests.llm import brute
+from tests.llm.conftest import rows_of
 
 
 def stages(spark, docs, folder, tmp_path):
@@ -70,3 +73,33 @@ def test_stages_take_any_rows(spark, request, tmp_path, table, monkeypatch):
         assert found[4].count() == found[3].count() > 0
     else:
         assert found[4].count() == 0
+
+
+def largest_batch(docs):
+    """Rows of the largest batch that Python gets."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return docs.mapInArrow(sizes, "n bigint").groupBy().max("n").first()[0]
+
+
+def test_small_batches_last_beyond_the_call(spark, awkward):
+    """Stages return results that run later; Python gets few texts at a time then, and the session keeps its settings."""
+    texts = spark.range(3000).selectExpr("id doc_id", "concat('word number ', id) text").coalesce(1)
+    spark.conf.set("fs.key.of.a.store", "secret")
+    before = spark.conf.getAll
+    few = in_small_batches(texts)
+    assert largest_batch(few) == 512 < largest_batch(texts) == 3000
+    assert few.schema == texts.schema and rows_of(few, "*") == rows_of(texts, "*")
+    assert rows_of(in_small_batches(awkward), "*") == rows_of(awkward, "*")
+    kept = [k for k in ("spark.sql.shuffle.partitions", "fs.key.of.a.store") if few.sparkSession.conf.get(k) == before[k]]
+    assert len(kept) == 2 and spark.conf.getAll == before
+    spark.conf.unset("fs.key.of.a.store")
+    assert largest_batch(in_small_batches(few, 100)) == 100 and largest_batch(in_small_batches(few)) == 512
+
+
+@pytest.mark.parametrize("number", [0, 4])
+def test_stages_of_whole_texts_take_small_batches(spark, small, number):
+    _, stage = corpus_pipeline.STAGES[number]
+    assert int(stage(spark, small, "").sparkSession.conf.get(BATCH_ROWS)) <= 512

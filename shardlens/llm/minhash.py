@@ -136,7 +136,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent
     pairs = pairs.select("a", "b")
     few = 16 * pairs.count() <= BROADCAST_BYTES
     left = texts(docs).select(F.col("_id").alias("a"), F.col("text").alias("_left"))
-    right = _of_ids(texts(docs), pairs.select(F.col("b").alias("_id")).distinct(), few)
+    ids = pairs.select(F.col("b").alias("_id"))
+    right = _of_ids(texts(docs), ids if few else ids.distinct(), few)
     right = right.select(F.col("_id").alias("b"), F.col("text").alias("_right"))
     met = left.join(F.broadcast(pairs) if few else pairs, "a").join(right, "b")
 
@@ -167,34 +168,36 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent
     return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _both_ways(edges: DataFrame, *ways: tuple[str, str]) -> DataFrame:
+    """(a, b) of the two named columns of each row, once for each of `ways`; nothing is read twice."""
+    return edges.select(F.explode(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in ways])).alias("_e")).select("_e.*")
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every a of distinct (a, b), a > b, has one b only, which is nobody's a."""
+    nodes = edges.select(F.explode(F.array(
+        F.struct(F.col("a").alias("_id"), F.lit(1).alias("_up"), F.lit(0).alias("_down")),
+        F.struct(F.col("b").alias("_id"), F.lit(0).alias("_up"), F.lit(1).alias("_down")),
+    )).alias("_e")).select("_e.*").groupBy("_id").agg(F.sum("_up").alias("_up"), F.max("_down").alias("_down"))
+    return nodes.agg(F.sum(((F.col("_up") > 1) | ((F.col("_up") > 0) & (F.col("_down") > 0))).cast("bigint"))).first()[0] in (0, None)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(_id, component): the smallest id reachable, for every id of `edges` (a, b).
 
     Rounds of large and small stars: each node hands its smallest neighbour to
     its larger, then to its smaller ones, until every node points to the least.
-    Only minima per node are gathered. Every round is a stored table.
+    Only minima per node are gathered. Both halves of a round are stored tables,
+    so that no plan holds what it reads more than twice: the driver keeps all plans.
     """
     edges = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("_least"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("_least").alias("b"))
-        large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("_least"))
-        small = large.join(least, "a")
-        next_ = store(
-            small.select("a", F.col("_least").alias("b")).unionByName(
-                small.where("b <> _least").select(F.col("b").alias("a"), F.col("_least").alias("b"))
-            ).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-            "edges",
-        )
-        now = next_.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        edges = next_
-        if now == mark:
-            break
-        mark = now
-    pointed = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "_id")
+    while not _are_stars(edges):
+        least = _both_ways(edges, ("a", "b"), ("b", "a")).groupBy("a").agg(F.min("b").alias("_least"))
+        least = least.select(F.col("a").alias("b"), F.least("_least", "a").alias("_least"))
+        large = store(edges.join(least, "b").select("a", F.col("_least").alias("b")), "large")
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("_least")), "a")
+        edges = store(_both_ways(small, ("a", "_least"), ("b", "_least")).where("a <> b").distinct(), "edges")
+    pointed = edges.select(F.col("a").alias("_id"), F.col("b").alias("component"))
     return pointed.unionByName(edges.select(F.col("b").alias("_id"), F.col("b").alias("component")).distinct())
 
 

@@ -78,9 +78,10 @@ def apportion(parties: DataFrame, parent: list[str], key: str, seats: str, share
     party. Seats first are rounded shares; each parent then gives or takes the few
     that are missing or too many, in order of quotients, ties by `key`. A party can
     move by its share of those few and one more, so candidates are few as well.
+    First seats are a stored table: they are read three times.
     """
     whole = Window.partitionBy(*parent)
-    started = (
+    started = store(
         parties.withColumn("_total", F.sum(share).over(whole))
         .withColumn("_parties", F.count("*").over(whole))
         .withColumn("_part", F.when(F.col("_total") > 0, F.col(share) / F.col("_total")).otherwise(0.0))
@@ -89,7 +90,8 @@ def apportion(parties: DataFrame, parent: list[str], key: str, seats: str, share
         .withColumn(
             "_reach",
             F.ceil(F.col("_part") * (F.abs("_missing") + F.col("_parties"))).cast("bigint") + 1,
-        )
+        ),
+        "seats",
     )
     settled = started.where("_missing = 0")
     open_ = started.where("_missing <> 0")

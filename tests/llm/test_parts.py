@@ -368,3 +368,34 @@ def test_strings_of_one_name_are_told_apart(spark):
 
 def test_pairs_helper(small):
     assert len(pairs(small)) == 200
+
+
+def exchanges_of_plans(monkeypatch, module):
+    """Exchanges in each plan that the module stores; the driver keeps all plans, with their metrics and codes."""
+    counts, store = [], module.store
+
+    def counting(df, label):
+        counts.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return store(df, label)
+
+    monkeypatch.setattr(module, "store", counting)
+    return counts
+
+
+def test_rounds_of_components_have_small_plans(spark, monkeypatch):
+    counts = exchanges_of_plans(monkeypatch, minhash)
+    chain = [(i, i + 1) for i in range(0, 60)]
+    found = minhash.components(spark.createDataFrame(chain, "a bigint, b bigint"))
+    assert sorted(map(tuple, found.collect())) == [(i, 0) for i in range(0, 61)]
+    assert len(counts) > 2 and max(counts) <= 3
+    counts.clear()
+    stars = spark.createDataFrame([(5, 1), (2, 1), (4, 3), (3, 3)], "a bigint, b bigint")
+    assert sorted(map(tuple, minhash.components(stars).collect())) == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 1)]
+    assert len(counts) == 1  # no round where nothing is left to do
+    assert minhash.components(stars.limit(0)).count() == 0
+
+
+def test_shares_of_a_mix_have_small_plans(spark, small, monkeypatch):
+    counts = exchanges_of_plans(monkeypatch, mixing)
+    taken = mixing.mix(small).agg({"taken": "sum"}).first()[0]
+    assert taken > 0 and max(counts) <= 8
